@@ -36,9 +36,65 @@ FROM n LEFT JOIN kept USING (doc_id)
 """
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm import quality_rules as qr
+
+    ledger = qr.measure(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    ledger = ledger.withColumn("base_failed", qr.rejects("base"))
+    return qr.apply_policy(ledger, "v2").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+
+
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols
+  FROM d),
+l AS (SELECT doc_id, x, row_number() OVER () AS r FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+lines AS (SELECT doc_id, sum(c)::BIGINT AS n_lines, sum(c - 1)::BIGINT AS n_dup_lines
+  FROM (SELECT doc_id, x, count(*) AS c FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id, x) GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_repeat_words FROM g JOIN twice USING (doc_id, k), range(0, 3) AS r(j) GROUP BY doc_id),
+a AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM m LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+    + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 12 * n_words)::BIGINT) AS failures FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.decontaminate import matches
+
+    found = matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate(F.zip_with("hit_ends", "hit_starts", lambda e, b: (e - b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hit_starts") > 0).alias("contaminated"))
+
+
+OP10_SQL = r"""
+WITH lower_az AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bench AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bench WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM lower_az, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)),
+pos AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit), range(0, 10) AS r(j) WHERE j < n GROUP BY doc_id),
+its AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lower_az LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+_ALL = (
+    (op4_quality_rules, OP4_SQL),
+    (op6_substring_dedup, OP6_SQL),
+    (op10_decontaminate, OP10_SQL),
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_substring_dedup": op6_substring_dedup}
+    return {f.__name__: f for f, _ in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL}
+    return {f.__name__: sql for f, sql in _ALL if sql}
