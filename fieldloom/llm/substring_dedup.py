@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fieldloom.llm import bytewords as bw
-from fieldloom.llm.store import cut, release
+from fieldloom.llm.store import cut, drop, release
 
 #: Windows gathered in a map task before it combines and emits them; windows a hash block is sized for.
 FLUSH, BLOCK = 2_000_000, 3_000_000
@@ -51,7 +51,7 @@ def _combine(keys: np.ndarray, docs: np.ndarray, blocks: int) -> Iterator[pa.Rec
     keys, docs = keys[fresh], docs[fresh]
     first = bw.heads(keys)
     rest = ~first
-    for part in (_by_doc((keys[first] % np.uint64(blocks)).astype(np.int64), docs[first], keys[first], False), _by_doc(blocks + (bw.mix(docs[rest].view(np.uint64)) % np.uint64(blocks)).astype(np.int64), docs[rest], keys[rest], True)):
+    for part in (_by_doc((keys[first] % np.uint64(blocks)).astype(np.int64), docs[first], keys[first], False), _by_doc(blocks + _doc_block(docs[rest], blocks), docs[rest], keys[rest], True)):
         if part is not None:
             yield part
 
@@ -82,8 +82,12 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(join("docs", np.int64), join("runs", np.int32)), join("keys", np.uint64)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Of one hash block (or of a block of documents decided before): the keys to remove, by document."""
+def _doc_block(docs: np.ndarray, blocks: int) -> np.ndarray:
+    return (bw.mix(docs.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _answer(table: pa.Table, blocks: int) -> pa.Table:
+    """Of one hash block (or of a block of documents decided before): the keys to remove, packed by blocks of documents."""
     docs, keys = _unpack(table)
     if not table.column("hit")[0].as_py():
         order = np.lexsort((docs, keys))
@@ -92,6 +96,13 @@ def _answer(table: pa.Table) -> pa.Table:
         least = docs[np.flatnonzero(first)][np.cumsum(first) - 1]
         late = docs > least
         docs, keys = docs[late], keys[late]
+    part = _by_doc(_doc_block(docs, blocks), docs, keys, True)
+    return pa.Table.from_batches([part] if part is not None else [], table.schema)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document of a block of documents."""
+    docs, keys = _unpack(table)
     order = np.argsort(docs, kind="stable")
     docs, keys = docs[order], keys[order]
     own = np.flatnonzero(bw.heads(docs))
@@ -99,12 +110,18 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc long, keys binary): hashes of the document's windows that a document with a smaller id holds too."""
+    """(doc long, keys binary): hashes of the document's windows that a document with a smaller id holds too. A stored
+    table with one row for each such document."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(8, int(size / 6.5 / BLOCK) + 1)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     packed = slim.mapInArrow(lambda it: _windows(it, window, blocks), BLOCKS)
-    return packed.groupBy("block").applyInArrow(_answer, "doc long, keys binary")
+    answers = cut(packed.groupBy("block").applyInArrow(lambda t: _answer(t, blocks), BLOCKS), "answers")
+    release(docs.sparkSession)
+    found = cut(answers.groupBy("block").applyInArrow(_gather, "doc long, keys binary"), "windows")
+    drop(answers)
+    release(docs.sparkSession)
+    return found
 
 
 def intervals(hit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +135,11 @@ def intervals(hit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + window
 
 
-def _spans(text: bytes, keys: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+def _spans(text: bytes, keys: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text, dtype=np.uint8)
     starts, ends, first = bw.words(data, np.array([0, len(data)]), bw.BLANKS)
     got, _, _ = bw.window_hashes(bw.word_hashes(data, starts, ends), first, window)
-    return intervals(np.isin(got, np.frombuffer(b"".join(keys), dtype=np.uint64)), window)
+    return intervals(np.isin(got, np.frombuffer(keys, dtype=np.uint64)), window)
 
 
 #: The columns that remove_repeats() adds, in the order of their values in _removed().
@@ -174,9 +191,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     An input column with one of these names gives way."""
     outputs = [name for name in ADDED if name in outputs]
     docs = docs.drop(*(name for name in outputs if name in docs.columns))
-    hits = cut(repeated_windows(docs, window, id_col, text_col), "windows")
-    release(docs.sparkSession)
-    hits = hits.groupBy("doc").agg(F.collect_list("keys").alias("__keys")).withColumnRenamed("doc", "__hit")
+    hits = repeated_windows(docs, window, id_col, text_col).withColumnsRenamed({"doc": "__hit", "keys": "__keys"})
     own = docs.withColumn("__doc", F.col(id_col).cast("long"))
     joined = own.join(hits, F.col("__doc") == F.col("__hit"), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__keys")
     schema = StructType(docs.schema.fields)
