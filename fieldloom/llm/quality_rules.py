@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from fieldloom.llm import bytewords as bw
+from fieldloom.llm.store import widened
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
@@ -102,9 +102,7 @@ def measure(docs: DataFrame, text_col: str = "text", keep_text: bool = True) ->
     names = [*MEASURES, "failures"]
     docs = docs.drop(*(c for c in names if c in docs.columns and c != text_col))
     rest = [c for c in docs.columns if keep_text or c != text_col]
-    schema = StructType([docs.schema[c] for c in rest])
-    for name in MEASURES:
-        schema = schema.add(name, "long")
+    schema = widened([docs.schema[c] for c in rest], dict.fromkeys(MEASURES, "long"))
     text_at = docs.columns.index(text_col)
     found = docs.mapInArrow(lambda it: _measures(it, text_at, keep_text), schema)
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, rule) in enumerate(RULES)]

@@ -85,9 +85,47 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM lower_az LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.sentencepiece_codec import encode
+
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path(), keep_text=False)
+    # A piece that is not contiguous with the one before, or does not reach the end, would show here.
+    covered = F.coalesce(F.element_at("ends", -1), F.lit(0))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), covered.cast("long").alias("bytes_covered"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.sharding import shard_by_bytes
+
+    out = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.token_shards import write_shards
+
+    return write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.token_counts import count_lines
+
+    return count_lines(table(spark, sf_dir, "documents"), model_path(), rule="majority")
+
+
 _ALL = (
+    (op1_sentencepiece, None),
     (op4_quality_rules, OP4_SQL),
+    (op5_sharding, None),
     (op6_substring_dedup, OP6_SQL),
+    (op8_token_shards, None),
+    (op9_token_counts, None),
     (op10_decontaminate, OP10_SQL),
 )
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,11 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._fieldloom_path = path
     return back
@@ -43,3 +44,8 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def widened(fields: list[StructField], added: dict[str, str]) -> StructType:
+    """A schema of the fields and of new columns, given by name and type."""
+    return StructType([*fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in added.items())).fields]) if added else StructType(list(fields))

@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from fieldloom.llm import bytewords as bw
-from fieldloom.llm.store import cut, drop, release
+from fieldloom.llm.store import cut, drop, release, widened
 
 #: Windows gathered in a map task before it combines and emits them; windows a hash block is sized for.
 FLUSH, BLOCK = 2_000_000, 3_000_000
@@ -194,8 +193,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     hits = repeated_windows(docs, window, id_col, text_col).withColumnsRenamed({"doc": "__hit", "keys": "__keys"})
     own = docs.withColumn("__doc", F.col(id_col).cast("long"))
     joined = own.join(hits, F.col("__doc") == F.col("__hit"), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__keys")
-    schema = StructType(docs.schema.fields)
-    for name in outputs:
-        schema = schema.add(name, ADDED[name])
+    schema = widened(docs.schema.fields, {name: ADDED[name] for name in outputs})
     text_at = docs.columns.index(text_col)
     return joined.mapInArrow(lambda it: _removed(it, window, text_at, outputs), schema)
