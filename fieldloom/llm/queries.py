@@ -119,11 +119,34 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_lines(table(spark, sf_dir, "documents"), model_path(), rule="majority")
 
 
+def held_out():
+    """True for the fifth of the documents that no model learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.predict(docs, model, keep_text=False).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 _ALL = (
     (op1_sentencepiece, None),
+    (op2_language_id, None),
     (op4_quality_rules, OP4_SQL),
     (op5_sharding, None),
     (op6_substring_dedup, OP6_SQL),
+    (op7_toxicity, None),
     (op8_token_shards, None),
     (op9_token_counts, None),
     (op10_decontaminate, OP10_SQL),
