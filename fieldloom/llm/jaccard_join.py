@@ -18,7 +18,8 @@ the components, in these steps, none of which makes all pairs of a group:
 Shingles, sets and classes are known by 64-bit hashes.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a null text or one without
-words is empty and links with nothing; rows that repeat an id belong to one component.
+words is empty and links with nothing; rows that repeat an id belong to one component; rows with a null id link with
+nothing and have a null component.
 """
 
 from __future__ import annotations
@@ -243,7 +244,7 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         self.base = cut(self.docs.mapInArrow(lambda it: _base(it, words), CLASSES), "sets")
         one = F.min(F.struct("doc", "mins", "bitmap")).alias("one")
-        self.classes = cut(self.base.where("n > 0").groupBy("cls", "n").agg(one).select("cls", "n", "one.*"), "classes")
+        self.classes = cut(self.base.where("n > 0 AND doc IS NOT NULL").groupBy("cls", "n").agg(one).select("cls", "n", "one.*"), "classes")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), pairs of classes: those that link, by bitmaps and then by their sorted arrays."""
@@ -321,13 +322,13 @@ class Join:
         drop(self._keys)
         doc = self.classes.select("cls", "doc")
         # A repeated id ties the classes of its texts.
-        held = self.base.where("n > 0").select("doc", "cls").distinct()
+        held = self.base.where("n > 0 AND doc IS NOT NULL").select("doc", "cls").distinct()
         several = held.groupBy("doc").agg(F.min("cls").alias("a"), F.count("*").alias("texts")).where("texts > 1").select("doc", "a")
         links = quick.union(rest).union(held.join(several, "doc").where("a <> cls").select("a", F.col("cls").alias("b")))
         named = links.join(doc.withColumnsRenamed({"cls": "a", "doc": "x"}), "a").join(doc.withColumnsRenamed({"cls": "b", "doc": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         groups = components(named)
         of_class = doc.join(groups, doc["doc"] == groups["node"], "left").select("cls", F.coalesce("component", "doc").alias("component"))
-        return self.base.join(of_class, "cls", "left").select("doc", "cls", "n", F.coalesce("component", "doc").alias("component"))
+        return self.base.join(of_class, "cls", "left").select("doc", "cls", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
 
 
 def _flat(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
