@@ -75,11 +75,12 @@ def mixture_bic(loglik: float, n: int, k: int, d: int) -> float:
 
 
 def fit_mixture(df: DataFrame, ks: Sequence[int], features: str = "features", seeds: Sequence[int] = (1, 2), least_rows: int = 1):
-    """(model, k, {k: bic}): best of the seeds for each k by likelihood, best k by BIC; ks with too few rows are left out."""
+    """(model, k, {k: bic}): best of the seeds for each k by likelihood, best k by BIC. Spark fits two
+    groups and more; ks with too few rows are left out."""
     df = df.persist()
     n = df.count()
     found, bic = {}, {}
-    for k in (k for k in ks if n >= least_rows * k):
+    for k in (k for k in ks if k > 1 and n >= least_rows * k):
         d = len(df.select(features).first()[0])
         for seed in seeds:
             m = GaussianMixture(k=k, seed=seed, featuresCol=features, probabilityCol="posterior", predictionCol="cluster").fit(df)
