@@ -1,49 +1,24 @@
-"""Materialised tables in the folder that the driver and all executors share."""
+"""What the operators here add to the library's stored tables."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.types import StructField, StructType
 
+from fieldloom.sources.store import cut, drop, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._fieldloom_path = path
-    return back
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that no later plan reads."""
-    for table in tables:
-        path = getattr(table, "_fieldloom_path", None)
-        if path:
-            jvm = table.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            where.getFileSystem(conf).delete(where, True)
+__all__ = ["cut", "drop", "release", "shared_dir", "widened"]
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection lets go of is found by the second one
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def widened(fields: list[StructField], added: dict[str, str]) -> StructType:
