@@ -107,6 +107,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP5_SQL = """
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t FROM range(256) AS r(i)),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+o AS (SELECT *, (sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS done, (sum(size) OVER ())::BIGINT AS total FROM c),
+p AS (SELECT *, (done * 8 // total)::INTEGER AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p
+"""
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.token_shards import write_shards
 
@@ -163,7 +173,7 @@ _ALL = (
     (op2_language_id, None),
     (op3_jaccard_join, OP3_SQL),
     (op4_quality_rules, OP4_SQL),
-    (op5_sharding, None),
+    (op5_sharding, OP5_SQL),
     (op6_substring_dedup, OP6_SQL),
     (op7_toxicity, None),
     (op8_token_shards, None),
