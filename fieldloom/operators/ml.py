@@ -121,3 +121,16 @@ def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     scored = rows.crossJoin(F.broadcast(q)).where(F.col(key) != F.col("query")).select("query", key, cosine(F.col(vector), F.col("__q")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def stability(df: DataFrame, key: str, group: str, k: int, runs: int = 5, share: float = 0.8, features: str = "features") -> DataFrame:
+    """Adjusted Rand index of the groups against mixtures fitted again on seeded samples: (run, adjusted_rand)."""
+    from fieldloom.operators.aggregates import adjusted_rand
+
+    out = None
+    for run in range(runs):
+        part = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(run)), F.lit(1000)) < int(1000 * share)).select(key, group, features).persist()
+        again = GaussianMixture(k=k, seed=run, featuresCol=features, predictionCol="__again", probabilityCol="__post").fit(part).transform(part)
+        one = adjusted_rand(again.select(F.col(group).alias("a"), F.col("__again").alias("b")), "a", "b").withColumn("run", F.lit(run)).select("run", "adjusted_rand")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -139,3 +139,24 @@ def uncovered(patches: DataFrame, patch: str, covered: DataFrame) -> DataFrame:
     """Patches none of whose pixels (row, col) is covered."""
     touched = patches.join(covered.select("row", "col").distinct(), ["row", "col"], "left_semi").select(patch).distinct()
     return patches.select(patch).distinct().join(touched, patch, "left_anti")
+
+
+def evaluate(found: DataFrame, reference: DataFrame, found_id: str, reference_id: str, radius: float) -> DataFrame:
+    """One row: precision, recall and F1 of a one-to-one match, its distances, and the median offset of found places."""
+    from fieldloom.operators.aggregates import match_quality
+
+    pairs = greedy_match(found, reference, found_id, reference_id, radius)
+    a = found.select(found_id, F.col("x").alias("__ax"), F.col("y").alias("__ay"))
+    b = reference.select(reference_id, F.col("x").alias("__bx"), F.col("y").alias("__by"))
+    both = pairs.join(a, found_id).join(b, reference_id)
+    one = both.agg(F.count("*").alias("n_matched"), F.median("distance").alias("median_distance"), F.percentile("distance", F.lit(0.9)).alias("p90_distance"), F.median(F.col("__ax") - F.col("__bx")).alias("offset_x"), F.median(F.col("__ay") - F.col("__by")).alias("offset_y"))
+    sizes = found.agg(F.count("*").alias("n_found")).crossJoin(F.broadcast(reference.agg(F.count("*").alias("n_reference"))))
+    row = one.crossJoin(F.broadcast(sizes))
+    return row.withColumns(match_quality(F.col("n_found"), F.col("n_reference"), F.col("n_matched")))
+
+
+def evaluate_shifted(found: DataFrame, reference: DataFrame, found_id: str, reference_id: str, radius: float) -> DataFrame:
+    """The same after the median offset of a first match is taken off the found places."""
+    first = evaluate(found, reference, found_id, reference_id, radius).select("offset_x", "offset_y")
+    moved = found.crossJoin(F.broadcast(first)).withColumns({"x": F.col("x") - F.coalesce("offset_x", F.lit(0.0)), "y": F.col("y") - F.coalesce("offset_y", F.lit(0.0))}).drop("offset_x", "offset_y")
+    return evaluate(moved, reference, found_id, reference_id, radius)

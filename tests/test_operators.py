@@ -303,3 +303,20 @@ def test_formats(spark):
     assert tuple(one.select(c, r).first()) == (3, 4)
     e = aggregates.match_quality(F.lit(10), F.lit(8), F.lit(6))
     assert tuple(one.select(e["precision"], e["recall"]).first()) == (0.6, 0.75)
+
+
+def test_evaluation_in_two_passes(spark):
+    reference = spark.createDataFrame([(i, 10.0 * i, 0.0) for i in range(8)], "r long, x double, y double")
+    found = spark.createDataFrame([(i, 10.0 * i + 3.0, 1.0) for i in range(6)] + [(9, 500.0, 0.0)], "f long, x double, y double")
+    one = spatial.evaluate(found, reference, "f", "r", 4.0).first()
+    assert (one.n_matched, one.precision, one.recall) == (6, 6 / 7, 6 / 8) and (one.offset_x, one.offset_y) == (3.0, 1.0)
+    two = spatial.evaluate_shifted(found, reference, "f", "r", 4.0).first()
+    assert two.n_matched == 6 and two.median_distance == 0.0
+
+
+def test_stability_of_clear_groups(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, i % 2, [float(r.normal(20 * (i % 2))), float(r.normal())]) for i in range(120)]
+    df = ml.vectors(spark.createDataFrame(rows, "k long, g int, v array<double>"), ["v"])
+    got = ml.stability(df, "k", "g", 2, runs=2).collect()
+    assert [x.run for x in got] == [0, 1] and all(x.adjusted_rand > 0.95 for x in got)
