@@ -7,8 +7,8 @@ the components, in these steps, none of which makes all pairs of a group:
    it), so exact copies are never compared.
 2. Quick links: classes that share a minimum hash are compared with the smallest member of that group, a star instead
    of all pairs. This joins most members of large groups of near copies.
-3. A total order of the shingles puts rare ones first: half of all hashes are counted over all classes, packed in hash
-   blocks. By the prefix principle two similar sets share one of their first n - ceil(n * percent / 100) + 1 shingles.
+3. A total order of the shingles puts rare ones first: three of four hashes are counted over all classes, packed in
+   hash blocks. By the prefix principle two similar sets share one of their first n - ceil(n * percent / 100) + 1 shingles.
    Classes with enough shingles that nobody else has need no more work.
 4. Tiles: the prefix shingles of the others are grouped by shingle and size band (a band reaches as far as sizes can
    differ), and only classes that the quick links have not joined yet meet there.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,10 @@ def _base(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             )
 
 
-def _counted_half(keys: np.ndarray) -> np.ndarray:
-    return (bw.mix(keys) >> np.uint64(63)) == 0
+def _counted(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Three of four shingles, without the common ones."""
+    out = (bw.mix(keys) >> np.uint64(62)) != 3
+    return out & ~np.isin(keys, common) if len(common) else out
 
 
 def _pack(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
@@ -127,7 +130,7 @@ def _pack(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, blo
             cls = set_hash(sets, at)
             fresh = np.array([c != 0 and c not in seen and not seen.add(c) for c in cls.tolist()], dtype=bool)
             owner = np.repeat(cls, np.diff(at))
-            take = np.repeat(fresh, np.diff(at)) & _counted_half(sets) & ~np.isin(sets, common)
+            take = np.repeat(fresh, np.diff(at)) & _counted(sets, common)
             keys.append(sets[take])
             owners.append(owner[take])
             held += int(take.sum())
@@ -175,10 +178,10 @@ def _gather_shared(table: pa.Table) -> pa.Table:
 def prefix(own: np.ndarray, shared: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of a set's prefix that another class can have too.
 
-    The order: counted ones by number of classes, then the other half, then common ones; equal ones by hash.
+    The order: counted ones by number of classes, then the others, then common ones; equal ones by hash.
     """
     n = len(own)
-    rank = np.where(_counted_half(own), np.uint64(1), np.uint64(1 << 62))
+    rank = np.where(_counted(own, common[:0]), np.uint64(1), np.uint64(1 << 62))
     if len(shared):
         near = np.searchsorted(shared & LOW, own & LOW)
         near[near == len(shared)] = 0
@@ -196,7 +199,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray,
         for low, high, sets, at in shingle_sets(batch.column(0), words):
             lists, rows = [], []
             own = set_hash(sets, at) == batch.column(1).slice(low, high - low).to_numpy()
-            for i in np.flatnonzero(own):
+            # A prefix that is full of shingles which no other class has makes no key.
+            sums = np.concatenate([[0], np.cumsum(_counted(sets, common))])
+            n = np.diff(at)
+            alone = sums[at[1:]] - sums[at[:-1]] - pc.fill_null(pc.binary_length(batch.column(4).slice(low, high - low)), 0).to_numpy(zero_copy_only=False) // 8
+            for i in np.flatnonzero(own & (alone < n - need(n, percent) + 1)):
                 blob = batch.column(4)[low + int(i)].as_buffer() if batch.column(4)[low + int(i)].is_valid else b""
                 lists.append(prefix(sets[at[i] : at[i + 1]], np.frombuffer(blob, dtype=np.uint64), common, percent))
                 rows += [low + int(i)] * len(lists[-1])
@@ -293,7 +300,7 @@ class Join:
         """Pairs of classes with different labels that share a prefix shingle and whose sizes can link."""
         words, percent, common = self.words, self.percent, self.common()
         total = self.classes.agg(F.sum("n")).first()[0] or 0
-        blocks = max(8, total // 2 // BLOCK + 1)
+        blocks = max(8, total * 3 // 4 // BLOCK + 1)
         packed = self.docs.mapInArrow(lambda it: _pack(it, words, common, blocks), BLOCKS)
         answers = cut(packed.groupBy("block").applyInArrow(lambda t: _shared(t, blocks), BLOCKS), "shared")
         release(self.spark)
