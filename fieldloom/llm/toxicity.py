@@ -296,7 +296,7 @@ class Scorer:
         return _sigmoid(np.stack([top, np.log(np.bincount(row, minlength=len(texts))), np.ones(len(texts))], axis=1) @ m.calibration)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4_000, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3_000, max_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on documents that have a label."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_docs)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))).dropDuplicates(["id"])
