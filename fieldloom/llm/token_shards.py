@@ -7,9 +7,9 @@ can be computed for any slot. Range partitions of the slots write shards of reco
 read in order by seeking, from any slot on.
 
 A record holds `length` ids as little-endian unsigned integers of `width` bytes; the last one of a document is filled
-up with `fill`. Each shard is written beside its place and renamed when complete; a shard that is complete already is
+up with `fill`. Records travel to their shard compressed, some documents at a time. Each shard is written beside its place and renamed when complete; a shard that is complete already is
 kept, so a lost executor or a second run with the same input, key and folder goes on where the first one ended.
-Where the folder is no file system path, the records are written by Spark as Parquet rows (slot, record) instead.
+Where the folder is no file system path, Spark writes the shards there as Parquet rows with compressed records instead.
 
 Defined cases: null and empty texts have no sequence; repeated rows have sequences of their own; an empty table writes
 no shard; more ids than `width` can hold are refused.
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from fieldloom.llm import bytewords as bw
 from fieldloom.llm import ranges
 from fieldloom.llm.sentencepiece_codec import Codec
-from fieldloom.llm.store import cut, release, shared_dir
+from fieldloom.llm.store import cut, drop, release, shared_dir
 
 ROUNDS = 4
 PARTS = "block int, doc_id long, first long, n_tokens int, ids binary"
-SLOTS = "slot long, doc_id long, seq int, n_tokens int, record binary"
+PACKS = "shard int, slots binary, doc_ids array<long>, seqs binary, n_tokens binary, records binary"
+#: Documents whose sequences are packed by shard at once.
+PACKED = 2_000
 PLACES = "doc_id long, seq int, slot long, shard int, byte_offset long, n_tokens int, record_crc32 long"
 
 
@@ -74,13 +76,27 @@ def _sequences(batches: Iterator[pa.RecordBatch], model: bytes, length: int, wid
             yield pa.record_batch([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(firsts, pa.int64()), pa.array(np.diff(cuts), pa.int32()), bw.binary_rows(ids.astype(kind), cuts)], names=["block", "doc_id", "first", "n_tokens", "ids"])
 
 
-def _slots(batches: Iterator[pa.RecordBatch], before: dict[int, int], total: int, key: int, length: int, width: int, fill: int) -> Iterator[pa.RecordBatch]:
+def _pack(shard: int, slots: np.ndarray, docs: pa.Array, seqs: np.ndarray, tokens: np.ndarray, records: np.ndarray) -> list:
+    blob = lambda x: np.ascontiguousarray(x).tobytes()
+    return [shard, blob(slots.astype(np.int64)), docs, blob(seqs.astype(np.int32)), blob(tokens.astype(np.int32)), pa.compress(blob(records), codec="zstd", asbytes=True)]
+
+
+def _packs(rows: list[list]) -> pa.RecordBatch:
+    docs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]), pa.int32()), pa.concat_arrays([r[2] for r in rows]))
+    cols = [pa.array([r[0] for r in rows], pa.int32()), *(docs if k == 2 else pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))]
+    return pa.record_batch(cols, names=["shard", "slots", "doc_ids", "seqs", "n_tokens", "records"])
+
+
+def _slots(batches: Iterator[pa.RecordBatch], before: dict[int, int], total: int, key: int, length: int, width: int, fill: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+    """Records of a few documents at a time, packed by shard."""
     kind = np.dtype(f"<u{width}")
     for whole in batches:
-        for low in range(0, whole.num_rows, 500):
-            batch = whole.slice(low, 500)
+        for low in range(0, whole.num_rows, PACKED):
+            batch = whole.slice(low, PACKED)
             tokens = batch.column(3).to_numpy()
             n = -(-tokens // length)
+            if not n.sum():
+                continue
             first = batch.column(2).to_numpy() + np.array([before[b] for b in batch.column(0).to_pylist()], dtype=np.int64)
             row = np.repeat(np.arange(len(n)), n)
             seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -89,56 +105,67 @@ def _slots(batches: Iterator[pa.RecordBatch], before: dict[int, int], total: int
             flat, at = records.reshape(-1), np.concatenate([[0], np.cumsum(n)]) * length
             for i, blob in enumerate(batch.column(4)):
                 flat[at[i] : at[i] + tokens[i]] = np.frombuffer(blob.as_buffer(), dtype=kind)
-            yield pa.record_batch(
-                [pa.array(slot), batch.column(1).take(pa.array(row)), pa.array(seq, pa.int32()), pa.array(np.minimum(length, tokens[row] - seq * length), pa.int32()), bw.binary_rows(flat, np.arange(len(row) + 1) * length)],
-                names=["slot", "doc_id", "seq", "n_tokens", "record"],
-            )
+            held = np.minimum(length, tokens[row] - seq * length)
+            order = np.argsort(slot, kind="stable")
+            shards = slot[order] // per_shard
+            docs = batch.column(1).take(pa.array(row[order]))
+            cuts = np.append(np.flatnonzero(bw.heads(shards)), len(shards))
+            yield _packs([_pack(int(shards[i]), slot[order[i:j]], docs.slice(i, j - i), seq[order[i:j]], held[order[i:j]], records[order[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
-def shard_name(shard: int) -> str:
-    return f"shard-{shard:06d}.bin"
-
+def _open(row: dict, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    slots, seqs, held = np.frombuffer(row["slots"], dtype=np.int64), np.frombuffer(row["seqs"], dtype=np.int32), np.frombuffer(row["n_tokens"], dtype=np.int32)
+    data = pa.decompress(row["records"], decompressed_size=len(slots) * length * width, codec="zstd", asbytes=True)
+    return slots, seqs, held, np.frombuffer(data, dtype=f"<u{width}").reshape(-1, length)
 
-class _Shard:
-    """Writes one shard; a complete one that exists is only passed over."""
 
-    def __init__(self, folder: str, shard: int, size: int):
-        self.path, self.size = os.path.join(folder, shard_name(shard)), size
-        self.kept = os.path.exists(self.path) and os.path.getsize(self.path) == size
-        self.temp = f"{self.path}.{uuid.uuid4().hex}"
-        self.file = None if self.kept else open(self.temp, "wb")
+def _assemble(batches: Iterator[pa.RecordBatch], per_shard: int, total: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """One row for each shard, in the order of its slots; all packs of a shard come in one partition."""
+    open_: dict[int, list] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names) if name != "doc_ids"}
+            shard, docs = row["shard"], batch.column(2)[i].values
+            size = min(per_shard, total - shard * per_shard)
+            if shard not in open_:
+                open_[shard] = [0, np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros((size, length), f"<u{width}")]
+            own = open_[shard]
+            slots, seqs, held, records = _open(row, length, width)
+            at = slots - shard * per_shard
+            own[1][at], own[2][at] = docs.fill_null(0).to_numpy(), np.asarray(docs.is_valid())
+            own[3][at], own[4][at], own[5][at] = seqs, held, records
+            own[0] += len(at)
+            if own[0] == size:
+                yield _packs([_pack(shard, np.arange(size) + shard * per_shard, pa.array(own[1], mask=~own[2]), own[3], own[4], own[5])])
+                del open_[shard]
+    if open_:
+        raise ValueError(f"shards {sorted(open_)} are not complete")
 
-    def put(self, data: bytes) -> None:
-        if self.file:
-            self.file.write(data)
 
-    def close(self) -> None:
-        if self.file:
-            self.file.close()
-            if os.path.getsize(self.temp) != self.size:
-                raise OSError(f"{self.path} is not complete")
-            os.replace(self.temp, self.path)
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:06d}.bin"
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str | None, per_shard: int, total: int, stride: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by slot; each shard is whole in one partition."""
-    shard, out = -1, None
+def _write(batches: Iterator[pa.RecordBatch], folder: str | None, per_shard: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Write each shard unless it is there in full; a row for each of its sequences."""
+    stride = length * width
     for batch in batches:
-        slots = batch.column(0).to_numpy()
-        crcs = []
-        for slot, record in zip(slots, batch.column(4), strict=True):
-            data = record.as_py()
-            crcs.append(zlib.crc32(data))
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names) if name != "doc_ids"}
+            slots, seqs, held, records = _open(row, length, width)
+            data = records.tobytes()
             if folder is not None:
-                if slot // per_shard != shard:
-                    if out:
-                        out.close()
-                    shard = int(slot // per_shard)
-                    out = _Shard(folder, shard, stride * min(per_shard, total - shard * per_shard))
-                out.put(data)
-        yield pa.record_batch([batch.column(1), batch.column(2), batch.column(0), pa.array(slots // per_shard, pa.int32()), pa.array(slots % per_shard * stride), batch.column(3), pa.array(crcs, pa.int64())], names=["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "record_crc32"])
-    if out:
-        out.close()
+                path = os.path.join(folder, shard_name(row["shard"]))
+                if not (os.path.exists(path) and os.path.getsize(path) == len(data)):
+                    temp = f"{path}.{uuid.uuid4().hex}"
+                    with open(temp, "wb") as f:
+                        f.write(data)
+                    os.replace(temp, path)
+            crcs = [zlib.crc32(data[k * stride : (k + 1) * stride]) for k in range(len(slots))]
+            yield pa.record_batch(
+                [batch.column(2)[i].values, pa.array(seqs), pa.array(slots), pa.array(np.full(len(slots), row["shard"], np.int32)), pa.array(slots % per_shard * stride), pa.array(held), pa.array(crcs, pa.int64())],
+                names=["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "record_crc32"],
+            )
 
 
 def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: int = 1, length: int = 256, width: int = 2, fill: int = 0, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,18 +189,19 @@ def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: in
         total += counts[b]
     stride = length * width
     per_shard = max(1, shard_bytes // stride)
-    slots = encoded.mapInArrow(lambda it: _slots(it, before, total, key, length, width, fill), SLOTS)
     shards = max(1, -(-total // per_shard))
+    packs = encoded.mapInArrow(lambda it: _slots(it, before, total, key, length, width, fill, per_shard), PACKS)
+    whole = cut(packs.repartition(shards, "shard").mapInArrow(lambda it: _assemble(it, per_shard, total, length, width), PACKS), "shards", "uncompressed")
+    drop(encoded)
+    release(spark)
     folder = folder or f"{shared_dir(spark)}/fieldloom-shards-{uuid.uuid4().hex}"
-    if "://" in folder and not folder.startswith("file://"):
-        records = slots.repartitionByRange(shards, "slot").sortWithinPartitions("slot")
-        records.select("slot", "record").write.mode("overwrite").parquet(folder)
+    path = folder.removeprefix("file://")
+    if "://" in path:
+        whole.write.mode("overwrite").parquet(folder)
         path = None
     else:
-        path = folder.removeprefix("file://")
         os.makedirs(path, exist_ok=True)
-    ordered = slots.withColumn("shard", F.expr(f"CAST(slot DIV {per_shard} AS INT)")).repartition(shards, "shard").drop("shard").sortWithinPartitions("slot")
-    out = ordered.mapInArrow(lambda it: _write(it, path, per_shard, total, stride), PLACES)
+    out = whole.mapInArrow(lambda it: _write(it, path, per_shard, length, width), PLACES)
     out._fieldloom_folder, out._fieldloom_per_shard = path, per_shard
     return out
 
