@@ -11,7 +11,8 @@ the components, in these steps, none of which makes all pairs of a group:
    hash blocks. By the prefix principle two similar sets share one of their first n - ceil(n * percent / 100) + 1 shingles.
    Classes with enough shingles that nobody else has need no more work.
 4. Tiles: the prefix shingles of the others are grouped by shingle and size band (a band reaches as far as sizes can
-   differ), and only classes that the quick links have not joined yet meet there.
+   differ), and only classes that the quick links have not joined yet meet there. Tiles of a common shingle are cut
+   into blocks, so that no task gets more than two block sides, and their pairs are judged inside the task.
 5. Bitmap signatures: the bits in which two parity bitmaps differ bound the overlap from above; what is left is decided
    by intersecting the sorted arrays, which are made anew from the texts of just these classes.
 
@@ -40,6 +41,10 @@ from fieldloom.llm.substring_dedup import BLOCKS, _by_doc, _doc_block, _unpack
 #: Minimum hashes for the quick links; shingles a hash block is sized for and those gathered before a task emits.
 STARS, BLOCK, FLUSH = 4, 3_000_000, 2_000_000
 LOW = np.uint64((1 << 64) - 64)
+#: Classes of a shingle up to which its pairs are joined in SQL; classes on a side of a block of larger tiles.
+TILE, SIDE = 32, 2_000
+#: Rows of (document, class, two flags) that are broadcast at most, some 40 bytes each.
+FEW = 200_000
 #: Shingles in this many of SAMPLE classes count as common: they come last in the order and are not counted exactly.
 SAMPLE, COMMON = 8_000, 16
 
@@ -221,6 +226,45 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _maps(column: pa.ChunkedArray, bits: int) -> np.ndarray:
+    """Bitmaps folded to a common width, as rows of 64-bit words."""
+    out = np.zeros((len(column), bits // 64), dtype=np.uint64)
+    for k, v in enumerate(column.to_pylist()):
+        words = np.frombuffer(v, dtype=np.uint64)
+        out[k] = np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+    return out
+
+
+def _tile(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of one block of a tile whose bitmaps allow enough overlap."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    key = table.column("key")[0].as_py()
+    left = np.asarray(table.column("left"))
+    if not left.any() or left.all():
+        return none
+    bits = 8 * min(pc.min(pc.binary_length(table.column("bitmap"))).as_py(), 512)
+    maps, n, label, cls = _maps(table.column("bitmap"), bits), *(table.column(c).to_numpy().astype(np.int64) for c in ("n", "label", "cls"))
+    lists = table.column("keys").combine_chunks()
+    keys, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    found: list[tuple[int, int]] = []
+    for low in range(0, len(x), 64):
+        part = x[low : low + 64]
+        na, nb = n[part][:, None], n[y][None, :]
+        ok = (label[part][:, None] != label[y][None, :]) & ((na < nb) | ((na == nb) & (cls[part][:, None] < cls[y][None, :]))) & (100 * na >= percent * nb)
+        p, q = np.nonzero(ok)
+        p, q = part[p], y[q]
+        for at in range(0, len(p), 50_000):
+            i, j = p[at : at + 50_000], q[at : at + 50_000]
+            apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+            close = (n[i] + n[j] - apart) // 2 * (100 + percent) >= percent * (n[i] + n[j])
+            for u, v in zip(i[close], j[close], strict=True):
+                both = np.intersect1d(keys[cuts[u] : cuts[u + 1]], keys[cuts[v] : cuts[v + 1]], assume_unique=True)
+                if both[0] == key:
+                    found.append((int(cls[u]), int(cls[v])))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Columns: cls, text, left, right. A row whose document repeats the id with another text is passed over."""
     for batch in batches:
@@ -260,12 +304,15 @@ class Join:
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "map_a", "map_b")
         near = cut(near.mapInArrow(lambda it: _close(it, percent), "a long, b long"), "near")
         ids = near.select(F.col("a").alias("cls"), F.lit(1).alias("left"), F.lit(0).alias("right")).union(near.select(F.col("b").alias("cls"), F.lit(0), F.lit(1))).groupBy("cls").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-        texts = self.docs.join(self.classes.select("doc", "cls").join(ids, "cls"), "doc").select("cls", "text", "left", "right")
+        wanted = cut(self.classes.select("doc", "cls").join(ids, "cls"), "wanted")
+        # Few classes go to the texts; beyond the bound the texts are dealt by their ids.
+        small = wanted.limit(FEW + 1).count() <= FEW
+        texts = self.docs.join(F.broadcast(wanted) if small else wanted, "doc").select("cls", "text", "left", "right")
         sets = cut(texts.mapInArrow(lambda it: _sets(it, words), "cls long, left int, right int, shingles binary"), "arrays")
         release(self.spark)
         both = near.join(sets.where("left = 1").select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.where("right = 1").select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
         found = cut(both.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _linked(it, percent), "a long, b long").distinct(), "linked")
-        drop(near, sets)
+        drop(near, sets, wanted)
         release(self.spark)
         return found
 
@@ -292,7 +339,8 @@ class Join:
         last = self.classes.select("cls").orderBy("cls").limit(SAMPLE).agg(F.max("cls")).first()[0]
         if last is None:
             return np.zeros(0, dtype=np.uint64)
-        some = self.docs.join(self.classes.where(F.col("cls") <= last).select("doc", "cls"), "doc").select("cls", "text")
+        sample = self.classes.where(F.col("cls") <= last).select("doc", "cls").limit(SAMPLE)
+        some = self.docs.join(F.broadcast(sample), "doc").select("cls", "text")
         keys = some.mapInArrow(lambda it: _flat(it, words), "key long").groupBy("key").count().where(F.col("count") >= COMMON).select("key")
         return np.sort(keys.toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
 
@@ -311,22 +359,38 @@ class Join:
         keys = cut(rows.mapInArrow(lambda it: _prefixes(it, words, common, percent), "key long, cls long, n int, label long"), "prefixes")
         drop(answers)
         release(self.spark)
-        mixed = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        mixed = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
         step = float(np.log(100 / percent))
-        tiles = keys.join(mixed, "key").withColumn("band", F.floor(F.log("n") / step).cast("int"))
+        tiles = cut(keys.join(mixed, "key").withColumn("band", F.floor(F.log("n") / step).cast("int")), "tiles")
+        pairs = self._small(tiles.where(F.col("size") <= TILE)).union(self._large(tiles.where(F.col("size") > TILE)))
+        self._keys = (keys, tiles)
+        return pairs.distinct()
+
+    def _small(self, tiles: DataFrame) -> DataFrame:
+        """Pairs of tiles with so few rows that they are simply joined."""
         wide = tiles.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
-        a = wide.select("key", F.col("tile").alias("at"), F.col("band").alias("band_a"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        a = wide.select("key", F.col("tile").alias("at"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
         b = tiles.select("key", F.col("band").alias("at"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = a.join(b, ["key", "at"]).where(f"la <> lb AND (na < nb OR (na = nb AND a < b)) AND 100 * na >= {percent} * nb")
-        self._keys = keys
-        return pairs.select("a", "b").distinct()
+        return a.join(b, ["key", "at"]).where(f"la <> lb AND (na < nb OR (na = nb AND a < b)) AND 100 * na >= {self.percent} * nb").select("a", "b")
+
+    def _large(self, tiles: DataFrame) -> DataFrame:
+        """Pairs of larger tiles, cut into blocks: bitmaps are compared inside a task, and only pairs whose bitmaps allow
+        enough overlap leave it, each from the first shingle that both share here."""
+        percent = self.percent
+        own = tiles.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        rows = tiles.join(own, "cls").join(self.classes.select("cls", "bitmap"), "cls")
+        blocks = (F.col("size") / SIDE).cast("int") + 1
+        placed = rows.withColumn("parts", F.sequence(F.lit(0), blocks - 1)).withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+        left = placed.withColumn("at", F.explode(F.array("band", F.col("band") + 1))).withColumn("j", F.explode("parts")).select("key", "at", F.col("own").alias("i"), "j", F.lit(True).alias("left"), "cls", "n", "label", "bitmap", "keys")
+        right = placed.withColumn("i", F.explode("parts")).select("key", F.col("band").alias("at"), "i", F.col("own").alias("j"), F.lit(False).alias("left"), "cls", "n", "label", "bitmap", "keys")
+        return left.union(right).groupBy("key", "at", "i", "j").applyInArrow(lambda t: _tile(t, percent), "a long, b long")
 
     def run(self) -> DataFrame:
         """(doc, cls, n, component) of every row; component: smallest document linked with it, itself included."""
         quick = self.verify(self.stars())
         labels = self.labels(quick)
         rest = self.verify(self.candidates(labels))
-        drop(self._keys)
+        drop(*self._keys)
         doc = self.classes.select("cls", "doc")
         # A repeated id ties the classes of its texts.
         held = self.base.where("n > 0 AND doc IS NOT NULL").select("doc", "cls").distinct()

@@ -76,6 +76,14 @@ def test_common_shingles_come_last(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_large_tiles_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "TILE", 2)
+    monkeypatch.setattr(jj, "SIDE", 7)
+    monkeypatch.setattr(jj.Join, "stars", lambda self: self.classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
+    rows = list(enumerate(texts(6, 200)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_repeated_ids_and_empty_table(spark):
     a, b, c = "a b c d e f g h", "p q r s t u v w", "k l m n o i j x"
     assert run(spark, [(1, a), (2, b), (2, c), (3, a), (4, c), (5, b), (5, b)]) == [(1, 4, 1), (2, 4, 2), (2, 4, 2), (3, 4, 1), (4, 4, 2), (5, 4, 2), (5, 4, 2)]
