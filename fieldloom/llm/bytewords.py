@@ -7,18 +7,42 @@ memory follows the slice (or one very long document) and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def tidy() -> None:
+    """Give free memory back to the system: Spark keeps its Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(batches: Callable) -> Callable:
+    """A function of batches whose task ends with tidy()."""
+
+    @wraps(batches)
+    def run(*args):
+        yield from batches(*args)
+        tidy()
+
+    return run
+
+
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
     """A table that is true for the bytes of the inclusive ranges."""
     table = np.zeros(256, dtype=bool)

@@ -39,6 +39,7 @@ def _terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bw.word_hashes(low, starts, ends), first
 
 
+@bw.tidied
 def _index(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, at in bw.text_slices(batch.column(1), BLOCK_BYTES):

@@ -39,7 +39,7 @@ from fieldloom.llm.store import cut, drop, release
 from fieldloom.llm.substring_dedup import BLOCKS, _by_doc, _doc_block, _unpack
 
 #: Minimum hashes for the quick links; shingles a hash block is sized for and those gathered before a task emits.
-STARS, BLOCK, FLUSH = 4, 3_000_000, 2_000_000
+STARS, BLOCK, FLUSH = 4, 2_000_000, 700_000
 LOW = np.uint64((1 << 64) - 64)
 #: Classes of a shingle up to which its pairs are joined in SQL; classes on a side of a block of larger tiles.
 TILE, SIDE = 32, 2_000
@@ -98,6 +98,7 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
 CLASSES = "doc long, cls long, n int, mins array<long>, bitmap binary"
 
 
+@bw.tidied
 def _base(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     salts = bw.mix(np.arange(1, STARS + 1, dtype=np.uint64))
     for batch in batches:
@@ -122,6 +123,7 @@ def _counted(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out & ~np.isin(keys, common) if len(common) else out
 
 
+@bw.tidied
 def _pack(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, blocks: int) -> Iterator[pa.RecordBatch]:
     """The shingles to count, by hash block, each class once for a flush."""
     keys, owners, held, seen = [], [], 0, set()
@@ -198,6 +200,7 @@ def prefix(own: np.ndarray, shared: np.ndarray, common: np.ndarray, percent: int
     return own[first][rank[first] > 1]
 
 
+@bw.tidied
 def _prefixes(batches: Iterator[pa.RecordBatch], words: int, common: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Columns: text, cls, n, label, shared."""
     for batch in batches:
@@ -265,6 +268,7 @@ def _tile(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
+@bw.tidied
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Columns: cls, text, left, right. A row whose document repeats the id with another text is passed over."""
     for batch in batches:
@@ -274,6 +278,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.record_batch([*cols, bw.binary_rows(sets, at)], names=["cls", "left", "right", "shingles"]).filter(own)
 
 
+@bw.tidied
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that link. Columns: a, b, sets of both."""
     for batch in batches:

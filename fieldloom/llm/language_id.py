@@ -151,6 +151,7 @@ class Scorer:
 ADDED = {"lang_pred": "string", "score": "double"}
 
 
+@bw.tidied
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, keep: list[int]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from fieldloom.llm import bytewords as bw
 from fieldloom.llm.store import widened
 
 BLANK = "▁"
@@ -310,6 +311,7 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
         low = min(high, len(size))
 
 
+@bw.tidied
 def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, text_at: int, keep: list[int], outputs: list[str]) -> Iterator[pa.RecordBatch]:
     codec = Codec(model)
     for batch in batches:

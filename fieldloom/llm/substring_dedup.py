@@ -25,7 +25,7 @@ from fieldloom.llm import bytewords as bw
 from fieldloom.llm.store import cut, drop, release, widened
 
 #: Windows gathered in a map task before it combines and emits them; windows a hash block is sized for.
-FLUSH, BLOCK = 2_000_000, 3_000_000
+FLUSH, BLOCK = 1_000_000, 2_000_000
 BLOCKS = "block int, hit boolean, docs binary, runs binary, keys binary"
 
 
@@ -55,6 +55,7 @@ def _combine(keys: np.ndarray, docs: np.ndarray, blocks: int) -> Iterator[pa.Rec
             yield part
 
 
+@bw.tidied
 def _windows(batches: Iterator[pa.RecordBatch], window: int, blocks: int) -> Iterator[pa.RecordBatch]:
     keys, docs, held = [], [], 0
     for batch in batches:
@@ -145,6 +146,7 @@ def _spans(text: bytes, keys: bytes, window: int) -> tuple[np.ndarray, np.ndarra
 ADDED = {"n_words": "long", "n_removed": "long", "span_starts": "array<int>", "span_ends": "array<int>", "kept_text": "string", "cut_text": "string"}
 
 
+@bw.tidied
 def _removed(batches: Iterator[pa.RecordBatch], window: int, text_at: int, outputs: list[str]) -> Iterator[pa.RecordBatch]:
     names = list(ADDED)
     for whole in batches:

@@ -308,6 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3_000, max_bytes: in
 ADDED = {"score": "double", "predicted": "int"}
 
 
+@bw.tidied
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, keep: list[int]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:
