@@ -515,6 +515,12 @@ def cosine_topk(s, d):
     return ml.cosine_top(e, e.where("vec_id < 20"), "vec_id", "embedding", 5).select("query", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
 
 
+@_query("SELECT query, vec_id, round(similarity, 5) AS similarity, rank FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5")
+def cosine_topk_all(s, d):
+    e = _t(s, d, "embeddings").select("vec_id", "embedding")
+    return ml.cosine_top(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5).select("query", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
 @_query(None)
 def group_folds(s, d):
     return ml.folds(_points(s, d, "customer", "c_custkey", "c"), scalar.block_id("x", "y", 100.0), 5).select("c", "fold")

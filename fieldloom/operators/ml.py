@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from fieldloom.sources.store import cut
 
 
 def vectors(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -113,14 +119,82 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of all rows of x with all of y, summed in the order of `cosine`, so that equal vectors tie."""
+    out = np.zeros((len(x), len(y)))
+    for d in range(x.shape[1]):
+        out += x[:, d, None] * y[None, :, d]
+    return out
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * x[:, d]
+    return np.sqrt(out)
+
+
+def _cosines(column: pa.ListArray, vectors: list[list | None]) -> np.ma.MaskedArray:
+    """Cosine of each row's vector with each query vector; masked where `cosine` is null."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = np.ma.masked_all((len(column), len(vectors)))
+    for d in {len(v) for v in vectors if v and None not in v}:
+        cols = [j for j, v in enumerate(vectors) if v and None not in v and len(v) == d]
+        flat = column.take(pa.array(np.flatnonzero(sizes == d))).flatten()
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, d).all(axis=1)
+        x, y = flat.to_numpy(zero_copy_only=False).reshape(-1, d).astype(float)[whole], np.array([vectors[j] for j in cols], dtype=float)
+        with np.errstate(all="ignore"):
+            norm = _norms(x)[:, None] * _norms(y)[None, :]
+            out[np.ix_(np.flatnonzero(sizes == d)[whole], cols)] = np.ma.array(_dots(x, y) / norm, mask=norm == 0)
+    return out
+
+
+def _similar(batches: Iterator[pa.RecordBatch], names: list, vectors: list[list | None], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A task's k most similar rows for each query. batches: key, vector."""
+    own: dict = {}
+    for j, name in enumerate(names):
+        own.setdefault(name, []).append(j)
+    asked, rows = np.zeros(0, dtype=int), max(1, 1_000_000 // len(names))
+    keys = order = None
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            part = batch.slice(low, rows)
+            new = np.array(part.column(0).to_pylist())
+            got = _cosines(part.column(1), vectors)
+            # As Spark sorts: NaN above all numbers, null (-2) below; -3 is the query itself.
+            o = got.filled(-2.0)
+            o[np.isnan(o)] = 3.0
+            for i, key in enumerate(new.tolist()):
+                o[i, own.get(key, [])] = -3.0
+            least = np.partition(o, len(o) - k, axis=0)[len(o) - k] if len(o) > k else np.full(len(names), -2.0)
+            i, j = np.nonzero((o >= least) & (o > -3.0))
+            asked, keys, order = np.concatenate([asked, j]), new[i] if keys is None else np.concatenate([keys, new[i]]), o[i, j] if order is None else np.concatenate([order, o[i, j]])
+            by = np.lexsort((keys, -order, asked))
+            first = np.searchsorted(asked[by], np.arange(len(names)))
+            by = by[np.arange(len(by)) - first[asked[by]] < k]
+            asked, keys, order = asked[by], keys[by], order[by]
+    if keys is not None:
+        similarity = pa.array(np.where(order == 3.0, np.nan, order), pa.float64(), mask=order == -2.0)
+        yield pa.record_batch([pa.array([names[j] for j in asked], schema.field(0).type), pa.array(keys.tolist(), schema.field(1).type), similarity], schema=schema)
+
+
 def cosine_top(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, max_queries: int = 10_000) -> DataFrame:
-    """The k most similar rows for each of a checked number of query vectors; ties by key."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; pass them in blocks")
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    scored = rows.crossJoin(F.broadcast(q)).where(F.col(key) != F.col("query")).select("query", key, cosine(F.col(vector), F.col("__q")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k most similar rows for each query vector; ties by key. Queries go to the tasks in blocks of about max_queries."""
+    pick = lambda df: df.where(F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("__v"))
+    left, asked = pick(rows), pick(queries)
+    schema = left.select(F.col(key).alias("query"), key, F.lit(None).cast("double").alias("similarity")).schema
+    arrow, out = to_arrow_schema(schema), None
+    blocks = max(1, -(-asked.count() // max_queries))
+    for block in range(blocks):
+        q = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).collect()
+        if q:
+            names, vectors = [x[0] for x in q], [x[1] for x in q]
+            top = left.mapInArrow(lambda it, names=names, vectors=vectors: _similar(it, names, vectors, k, arrow), schema)
+            rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))
+            top = top.withColumn("rank", rank).where(F.col("rank") <= k)
+            top = top if blocks == 1 else cut(top, "similar")
+            out = top if out is None else out.unionByName(top)
+    return left.limit(0).select(F.col(key).alias("query"), key, F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")) if out is None else out
 
 
 def stability(df: DataFrame, key: str, group: str, k: int, runs: int = 5, share: float = 0.8, features: str = "features") -> DataFrame:

@@ -320,3 +320,26 @@ def test_stability_of_clear_groups(spark):
     df = ml.vectors(spark.createDataFrame(rows, "k long, g int, v array<double>"), ["v"])
     got = ml.stability(df, "k", "g", 2, runs=2).collect()
     assert [x.run for x in got] == [0, 1] and all(x.adjusted_rand > 0.95 for x in got)
+
+
+def test_cosine_search_in_blocks_of_queries(spark):
+    r = random.Random(11)
+    rows = [(i, [float(r.randrange(-2, 3)) for _ in range(3)] if i % 17 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) if a and b else 0
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm else -2.0
+
+    want = [(q, k, n + 1) for q, v in rows if q % 5 == 0 for n, (_, k) in enumerate(sorted((-cosine(w, v), k) for k, w in rows if k != q)[:4])]
+    for most in (10_000, 7):
+        got = ml.cosine_top(df, df.where("vec_id % 5 = 0"), "vec_id", "v", 4, max_queries=most).collect()
+        assert sorted((x.query, x.vec_id, x["rank"]) for x in got) == sorted(want)
+    assert ml.cosine_top(df, df.limit(0), "vec_id", "v", 4).count() == 0
+
+
+def test_cosine_search_takes_every_fiftieth_row(spark):
+    from fieldloom import catalog
+
+    got = catalog.queries()["cosine_topk_all"](spark, "/root/testdata/sf0.1")
+    assert got.count() == 200 and sorted(x[0] for x in got.select("query").distinct().collect()) == list(range(0, 2000, 50))
