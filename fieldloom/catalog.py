@@ -497,6 +497,13 @@ def interpolated_field(s, d):
     return grid.idw(_pixels(s, d).where("row % 8 = 0").select("row", "col"), c, "shift").select("row", "col", *_r("shift"))
 
 
+@_query(f"SELECT t.row, t.col, round(sum(v / (sqrt((t.row-r)**2 + (t.col-c)**2)**2 + 1e-12)) / sum(1 / (sqrt((t.row-r)**2 + (t.col-c)**2)**2 + 1e-12)), 6) AS shift FROM (SELECT row, col FROM {_P}) t, (SELECT (s_suppkey * 7 % 64)::DOUBLE AS r, (s_suppkey * 11 % 64)::DOUBLE AS c, s_acctbal AS v FROM supplier) GROUP BY ALL")
+def interpolated_field_all(s, d):
+    k = F.col("s_suppkey")
+    c = _t(s, d, "supplier").select((k * 7 % 64).cast("double").alias("row"), (k * 11 % 64).cast("double").alias("col"), F.col("s_acctbal").alias("shift"))
+    return grid.idw(_pixels(s, d).select("row", "col"), c, "shift").select("row", "col", *_r("shift"))
+
+
 @_query(f"SELECT x, y, z, tx::INT AS tx, ty::INT AS ty, tx::INT >> 3 AS file_x, ty::INT >> 3 AS file_y, tx::INT & 7 AS cell_x, ty::INT & 7 AS cell_y FROM (SELECT round(x, 3) AS x, round(y, 3) AS y, 17 AS z, floor((x + 20037508.342789244) / 40075016.685578488 * 131072) AS tx, floor((20037508.342789244 - y) / 40075016.685578488 * 131072) AS ty FROM (SELECT (x / 10 - 50) / 180 * 20037508.342789244 AS x, ln(tan(pi() / 4 + radians(y / 20 - 25) / 2)) / pi() * 20037508.342789244 AS y FROM {_C}))")
 def tile_index(s, d):
     p = _points(s, d, "customer", "c_custkey", "c").select((F.col("x") / 10 - 50).alias("lon"), (F.col("y") / 20 - 25).alias("lat"))

@@ -168,12 +168,20 @@ def sample_every(df: DataFrame, k: int) -> DataFrame:
 
 
 def idw(targets: DataFrame, controls: DataFrame, value: str, power: float = 2.0, max_controls: int = 10_000) -> DataFrame:
-    """Inverse-distance-weighted value at each target (row, col) from a small, checked table of control points."""
-    if controls.limit(max_controls + 1).count() > max_controls:
-        raise ValueError(f"more than {max_controls} control points")
-    c = controls.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v"))
-    w = 1 / (F.pow(F.hypot(F.col("row") - F.col("__r"), F.col("col") - F.col("__c")), F.lit(power)) + 1e-12)
-    return targets.crossJoin(F.broadcast(c)).groupBy(*targets.columns).agg((F.sum(w * F.col("__v")) / F.sum(w)).alias(value))
+    """Inverse-distance-weighted value at each target (row, col) from all control points. They go to the tasks in blocks
+    of about max_controls, whose partial sums are added."""
+    # Equal points are one point that counts more than once, so that hashes deal the blocks evenly.
+    c = controls.groupBy(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    w = F.col("__n") / (F.pow(F.hypot(F.col("row") - F.col("__r"), F.col("col") - F.col("__c")), F.lit(power)) + 1e-12)
+    blocks, sums = max(1, -(-c.count() // max_controls)), None
+    for block in range(blocks):
+        part = c if blocks == 1 else c.where(F.pmod(F.xxhash64("__r", "__c", "__v"), F.lit(blocks)) == block)
+        one = targets.crossJoin(F.broadcast(part)).groupBy(*targets.columns).agg(F.sum(w * F.col("__v")).alias("__wv"), F.sum(w).alias("__w"))
+        one = one if blocks == 1 else cut(one, "idw")
+        sums = one if sums is None else sums.unionByName(one)
+    if blocks > 1:
+        sums = sums.groupBy(*targets.columns).agg(F.sum("__wv").alias("__wv"), F.sum("__w").alias("__w"))
+    return sums.select(*targets.columns, (F.col("__wv") / F.col("__w")).alias(value))
 
 
 def warp(df: DataFrame, targets: DataFrame, value: str) -> DataFrame:

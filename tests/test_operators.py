@@ -343,3 +343,29 @@ def test_cosine_search_takes_every_fiftieth_row(spark):
 
     got = catalog.queries()["cosine_topk_all"](spark, "/root/testdata/sf0.1")
     assert got.count() == 200 and sorted(x[0] for x in got.select("query").distinct().collect()) == list(range(0, 2000, 50))
+
+
+def test_interpolation_in_blocks_of_controls(spark):
+    r = random.Random(12)
+    controls = [(float(r.randrange(20)), float(r.randrange(20)), float(r.randrange(-9, 9))) for _ in range(60)] + [(3.0, 4.0, 5.0)] * 8
+    targets = [(i, j) for i in range(6) for j in range(7)]
+    c, t = spark.createDataFrame(controls, "row double, col double, v double"), spark.createDataFrame(targets, "row int, col int")
+
+    def at(row, col):
+        w = [1 / (math.hypot(row - a, col - b) ** 2 + 1e-12) for a, b, _ in controls]
+        return sum(x * v for x, (_, _, v) in zip(w, controls, strict=True)) / sum(w)
+
+    for most in (10_000, 9):
+        got = {(x.row, x.col): x.v for x in grid.idw(t, c, "v", max_controls=most).collect()}
+        assert got == {k: pytest.approx(at(*k)) for k in targets}
+
+
+def test_interpolated_field_has_every_pixel_from_every_supplier(spark):
+    from fieldloom import catalog
+
+    got = catalog.queries()["interpolated_field_all"](spark, "/root/testdata/sf0.01")
+    pixels = catalog._pixels(spark, "/root/testdata/sf0.01")
+    assert got.count() == pixels.count() and pixels.join(got, ["row", "col"], "left_anti").isEmpty()
+    x, controls = got.first(), spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").collect()
+    w = [1 / (math.hypot(x.row - c.s_suppkey * 7 % 64, x.col - c.s_suppkey * 11 % 64) ** 2 + 1e-12) for c in controls]
+    assert x["shift"] == pytest.approx(sum(a * c.s_acctbal for a, c in zip(w, controls, strict=True)) / sum(w), abs=1e-5)
