@@ -470,20 +470,37 @@ def connected_patches(s, d):
 _Z = "(SELECT zone, x0, x0 + 9 AS x1, y0, y0 + 7 AS y1 FROM (SELECT s_suppkey AS zone, (s_suppkey * 13 % 60)::INT AS x0, (s_suppkey * 29 % 60)::INT AS y0 FROM supplier WHERE s_suppkey <= 40))"
 
 
-def _zones(s, d):
+_Z_ALL = _Z.replace(" WHERE s_suppkey <= 40", "")
+
+
+def _zones(s, d, only: str = "true"):
     k = F.col("s_suppkey")
-    z = _t(s, d, "supplier").where("s_suppkey <= 40").select(k.alias("zone"), (k * 13 % 60).cast("int").alias("x0"), (k * 29 % 60).cast("int").alias("y0"))
+    z = _t(s, d, "supplier").where(only).select(k.alias("zone"), (k * 13 % 60).cast("int").alias("x0"), (k * 29 % 60).cast("int").alias("y0"))
     return z.select("zone", "x0", (F.col("x0") + 9).alias("x1"), "y0", (F.col("y0") + 7).alias("y1"))
 
 
 @_query(f"SELECT zone, {_DIST.format(c='value')} FROM (SELECT row, col, any_value(value) AS value, min(zone) AS zone FROM {_P} JOIN {_Z} ON col >= x0 AND col < x1 AND row >= y0 AND row < y1 GROUP BY row, col) GROUP BY zone")
 def zonal_stats(s, d):
-    return aggregates.percentile_profile(spatial.zonal_owner(_pixels(s, d), _zones(s, d), "zone"), "value", ["zone"]).select("zone", "n", "min", "max", *_r("p10", "p50", "p90", "mean", "std"))
+    return aggregates.percentile_profile(spatial.zonal_owner(_pixels(s, d), _zones(s, d, "s_suppkey <= 40"), "zone"), "value", ["zone"]).select("zone", "n", "min", "max", *_r("p10", "p50", "p90", "mean", "std"))
 
 
 @_query(f"""SELECT zone, round(avg(value), 6) AS background, count(value) AS n_pixels FROM (SELECT zone, p.value FROM {_Z} z JOIN (SELECT * FROM {_P} p WHERE NOT EXISTS (SELECT 1 FROM {_Z} o WHERE p.col >= o.x0 AND p.col < o.x1 AND p.row >= o.y0 AND p.row < o.y1)) p
 ON sqrt((z.x0 + 4 - p.col)**2 + (z.y0 + 3 - p.row)**2) > 6 AND sqrt((z.x0 + 4 - p.col)**2 + (z.y0 + 3 - p.row)**2) <= 12) GROUP BY zone""")
 def ring_background(s, d):
+    z = _zones(s, d, "s_suppkey <= 40")
+    p = _pixels(s, d)
+    centres = z.select("zone", (F.col("x0") + 4.0).alias("x"), (F.col("y0") + 3.0).alias("y"))
+    return spatial.ring_background(p, centres, "zone", spatial.zonal_owner(p, z, "zone"), 6.0, 12.0, "value").select("zone", *_r("background"), "n_pixels")
+
+
+@_query(f"SELECT zone, {_DIST.format(c='value')} FROM (SELECT row, col, any_value(value) AS value, min(zone) AS zone FROM {_P} JOIN {_Z_ALL} ON col >= x0 AND col < x1 AND row >= y0 AND row < y1 GROUP BY row, col) GROUP BY zone")
+def zonal_stats_all(s, d):
+    return aggregates.percentile_profile(spatial.zonal_owner(_pixels(s, d), _zones(s, d), "zone"), "value", ["zone"]).select("zone", "n", "min", "max", *_r("p10", "p50", "p90", "mean", "std"))
+
+
+@_query(f"""SELECT zone, round(avg(value), 6) AS background, count(value) AS n_pixels FROM (SELECT zone, p.value FROM {_Z_ALL} z JOIN (SELECT * FROM {_P} p WHERE NOT EXISTS (SELECT 1 FROM {_Z_ALL} o WHERE p.col >= o.x0 AND p.col < o.x1 AND p.row >= o.y0 AND p.row < o.y1)) p
+ON sqrt((z.x0 + 4 - p.col)**2 + (z.y0 + 3 - p.row)**2) > 6 AND sqrt((z.x0 + 4 - p.col)**2 + (z.y0 + 3 - p.row)**2) <= 12) GROUP BY zone""")
+def ring_background_all(s, d):
     z = _zones(s, d)
     p = _pixels(s, d)
     centres = z.select("zone", (F.col("x0") + 4.0).alias("x"), (F.col("y0") + 3.0).alias("y"))

@@ -369,3 +369,18 @@ def test_interpolated_field_has_every_pixel_from_every_supplier(spark):
     x, controls = got.first(), spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").collect()
     w = [1 / (math.hypot(x.row - c.s_suppkey * 7 % 64, x.col - c.s_suppkey * 11 % 64) ** 2 + 1e-12) for c in controls]
     assert x["shift"] == pytest.approx(sum(a * c.s_acctbal for a, c in zip(w, controls, strict=True)) / sum(w), abs=1e-5)
+
+
+def test_all_suppliers_are_zones(spark):
+    from fieldloom import catalog
+
+    sf = "/root/testdata/sf0.01"
+    keys = [x[0] for x in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()]
+    boxes = sorted((k, k * 13 % 60, k * 29 % 60) for k in keys)
+    pixels = {(x.row, x.col): float(x.value) for x in catalog._pixels(spark, sf).collect()}
+    owner = {p: next((k for k, x, y in boxes if x <= p[1] < x + 9 and y <= p[0] < y + 7), None) for p in pixels}
+    got = {x.zone: x.n for x in catalog.queries()["zonal_stats_all"](spark, sf).collect()}
+    assert got == {k: n for k in keys if (n := sum(o == k for o in owner.values()))} and max(got) > 40
+    want = {k: n for k, x, y in boxes if (n := sum(o is None and 6 < math.hypot(x + 4 - c, y + 3 - r) <= 12 for (r, c), o in owner.items()))}
+    got = {x.zone: x.n_pixels for x in catalog.queries()["ring_background_all"](spark, sf).collect()}
+    assert got == want and max(got) > 40
