@@ -142,22 +142,32 @@ def link_tracks(df: DataFrame, block: str, at: str, tolerance: float, max_lag: i
     return df.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda r: link(r.drop(columns="__one")), schema)
 
 
-def chain_select(df: DataFrame, line: str, along: str, score: str, spacing: float, weight: float, reach: int = 12) -> DataFrame:
+def chain_select(df: DataFrame, line: str, along: str, score: str, spacing: float, weight: float) -> DataFrame:
     """Of each line the chain of rows with the largest sum of scores less weight times the squared relative deviation of
-    its steps from multiples of the spacing; a step may pass over at most `reach` rows. Ties: the earlier predecessor."""
+    its steps from multiples of the spacing. Ties: the earlier predecessor.
+
+    Every earlier row can be the predecessor. They are tried in blocks, the nearest first, until the largest total
+    of the rest is under the best value found: a penalty is never negative, so none of the rest can be better."""
+    if weight < 0:
+        raise ValueError("weight is negative")
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(along, kind="stable").reset_index(drop=True)
         x, s = rows[along].to_numpy(dtype=float), rows[score].to_numpy(dtype=float)
-        total, back = s.copy(), np.full(len(s), -1)
+        total, back, top = s.copy(), np.full(len(s), -1), s.copy()
         for i in range(1, len(s)):
-            low = max(0, i - reach - 1)
-            step = (x[i] - x[low:i]) / spacing
-            penalty = weight * (step - np.maximum(1, np.round(step))) ** 2
-            value = total[low:i] - penalty
-            j = int(np.argmax(value))
-            if value[j] > 0:
-                total[i], back[i] = s[i] + value[j], low + j
+            high, size, most = i, 64, 0.0
+            # top[k]: largest total up to k. A rest that can only equal the best still counts, for its earlier row.
+            while high > 0 and top[high - 1] > 0 and top[high - 1] >= most:
+                low = max(0, high - size)
+                step = (x[i] - x[low:high]) / spacing
+                value = total[low:high] - weight * (step - np.maximum(1, np.round(step))) ** 2
+                j = int(np.argmax(value))
+                if value[j] > 0 and value[j] >= most:
+                    most, back[i] = value[j], low + j
+                high, size = low, 2 * size
+            total[i] = s[i] + most
+            top[i] = max(top[i - 1], total[i])
         i, chosen = int(np.argmax(total)) if len(s) and total.max() > 0 else -1, []
         while i >= 0:
             chosen.append(i)

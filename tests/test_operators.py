@@ -384,3 +384,30 @@ def test_all_suppliers_are_zones(spark):
     want = {k: n for k, x, y in boxes if (n := sum(o is None and 6 < math.hypot(x + 4 - c, y + 3 - r) <= 12 for (r, c), o in owner.items()))}
     got = {x.zone: x.n_pixels for x in catalog.queries()["ring_background_all"](spark, sf).collect()}
     assert got == want and max(got) > 40
+
+
+def test_chain_looks_at_all_earlier_rows(spark):
+    r = random.Random(13)
+    dense = [(1, i * 0.25, r.uniform(-0.5, 0.5)) for i in range(400)]
+    gap = [(2, 0.0, 9.0), *((2, 1.0 + i * 0.01, -1.0) for i in range(300)), (2, 10.0, 1.0)]
+    tied = [(3, float(i // 40), r.choice([-0.5, 0.5])) for i in range(400)]
+    rows = dense + gap + tied
+    got = sequence.chain_select(spark.createDataFrame(rows, "line long, x double, s double"), "line", "x", "s", 10.0, 2.0).collect()
+
+    def chain(own):
+        total, back = [t[2] for t in own], [-1] * len(own)
+        for i in range(1, len(own)):
+            steps = [(own[i][1] - own[j][1]) / 10.0 for j in range(i)]
+            values = [total[j] - 2.0 * (q - max(1, round(q))) ** 2 for j, q in enumerate(steps)]
+            j = values.index(max(values))
+            if values[j] > 0:
+                total[i], back[i] = own[i][2] + values[j], j
+        i, out = total.index(max(total)), []
+        while i >= 0:
+            out.append(own[i])
+            i = back[i]
+        return out[::-1]
+
+    for part in (dense, gap, tied):
+        assert sorted(tuple(t) for t in got if t.line == part[0][0]) == sorted(chain(part))
+    assert [t[1] for t in chain(gap)] == [0.0, 10.0]
