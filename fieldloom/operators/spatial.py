@@ -30,12 +30,17 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, ax: str = "x", ay: st
     return left.join(right, ["__cx", "__cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select("a", "b", "distance")
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, start: float, x: str = "x", y: str = "y", rounds: int = 12) -> DataFrame:
-    """For each a the nearest b (ties: smallest id): a cell join whose radius doubles for those that found none."""
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, start: float, x: str = "x", y: str = "y") -> DataFrame:
+    """For each a the nearest b (ties: smallest id): a cell join whose radius doubles for those that found none,
+    up to the extent of all points. Points with a coordinate that is null or not finite have no neighbour."""
+    if not start > 0:
+        raise ValueError(f"a start of {start} can't be doubled")
+    finite = (F.abs(F.col(x).cast("double")) < float("inf")) & (F.abs(F.col(y).cast("double")) < float("inf"))
+    a, b = a.where(finite), b.where(finite)
     left, out = a.select(F.col(a_id).alias("__a"), F.col(x).alias("x"), F.col(y).alias("y")), None
     right, radius = b.select(F.col(b_id).alias("__b"), F.col(x).alias("x"), F.col(y).alias("y")), start
     extent = a.select(x, y).unionByName(b.select(x, y)).agg(F.hypot(F.max(x) - F.min(x), F.max(y) - F.min(y))).first()[0] or 0.0
-    for _ in range(rounds):
+    while True:
         pairs = radius_join(left, right, radius)
         found = pairs.groupBy(F.col("a.__a").alias("__a")).agg(F.min(F.struct(F.col("distance"), F.col("b.__b").alias("id"))).alias("m")).select("__a", F.col("m.id").alias("__b"), F.col("m.distance").alias("distance"))
         found = cut(found, "nearest")

@@ -411,3 +411,11 @@ def test_chain_looks_at_all_earlier_rows(spark):
     for part in (dense, gap, tied):
         assert sorted(tuple(t) for t in got if t.line == part[0][0]) == sorted(chain(part))
     assert [t[1] for t in chain(gap)] == [0.0, 10.0]
+
+
+def test_nearest_over_a_wide_extent(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e5, 0.0), (3, float("nan"), 0.0), (4, None, 0.0)], "i long, x double, y double")
+    b = spark.createDataFrame([(7, 1e6, 0.0), (8, 0.0, 3e5), (9, float("inf"), 0.0)], "j long, x double, y double")
+    got = sorted(tuple(t) for t in spatial.nearest(a, b, "i", "j", 1.0).collect())
+    assert got == [(1, 8, 3e5), (2, 7, 1e5)]
+    assert spatial.nearest(a, b.limit(0), "i", "j", 1.0).count() == 0
