@@ -7,7 +7,8 @@ the highest of all its overlapping windows, calibrated with the logarithm of the
 numpy on the driver: the inputs of a training document are made from the other folds' counts, and in each round every
 toxic document trains its best window and every clean one its best and a random one.
 
-At most `max_docs` labelled rows (smallest hash of the id first, and `max_bytes` of text) are brought to the driver.
+At most `max_docs` labelled rows (smallest hash of the id first) are brought to the driver, and `max_bytes` of text: a
+text that does not fit what is left of these is passed over, the rows after it are not.
 
 Defined cases: null and empty texts are one empty window; a training set with a single class gives every document the
 share of its class; repeated labels of a document count once (toxic wins), null labels not at all.
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bytewords as bw
@@ -299,9 +300,14 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3_000, max_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on documents that have a label."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_docs)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))).dropDuplicates(["id"])
-    held = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = found.withColumn("sum", F.sum("size").over(held)).where(F.col("sum") <= max_bytes).orderBy("h", "id").select("text", "y").toPandas()
+    text = F.struct(F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), "text")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("h", "id", "y").agg(F.min(text).alias("t")).select("h", "id", "y", "t.*")
+    left, ids = max_bytes, []
+    for x in found.select("h", "id", "size").orderBy("h", "id").collect():
+        if x["size"] <= left:
+            left -= x["size"]
+            ids.append(x["id"])
+    rows = found.where(F.col("id").isin(ids)).orderBy("h", "id").select("text", "y").toPandas()
     return train([t or "" for t in rows["text"]], (rows["y"].to_numpy() > 0).astype(np.int64) if len(rows) else np.zeros(0, dtype=np.int64))
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import language_id, queries, toxicity
 
@@ -92,3 +93,11 @@ def test_toxicity_cases(spark):
     assert {r.score for r in toxicity.predict(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0.0}
     assert {r.score for r in toxicity.predict(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
     assert toxicity.predict(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
+
+
+def test_toxicity_passes_over_a_text_that_does_not_fit(spark):
+    order = [x.id for x in spark.range(40).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, "good words " * 5000 if n == 0 else ("vile nasty" if n % 2 else "good kind") + f" word{n}", n % 2) for n, i in enumerate(order)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), max_bytes=5000)
+    assert model.network is not None and model.odds["=vile"] > 0 > model.odds["=good"]
