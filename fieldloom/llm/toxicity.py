@@ -3,8 +3,8 @@
 Each word enters as a few numbers: the log-odds of the word itself (word input) and the extremes of the log-odds of its
 prefixes and inner n-grams (character inputs), counted by documents on the training rows and shrunk by one document.
 Two gated recurrent layers read a window of words from both ends, attention pools their states, and a document takes
-the highest of all its overlapping windows, calibrated with the logarithm of their number. Everything is trained in
-numpy on the driver: the inputs of a training document are made from the other folds' counts, and in each round every
+the highest of all its overlapping windows (one from every word on), calibrated with the logarithm of their number.
+Everything is trained in numpy on the driver: the inputs of a training document are made from the other folds' counts, and in each round every
 toxic document trains its best window and every clean one its best and a random one.
 
 At most `max_docs` labelled rows (smallest hash of the id first) are brought to the driver, and `max_bytes` of text: a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm import bytewords as bw
 from fieldloom.llm.store import widened
 
-WINDOW, STRIDE, HIDDEN, INPUTS, FOLDS = 24, 16, 6, 4, 4
+WINDOW, STRIDE, HIDDEN, INPUTS, FOLDS = 24, 1, 6, 4, 4
 #: Distinct words whose inputs a task remembers; windows scored at once.
 CACHE, AT_ONCE = 400_000, 4096
 _WORDS = re.compile(r"[^\W\d_]+").findall

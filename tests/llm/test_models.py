@@ -101,3 +101,8 @@ def test_toxicity_passes_over_a_text_that_does_not_fit(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), max_bytes=5000)
     assert model.network is not None and model.odds["=vile"] > 0 > model.odds["=good"]
+
+
+def test_every_start_has_a_window():
+    row, start = toxicity.windows(np.array([100, 25]))
+    assert start[row == 0].tolist() == list(range(77)) and start[row == 1].tolist() == [0, 1]
