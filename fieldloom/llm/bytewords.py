@@ -1,8 +1,9 @@
 """Words and rolling hashes of Arrow text columns, computed on the raw UTF-8 bytes with numpy.
 
 Texts are never decoded: a separator table of 256 bytes tells words from gaps, and hashes of words and of
-runs of words come from prefix sums modulo 2**64. Work goes in slices of a few MB, cut between documents, so
-memory follows the slice (or one very long document) and not the batch.
+runs of words come from prefix sums modulo 2**64. Work goes in slices of about a MB, cut between documents, so
+memory follows the slice (or one very long document) and not the batch. Within a slice all sums run in chunks of
+CHUNK bytes or words, whose powers are the only tables kept.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Bytes or words summed at once.
+CHUNK = 1 << 16
 
 _MASK = (1 << 64) - 1
-_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
-_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def tidy() -> None:
@@ -60,37 +62,25 @@ LOWER[65:91] += 32
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    for low in range(0, len(x), 1 << 18):
+        part = x[low : low + (1 << 18)]
+        part ^= part >> np.uint64(30)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(27)
+        part *= np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
     return x
 
 
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of the base."""
+    steps = np.full(n, base & _MASK, dtype=np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
-def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n - 1."""
-    have = _POWERS.get(kind)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        made = []
-        for base in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)):
-            steps = np.full(size, base & _MASK, dtype=np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        have = _POWERS[kind] = (made[0], made[1])
-    return have[0][:n], have[1][:n]
-
-
-def _rolling(values: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(kind, len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return sums, down
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_UP, _DOWN = _powers(_BYTE, CHUNK), _powers(pow(_BYTE, -1, 1 << 64), CHUNK)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -116,23 +106,47 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 
 def words(data: np.ndarray, at: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each row (and the end) the index of its first word."""
-    inside = ~gaps[data]
-    start, end = inside.copy(), inside.copy()
-    if len(data):
-        start[1:] &= ~inside[:-1]
-        end[:-1] &= ~inside[1:]
-        edge = at[:-1][at[:-1] < len(data)]
-        start[edge] = inside[edge]
-        edge = at[1:][at[1:] > 0] - 1
-        end[edge] = inside[edge]
-    starts = np.flatnonzero(start)
-    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, at)
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    edges = np.unique(at[(at > 0) & (at < len(data))])
+    starts, ends = [], []
+    for low in range(0, len(data), 16 * CHUNK):
+        high = min(low + 16 * CHUNK, len(data))
+        inside = ~gaps[data[low : high + 1]]  # and one byte of the next chunk
+        n = high - low
+        before = low > 0 and not gaps[data[low - 1]]
+        start = inside[:n].copy()
+        start[1:] &= ~inside[: n - 1]
+        if before:
+            start[0] = False
+        end = inside[:n].copy()
+        end[: len(inside) - 1] &= ~inside[1:]
+        own = edges[np.searchsorted(edges, low) : np.searchsorted(edges, high)] - low
+        start[own] = inside[own]
+        own = edges[np.searchsorted(edges, low, side="right") : np.searchsorted(edges, high, side="right")] - 1 - low
+        end[own] = inside[own]
+        starts.append((np.flatnonzero(start) + low).astype(kind))
+        ends.append((np.flatnonzero(end) + low + 1).astype(kind))
+    starts = np.concatenate(starts) if starts else np.zeros(0, dtype=kind)
+    return starts, np.concatenate(ends) if ends else starts, np.searchsorted(starts, at)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    sums, down = _rolling(_byte_values()[data], "byte")
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    """A 64-bit hash of each word's bytes: a polynomial of them, summed over the chunks that the word lies in."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    sums = np.zeros(CHUNK + 1, dtype=np.uint64)
+    for low in range(0, len(data), CHUNK):
+        high = min(low + CHUNK, len(data))
+        i, j = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high))
+        if i == j:
+            continue
+        np.cumsum(_VALUES[data[low:high]] * _UP[: high - low], out=sums[1 : high - low + 1])
+        begin = np.maximum(starts[i:j], low) - low
+        part = (sums[np.minimum(ends[i:j], high) - low] - sums[begin]) * _DOWN[begin]
+        if starts[i] < low:  # the rest of a word that began before
+            part[:1] *= np.uint64(pow(_BYTE, low - int(starts[i]), 1 << 64))
+        out[i:j] += part
+    out += (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    return mix(out)
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,13 +157,23 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = F
     rows = len(first) - 1
     count = np.diff(first)
     runs = np.maximum(count - k + 1, (count > 0) if short else 0)
-    row = np.repeat(np.arange(rows), runs)
+    kind = np.int32 if len(hashes) < 1 << 31 else np.int64
+    row = np.repeat(np.arange(rows, dtype=kind), runs)
     begin = np.cumsum(runs) - runs
-    word = first[:-1][row] + (np.arange(len(row)) - begin[row])
-    long = np.minimum(count, k)[row]
-    sums, down = _rolling(hashes, "word")
-    got = (sums[word + long] - sums[word]) * down[word]
-    return mix(got + long.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), word, row
+    word = np.arange(len(row), dtype=kind)
+    word += np.repeat((first[:-1] - begin).astype(kind), runs)
+    out = np.empty(len(row), dtype=np.uint64)
+    up, down = _powers(_WORD, CHUNK + k), _powers(pow(_WORD, -1, 1 << 64), CHUNK + k)
+    sums = np.zeros(CHUNK + k + 1, dtype=np.uint64)
+    for low in range(0, len(hashes), CHUNK):
+        i, j = int(np.searchsorted(word, low)), int(np.searchsorted(word, low + CHUNK))
+        if i == j:
+            continue
+        high = min(low + CHUNK + k, len(hashes))
+        np.cumsum(hashes[low:high] * up[: high - low], out=sums[1 : high - low + 1])
+        at, long = word[i:j] - low, np.minimum(count[row[i:j]], k)
+        out[i:j] = (sums[at + long] - sums[at]) * down[at] + long.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    return mix(out), word, row
 
 
 def binary_rows(values: np.ndarray, cuts: np.ndarray) -> pa.Array:

@@ -2,8 +2,12 @@
 
 The normaliser walks the model's compiled character map (a double-array trie over UTF-8 bytes and a pool of
 replacements), always takes the longest prefix and records which source bytes each normalised character came from.
-BPE merges then run inside chunks that no piece of the vocabulary can cross (blanks and what follows them), so equal
-chunks are encoded once and looked up afterwards; every piece is projected to a span of source bytes.
+BPE merges then run inside chunks that no piece of the vocabulary can cross (blanks and what follows them), and every
+piece is projected through that alignment to a span of source bytes.
+
+Where the map is empty, a chunk of the source is a chunk of the normalised text. Different chunks are then normalised,
+merged and aligned together as numpy columns, once for as long as a task remembers them (CACHE_BYTES); texts look
+their chunks up. The library itself is used for nothing but reading the model file.
 
 Defined cases: a null or empty text gives no pieces and decodes to the empty string; a character outside the
 vocabulary becomes its byte pieces, each with its own byte as span (unknown id if the model has none); the spans of a
@@ -15,7 +19,6 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 
@@ -29,8 +32,9 @@ from fieldloom.llm.store import widened
 
 BLANK = "▁"
 NONE = float("-inf")
-#: Chunks remembered in a task; characters beyond which merges use a heap; bytes of text encoded at once.
-CACHE, LONG, SLICE = 500_000, 256, 2 << 20
+#: Bytes of remembered chunks in a task, each with some CACHE_EACH bytes besides its text; characters beyond which
+#: merges use a heap; chunks of one length that are merged one by one; bytes of text encoded at once.
+CACHE_BYTES, CACHE_EACH, LONG, FEW, SLICE = 24 << 20, 80, 256, 6, 2 << 20
 
 
 class CharMap:
@@ -65,11 +69,41 @@ class CharMap:
         return best[0], self.pool[best[1] : end].decode()
 
 
+class Pairs:
+    """A map from long keys to numbers, looked up for whole columns: each level is a table of one number for a slot, and
+    keys whose slot is taken go to the next, smaller level."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels = []
+        while len(keys):
+            bits = max(4, int(len(keys) * 8).bit_length())
+            slot = self._slot(keys, bits)
+            _, first = np.unique(slot, return_index=True)
+            held, number = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+            held[slot[first]], number[slot[first]] = keys[first], values[first]
+            self.levels.append((bits, held, number))
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+
+    def _slot(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those without one."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        for bits, held, number in self.levels:
+            slot = self._slot(keys, bits)
+            hit = held[slot] == keys
+            out[hit] = number[slot[hit]]
+        return out
+
+
 class Codec:
     """An encoder and decoder for one model, given as the bytes of its file."""
 
     def __init__(self, model: bytes):
-        from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         m = proto.ModelProto()
@@ -91,12 +125,34 @@ class Codec:
         unk = (m.trainer_spec.unk_surface if m.trainer_spec.HasField("unk_surface") else " ⁇ ").encode()
         self.surface = [bytes([of_byte[i]]) if i in of_byte else b"" if p.type == 3 else unk if p.type == 2 else p.piece.replace(BLANK, " ").encode() for i, p in enumerate(m.pieces)]
         self.table = pa.array(self.surface, pa.large_binary())
-        self.widths = np.array([len(x) for x in self.surface], dtype=np.int64)
-        # Without a map, chunks of the source are chunks of the normalised text; the library then segments new ones in batches.
+        # Without a map, chunks of the source are chunks of the normalised text.
         self.plain = not self.map.units and not self.squeeze and self.escape and self.prefix and bool(self.bytes)
-        self.library = SentencePieceProcessor(model_proto=model) if self.plain else None
+        self.doubled = any(p.startswith(2 * BLANK) for p in self.score)
+        if self.plain:
+            self._columns(m.pieces)
         self._forget()
 
+    def _columns(self, pieces: Sequence) -> None:
+        """Tables for merging many chunks at once. A symbol is the id of a piece, or `top` and a code point."""
+        self.top = len(pieces)
+        best = np.array([-p.score if p.type == 1 else np.inf for p in pieces])
+        self.rank = np.unique(best, return_inverse=True)[1].astype(np.int32)
+        self.first_symbol = np.arange(0x110000, dtype=np.int32) + self.top
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.first_symbol[ord(p)] = i
+        symbol = lambda x: self.ids.get(x, self.top + ord(x) if len(x) == 1 else None)
+        keys, merged = [], []
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                a, b = symbol(p[:k]), symbol(p[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 21 | b)
+                    merged.append(i)
+        self.pairs = Pairs(np.array(keys, dtype=np.int64), np.array(merged, dtype=np.int32))
+        self.chars = np.array([len(p.piece) for p in pieces], dtype=np.int32)
+        self.byte_piece = np.array([self.bytes[b] for b in range(256)], dtype=np.int32)
+
     # Normalisation
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
@@ -234,19 +290,135 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.cuts = array("i"), array("q", [0])
+        self.held = 0
+        self.flat, self.flat_ends = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.cuts, self.sizes = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _learn(self, keys: list[str]) -> None:
-        """Number the chunks that are not known yet (each without the blank before it)."""
-        if len(self.known) > CACHE:
+    @staticmethod
+    def normalise_many(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of chunks (each without the blank before it): code points with escaped blanks and one put in front, the byte
+        of the chunk at which each ends, and where each chunk's code points begin (and the last end)."""
+        codes = np.frombuffer((" " + " ".join(chunks)).encode("utf-32-le"), dtype=np.uint32) if " " not in "".join(chunks) else None
+        size = np.array([len(c) + 1 for c in chunks], dtype=np.int64)
+        if codes is None:
+            codes = np.frombuffer("".join(f" {c}" for c in chunks).encode("utf-32-le"), dtype=np.uint32)
+        first = np.concatenate([[0], np.cumsum(size)])
+        width = 1 + (codes > 0x7F).astype(np.int32) + (codes > 0x7FF) + (codes > 0xFFFF)
+        width[first[:-1]] = 0
+        ends = np.cumsum(width, dtype=np.int64)
+        ends -= np.repeat(ends[first[:-1]], size)
+        return np.where(codes == 0x20, np.uint32(ord(BLANK)), codes), ends, first
+
+    def merge_many(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges in rows of symbols, all of one length: the symbols, and how many each row has left. In each round every
+        row that can merges its best pair, of equal ones the leftmost."""
+        n, width = symbols.shape
+        left = np.full(n, width)
+        none = np.int32(len(self.rank))
+        ranked = np.append(self.rank, none)
+        out, live = symbols, np.arange(n)
+        own = symbols.astype(np.int64)
+        rank = np.empty((n, max(width - 1, 0)), dtype=np.int32)
+        for k in range(width - 1):
+            rank[:, k] = ranked[self.pairs.find(own[:, k] << 21 | own[:, k + 1])]
+        while len(live) and rank.shape[1]:
+            at = rank.argmin(axis=1)
+            row = np.arange(len(live))
+            go = rank[row, at] < none
+            if not go.all():
+                out[live[~go], : own.shape[1]] = own[~go]
+                live, own, rank, at = live[go], own[go], rank[go], at[go]
+                row = row[: len(live)]
+            if not len(live):
+                break
+            own[row, at] = self.pairs.find(own[row, at] << 21 | own[row, at + 1])
+            left[live] -= 1
+            cols = np.arange(own.shape[1] - 1)
+            own = np.where(cols <= at[:, None], own[:, :-1], own[:, 1:])
+            cols = cols[:-1]
+            rank = np.where(cols < at[:, None], rank[:, :-1], rank[:, 1:])
+            size = left[live]
+            some = np.flatnonzero(at + 1 < size)
+            rank[some, at[some]] = ranked[self.pairs.find(own[some, at[some]] << 21 | own[some, at[some] + 1])]
+            some = np.flatnonzero(at > 0)
+            rank[some, at[some] - 1] = ranked[self.pairs.find(own[some, at[some] - 1] << 21 | own[some, at[some]])]
+        if len(live):
+            out[live, : own.shape[1]] = own
+        return out, left
+
+    def _learn(self, new: list[str]) -> None:
+        """Number chunks that are not known yet (each without the blank before it)."""
+        if self.held > CACHE_BYTES:
+            raise MemoryError("the caller forgets chunks beyond CACHE_BYTES")
+        codes, ends, first = self.normalise_many(new)
+        size = np.diff(first)
+        flat, flat_ends, counts, order = [self.flat], [self.flat_ends], [], []
+        for width in np.unique(size):
+            rows = np.flatnonzero(size == width)
+            order.append(rows)
+            if width > LONG or len(rows) < FEW:
+                for r in rows:
+                    found = self.pieces("".join(map(chr, codes[first[r] : first[r + 1]])))
+                    own = ends[first[r] : first[r + 1]]
+                    flat.append(np.array([x[0] for x in found], dtype=np.int32))
+                    flat_ends.append(np.array([own[c - 1] if b < 0 else (own[c - 1] if c else 0) + b for _, c, b in found], dtype=np.int32))
+                    counts.append(np.array([len(found)]))
+                continue
+            at = first[rows][:, None] + np.arange(width)
+            symbols, left = self.merge_many(self.first_symbol[codes[at]])
+            whole = np.arange(width) < left[:, None]
+            got = symbols[whole]
+            known = got < self.top
+            done = np.zeros(symbols.shape, dtype=np.int64)
+            done[whole] = np.where(known, self.chars[np.minimum(got, self.top - 1)], 1)
+            last = np.cumsum(done, axis=1)[whole] - 1
+            row = np.repeat(np.arange(len(rows)), left)
+            end = ends[at[row, last]]
+            if known.all():
+                flat.append(got.astype(np.int32))
+                flat_ends.append(end.astype(np.int32))
+                counts.append(left)
+                continue
+            # Characters outside the vocabulary become one piece for each byte.
+            point = np.where(known, 0, got - self.top)
+            wide = 1 + (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
+            many = np.repeat(np.arange(len(got)), wide)
+            nth = np.arange(len(many)) - np.repeat(np.cumsum(wide) - wide, wide)
+            raw = np.frombuffer("".join(map(chr, point[~known])).encode(), dtype=np.uint8)
+            ids = got[many].astype(np.int32)
+            ids[~known[many]] = self.byte_piece[raw]
+            flat.append(ids)
+            flat_ends.append((end[many] - np.where(known[many], 0, wide[many] - 1 - nth)).astype(np.int32))
+            counts.append(np.bincount(row[many], minlength=len(rows)))
+        order = np.concatenate(order)
+        self.known.update(zip([new[i] for i in order.tolist()], range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.flat, self.flat_ends = np.concatenate(flat), np.concatenate(flat_ends)
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(np.concatenate(counts))])
+        sizes = ends[first[1:] - 1][order]
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.held += int(sizes.sum()) + CACHE_EACH * len(new)
+
+    def _chunks(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each chunk of the texts, and where each text's chunks begin (and the last end)."""
+        if any(t and (t[0] == " " or "  " in t) for t in texts) and self.doubled:
+            lists = [_KEYS(" " + t) if t else [] for t in texts]
+            count = np.array([len(x) for x in lists], dtype=np.int64)
+            keys = pa.array([k for x in lists for k in x], pa.large_string())
+        else:
+            full = np.array([bool(t) for t in texts], dtype=bool)
+            lists = pc.split_pattern(pa.array([t for t in texts if t], pa.large_string()), " ")
+            count = np.zeros(len(texts), dtype=np.int64)
+            count[full] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            keys = lists.flatten()
+        coded = keys.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if self.held > CACHE_BYTES:
             self._forget()
-        new = list(set(keys).difference(self.known))
-        self.known.update(zip(new, range(len(self.cuts) - 1, len(self.cuts) - 1 + len(new)), strict=True))
-        for low in range(0, len(new), 10_000):
-            part = new[low : low + 10_000]
-            for key, ids in zip(part, self.library.encode(part, num_threads=1), strict=True):
-                self.flat.extend(ids if key else [x[0] for x in self.pieces(BLANK)])
-                self.cuts.append(len(self.flat))
+        new = [k for k in names if k not in self.known]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
+        return number[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, dtype=np.int64), np.concatenate([[0], np.cumsum(count)])
 
     def encode_many(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids, starts, ends of all texts' pieces, and where each text's pieces begin (and the last end)."""
@@ -255,24 +427,21 @@ class Codec:
             ids, starts, ends, cuts = self.encode_many([None if a else t for t, a in zip(texts, alone, strict=True)]) if self.plain else (*[np.zeros(0, dtype=np.int32)] * 3, np.zeros(len(texts) + 1, dtype=np.int64))
             rows = [self.encode(t) if a else (ids[cuts[i] : cuts[i + 1]], starts[cuts[i] : cuts[i + 1]], ends[cuts[i] : cuts[i + 1]]) for i, (t, a) in enumerate(zip(texts, alone, strict=True))]
             return *(np.concatenate([np.asarray(r[k], dtype=np.int32) for r in rows]) for k in range(3)), np.cumsum([0, *(len(r[0]) for r in rows)])
-        keys, first = [], [0]
-        for t in texts:
-            if t:
-                keys += _KEYS(" " + t) if "  " in t or t[0] == " " else t.split(" ")
-            first.append(len(keys))
-        self._learn(keys)
-        chunk = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
-        cuts = np.array(self.cuts)
-        count = cuts[chunk + 1] - cuts[chunk]
+        chunk, first = self._chunks(texts)
+        # Where each chunk's text begins: after the chunks before it and one blank between two.
+        size = self.sizes[chunk] + 1
+        begin = np.cumsum(size) - size
+        begin -= np.repeat(np.append(begin, 0)[first[:-1]], np.diff(first))
+        count = self.cuts[chunk + 1] - self.cuts[chunk]
         token = np.concatenate([[0], np.cumsum(count)])
-        take = np.arange(token[-1]) + np.repeat(cuts[chunk] - token[:-1], count)
-        ids = np.array(self.flat, dtype=np.int32)[take]
-        of_text = token[np.array(first)]
-        # Without a map each piece stands for the bytes of its surface; the blank put in front of a text has none.
-        ends = np.cumsum(self.widths[ids], dtype=np.int64)
-        ends -= np.repeat(np.concatenate([[0], ends])[of_text[:-1]] + 1, np.diff(of_text))
-        starts = np.maximum(ends - self.widths[ids], 0)
-        return ids, starts.astype(np.int32), ends.astype(np.int32), of_text
+        take = np.arange(token[-1]) + np.repeat(self.cuts[chunk] - token[:-1], count)
+        ids = self.flat[take]
+        ends = (self.flat_ends[take] + np.repeat(begin, count)).astype(np.int32)
+        cuts = token[first]
+        starts = np.empty_like(ends)
+        starts[1:] = ends[:-1]
+        starts[cuts[:-1][np.diff(cuts) > 0]] = 0
+        return ids, starts, ends, cuts
 
     def decode_many(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
         parts = self.table.take(pa.array(ids))
