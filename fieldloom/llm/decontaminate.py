@@ -1,17 +1,20 @@
 """Benchmark decontamination by a distributed positional inverted index of the training documents.
 
 The index is partitioned by documents: one stored row holds a block of documents and, for each term in it, the sorted
-list of positions. Nothing is shuffled, a block is bounded by its bytes, and neither a common word nor a large group
-of copies meets in one task. A query brings test phrases to every block, takes their rarest term there and intersects
-the other lists, adjusted by their offsets, from rare to common, until one is empty or all have met. Only terms of the
-test set are posted unless `vocabulary` is None. Test phrases travel with the tasks in groups of a checked size.
+list of positions. A block is bounded by its bytes, so neither a common word nor a large group of copies meets in one
+task. Test phrases are a stored table as well. A phrase is routed by its rarest term over all documents: only blocks
+that hold this term get the phrase, as a row (block, phrase). A task then takes a block with its phrases and
+intersects the lists of positions, adjusted by the terms' offsets, from the rarest term of the block to the commonest.
+Nothing about the phrases is held by the driver, whatever their number; a block with very many of them is dealt in
+parts. Only terms of the test set are posted unless there are more of them than VOCABULARY.
 
 A word is a run of ASCII letters, digits and non-ASCII characters after A-Z became a-z. A test phrase is `window`
 consecutive words of an item; an item with fewer words, but at least one, is one phrase.
 
-Defined cases: null and empty texts have no words, and such items no phrase; phrases never cross from one document to
-the next; rows that repeat a document id are matched and returned on their own; items that share an id count as one;
-a null item id reads as the empty string; an empty test set leaves every document clean.
+Defined cases: null and empty texts have no words, and such items no phrase; very long texts are indexed whole, as a
+block of their own; phrases never cross from one document to the next; rows that repeat a document id, and rows without
+one, are matched and returned on their own; items that share an id count as one; a null item id reads as the empty
+string; an empty test set leaves every document clean; extra columns of documents and items are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 from fieldloom.llm import bytewords as bw
 from fieldloom.llm.store import cut
 
-#: Bytes of test texts in one group of phrases, terms of a vocabulary that travels with tasks, bytes of text in a block.
-GROUP_BYTES, VOCABULARY, BLOCK_BYTES = 8 << 20, 2_000_000, 4 << 20
+#: Terms of a vocabulary that travels with tasks, bytes of text in a block, phrases that a block takes at once.
+VOCABULARY, BLOCK_BYTES, AT_ONCE = 1_000_000, 1 << 20, 50_000
 INDEX = "block string, doc_ids array<long>, starts binary, terms binary, ends binary, positions binary"
 MATCHES = "block string, ordinal int, doc_id long, n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>"
+PHRASES = "phrase binary, item string"
 
 
 def _terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,50 +122,104 @@ class Block:
         return begin
 
 
-def _phrases(texts: list[str | None], window: int, ids: list[str]) -> list[tuple[np.ndarray, list[list[str]]]]:
-    """Different phrases by length: their terms, and the ids of the items that have each."""
-    by: dict[int, dict[bytes, set[str]]] = {}
-    for low, high, data, at in bw.text_slices(pa.array(texts, pa.string())):
-        hashes, first = _terms(data, at)
-        for row in range(high - low):
-            own = hashes[first[row] : first[row + 1]]
-            for i in range(max(len(own) - window + 1, len(own) > 0)):
-                part = own[i : i + window]
-                by.setdefault(len(part), {}).setdefault(part.tobytes(), set()).add(ids[low + row])
-    return [(np.frombuffer(b"".join(x), dtype=np.uint64).reshape(-1, n), [sorted(v) for v in x.values()]) for n, x in sorted(by.items())]
+@bw.tidied
+def _phrases(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Columns: item, text. The terms of each phrase."""
+    for batch in batches:
+        for low, high, data, at in bw.text_slices(batch.column(1)):
+            hashes, first = _terms(data, at)
+            count = np.diff(first)
+            runs = np.maximum(count - window + 1, count > 0)
+            row = np.repeat(np.arange(high - low), runs)
+            begin = first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+            size = np.minimum(count[row], window)
+            cuts = np.concatenate([[0], np.cumsum(size)])
+            take = np.arange(cuts[-1]) + np.repeat(begin - cuts[:-1], size)
+            yield pa.record_batch([bw.binary_rows(hashes[take], cuts), batch.column(0).take(pa.array(row + low))], names=["phrase", "item"])
+
+
+def phrase_table(items: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Stored: (phrase, items), each different phrase with the ids of the items that have it."""
+    slim = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
+    return cut(slim.mapInArrow(lambda it: _phrases(it, window), PHRASES).groupBy("phrase").agg(F.collect_set("item").alias("items")), "phrases")
 
 
-def _matches(batches: Iterator[pa.RecordBatch], phrases: list, width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document; width: 0 for exact phrases, else the span of proximity matches."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different term of each phrase."""
     for batch in batches:
-        for row in batch.to_pylist():
-            block = Block(row)
-            n = len(block.docs)
-            cover = np.zeros(int(block.starts[-1]) + 2, dtype=np.int64)
-            begins, ends, items = [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)]
-            for terms, owners in phrases:
-                at, there = block.find(terms)
-                for i in np.flatnonzero(there):
-                    found = block.near(at[i], width) if width else block.phrase(at[i])
-                    if not len(found):
-                        continue
-                    cover[found] += 1
-                    doc = np.searchsorted(block.starts, found, side="right") - 1
-                    stop = np.minimum(found + (width or terms.shape[1]), block.starts[doc + 1] - 1)
-                    np.add.at(cover, stop, -1)
-                    for d in np.unique(doc):
-                        items[d].update(owners[i])
-            hit = np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8), [0]])
-            step = np.diff(hit)
-            for b, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-                d = int(np.searchsorted(block.starts, b, side="right") - 1)
-                begins[d].append(int(b - block.starts[d]))
-                ends[d].append(int(e - block.starts[d]))
-            size = np.diff(block.starts) - 1
-            yield pa.record_batch(
-                [pa.array([row["block"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(block.docs, pa.int64()), pa.array(size, pa.int64()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=["block", "ordinal", "doc_id", "n_words", "hit_starts", "hit_ends", "items"],
-            )
+        lists = batch.column(0).to_pylist()
+        terms = np.frombuffer(b"".join(lists), dtype=np.int64)
+        row = np.repeat(np.arange(len(lists)), [len(x) // 8 for x in lists])
+        order = np.lexsort((terms, row))
+        terms, row = terms[order], row[order]
+        own = bw.heads(terms, row)
+        yield pa.record_batch([batch.column(0).take(pa.array(row[own])), pa.array(terms[own])], names=["phrase", "term"])
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns: block, terms, ends. How often each term stands in the block."""
+    for batch in batches:
+        for block, terms, ends in zip(*(batch.column(k) for k in range(3)), strict=True):
+            own = np.frombuffer(terms.as_buffer(), dtype=np.uint64).view(np.int64)
+            n = np.diff(np.frombuffer(ends.as_buffer(), dtype=np.int64), prepend=0)
+            yield pa.record_batch([pa.array([block.as_py()] * len(own), pa.string()), pa.array(own), pa.array(n, pa.int64())], names=["block", "term", "n"])
+
+
+def route(phrases: DataFrame, index: DataFrame) -> DataFrame:
+    """(block, phrase, items): every phrase, all of whose terms are posted, with each block that holds its rarest one."""
+    held = index.select("block", "terms", "ends").mapInArrow(_posted, "block string, term long, n long")
+    often = held.groupBy("term").agg(F.sum("n").alias("n"))
+    terms = phrases.select("phrase").mapInArrow(_exploded, "phrase binary, term long")
+    rarest = terms.join(often, "term", "left").groupBy("phrase").agg(F.min(F.struct("n", "term")).alias("rarest"), F.count_if(F.col("n").isNull()).alias("missing")).where("missing = 0")
+    keyed = phrases.join(rarest.select("phrase", F.col("rarest.term").alias("term")), "phrase")
+    return held.select("term", "block").join(keyed, "term").select("block", "phrase", "items")
+
+
+def _matches(row: dict, phrases: list[tuple[np.ndarray, list[list[str]]]], width: int) -> pa.RecordBatch:
+    """A row for each document of a block. phrases: by length, their terms and items; width: 0 for exact phrases, else the
+    span of proximity matches."""
+    block = Block(row)
+    n = len(block.docs)
+    cover = np.zeros(int(block.starts[-1]) + 2, dtype=np.int32)
+    begins, ends, items = [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)]
+    for terms, owners in phrases:
+        at, there = block.find(terms)
+        for i in np.flatnonzero(there):
+            found = block.near(at[i], width) if width else block.phrase(at[i])
+            if not len(found):
+                continue
+            cover[found] += 1
+            doc = np.searchsorted(block.starts, found, side="right") - 1
+            stop = np.minimum(found + (width or terms.shape[1]), block.starts[doc + 1] - 1)
+            np.add.at(cover, stop, -1)
+            for d in np.unique(doc):
+                items[d].update(owners[i])
+    hit = np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8), [0]])
+    step = np.diff(hit)
+    for b, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
+        d = int(np.searchsorted(block.starts, b, side="right") - 1)
+        begins[d].append(int(b - block.starts[d]))
+        ends[d].append(int(e - block.starts[d]))
+    return pa.record_batch(
+        [pa.array([row["block"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(block.docs, pa.int64()), pa.array(np.diff(block.starts) - 1, pa.int64()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+        names=["block", "ordinal", "doc_id", "n_words", "hit_starts", "hit_ends", "items"],
+    )
+
+
+def _met(block: pa.Table, phrases: pa.Table, width: int) -> pa.Table:
+    """A block of the index with (a part of) its phrases."""
+    by: dict[int, tuple[list[bytes], list[list[str]]]] = {}
+    for phrase, items in zip(phrases.column("phrase").to_pylist(), phrases.column("items").to_pylist(), strict=True):
+        own = by.setdefault(len(phrase) // 8, ([], []))
+        own[0].append(phrase)
+        own[1].append(items)
+    ready = [(np.frombuffer(b"".join(p), dtype=np.uint64).reshape(-1, n), items) for n, (p, items) in sorted(by.items())]
+    out = [_matches(row, ready, width) for row in block.to_pylist()]
+    bw.tidy()
+    return pa.Table.from_batches(out) if out else _NONE
+
+
+_NONE = pa.table([pa.array([], t) for t in (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))], names=["block", "ordinal", "doc_id", "n_words", "hit_starts", "hit_ends", "items"])
 
 
 def _union(starts: list, ends: list) -> tuple[list[int], list[int]]:
@@ -182,12 +240,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
 
-def _groups(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
-    """The items in groups of about GROUP_BYTES: what is brought to the driver and to tasks at once."""
-    slim = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // GROUP_BYTES + 1
-    return [slim.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == g) for g in range(n)] if n > 1 else [slim]
+def _vocabulary(phrases: DataFrame) -> np.ndarray | None:
+    """The sorted terms of the phrases, or None where there are more than VOCABULARY."""
+    terms = phrases.select("phrase").mapInArrow(_exploded, "phrase binary, term long").select("term").distinct()
+    found = terms.limit(VOCABULARY + 1).toPandas()["term"].to_numpy(dtype=np.int64)
+    return np.sort(found.view(np.uint64)) if len(found) <= VOCABULARY else None
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, width: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index: DataFrame | None = None) -> DataFrame:
@@ -196,20 +253,19 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, width: int = 0,
     width 0: exact phrases of `window` words. Else all words of such a phrase, in any order, within `width` words.
     index: one made before by build_index(); by default one over the terms of the items is built.
     """
-    groups = _groups(items, item_col, item_text)
+    phrases = phrase_table(items, window, item_col, item_text)
     if index is None:
-        found: list[np.ndarray] = []
-        for g in groups:
-            for _, _, data, at in bw.text_slices(pa.array([r.text for r in g.select("text").toLocalIterator()], pa.string())):
-                found.append(np.unique(_terms(data, at)[0]))
-        vocabulary = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
-        index = build_index(docs, vocabulary if len(vocabulary) <= VOCABULARY else None, id_col, text_col)
-    out = None
-    for g in groups:
-        rows = g.toPandas()
-        phrases = _phrases(rows["text"].tolist(), window, rows["item"].tolist())
-        part = index.mapInArrow(lambda it, p=phrases: _matches(it, p, width), MATCHES)
-        out = part if out is None else out.unionByName(part)
-    if len(groups) > 1:
+        index = build_index(docs, _vocabulary(phrases), id_col, text_col)
+    routed = route(phrases, index)
+    parts = phrases.count() // AT_ONCE + 1
+    if parts > 1:
+        # A block takes its phrases in parts; what they find is united afterwards.
+        part = F.pmod(F.xxhash64("phrase"), F.lit(parts)).cast("int")
+        routed = routed.withColumn("part", part)
+        index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["block", "part"] if parts > 1 else ["block"]
+    blocks = index.groupBy(*keys).cogroup(routed.groupBy(*keys))
+    out = blocks.applyInArrow(lambda b, p: _met(b, p, width), MATCHES)
+    if parts > 1:
         out = out.groupBy("block", "ordinal", "doc_id", "n_words").agg(F.flatten(F.collect_list("hit_starts")).alias("hit_starts"), F.flatten(F.collect_list("hit_ends")).alias("hit_ends"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).mapInArrow(_merge, MATCHES)
     return out.drop("block", "ordinal")

@@ -1,12 +1,13 @@
 """Quality rules as a bitmask ledger.
 
-measure() evaluates every rule once for each document and stores the measurements and one bit for each rule that
-fails. Policies are versions of a mask over these bits: apply_policy() only compares bits, and ablate() gets, from
-bitwise counts over the ledger, how many documents each rule rejects alone, among others, or last. No text is read
-again for a new policy.
+measure() evaluates every rule once for each document: the measurements and one bit for each rule that fails;
+ledger() stores this, without the texts, in the shared folder. Policies are versions of a mask over these bits:
+apply_policy() only compares bits, and ablate() gets, from bitwise counts over the ledger, how many documents each rule
+rejects alone, among others, or last. No text is read again for a new policy.
 
 Defined cases: a null or empty text has no words, fails the base rules and has 0 in every measurement; very long
-texts are measured whole; repeated rows are measured each; extra columns pass unless they bear a ledger name.
+texts are measured whole; repeated rows are measured each; a null id is a row like any other; an empty table gives an
+empty ledger and an ablation of zeros; extra columns pass unless they bear a ledger name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bytewords as bw
-from fieldloom.llm.store import widened
+from fieldloom.llm.store import cut, widened
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", dtype=np.uint8)] = True
@@ -58,6 +59,7 @@ def _repeat_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+@bw.tidied
 def _measures(batches: Iterator[pa.RecordBatch], text_at: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, at in bw.text_slices(batch.column(text_at)):
@@ -112,6 +114,18 @@ def measure(docs: DataFrame, text_col: str = "text", keep_text: bool = True) ->
     return found.withColumn("failures", total)
 
 
+def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """measure() without the texts, stored: what policies and ablations are computed from."""
+    return cut(measure(docs, text_col, keep_text=False), "ledger")
+
+
+def sole(policy: str | tuple[str, ...], failures: str = "failures") -> Column:
+    """The name of the rule of the policy that alone rejects a row, null for rows that none or several reject."""
+    names = POLICIES[policy] if isinstance(policy, str) else policy
+    bits = F.col(failures).bitwiseAND(F.lit(mask(policy)))
+    return F.coalesce(*(F.when(bits == mask((name,)), F.lit(name)) for name in names))
+
+
 def rejects(policy: str | tuple[str, ...], failures: Column | str = "failures") -> Column:
     return F.col(failures).bitwiseAND(F.lit(mask(policy))) != 0 if isinstance(failures, str) else failures.bitwiseAND(F.lit(mask(policy))) != 0
 

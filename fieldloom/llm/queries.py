@@ -39,9 +39,11 @@ FROM n LEFT JOIN kept USING (doc_id)
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm import quality_rules as qr
 
-    ledger = qr.measure(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    ledger = ledger.withColumn("base_failed", qr.rejects("base"))
-    return qr.apply_policy(ledger, "v2").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+    ledger = qr.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # How many documents the rule that alone rejects this one rejects alone: six rows of the ablation.
+    alone = qr.ablate(ledger, "v2").select(F.col("rule").alias("sole_rule"), F.col("n_only").alias("n_sole"))
+    rows = qr.apply_policy(ledger, "v2").withColumns({"base_failed": qr.rejects("base"), "sole_rule": qr.sole("v2")})
+    return rows.join(F.broadcast(alone), "sole_rule", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "sole_rule", "n_sole")
 
 
 OP4_SQL = rf"""
@@ -60,7 +62,9 @@ a AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_lines, 0) AS n_l
   FROM m LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
     + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 12 * n_words)::BIGINT) AS failures FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures,
+  CASE failures WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS sole_rule,
+  CASE WHEN failures IN (1, 2, 4, 8, 16, 32) THEN count(*) OVER (PARTITION BY failures) END AS n_sole FROM f
 """
 
 

@@ -60,6 +60,17 @@ def test_policies_and_ablation(spark):
     assert {r.n_fail for r in quality_rules.ablate(ledger.limit(0), "v1").collect()} == {0}
 
 
+def test_stored_ledger_reads_no_text_again(odd):
+    ledger = quality_rules.ledger(odd)
+    plan = quality_rules.ablate(ledger, "v2")._jdf.queryExecution().toString() + quality_rules.apply_policy(ledger, "v1")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "text" not in ledger.columns
+    rows = ledger.select("failures", quality_rules.sole("v2").alias("sole")).collect()
+    for r in rows:
+        bits = [name for i, (name, _) in enumerate(quality_rules.RULES) if r.failures >> i & 1]
+        assert r.sole == (bits[0] if len(bits) == 1 else None)
+    assert {r.rule: r.n_only for r in quality_rules.ablate(ledger, "v2").collect()} == {name: sum(r.sole == name for r in rows) for name in quality_rules.POLICIES["v2"]}
+
+
 def test_policy_keeps_labelled_quality(spark):
     sf = "/root/testdata/sf0.1"
     rows = quality_rules.apply_policy(quality_rules.measure(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), keep_text=False), "v2").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("n_words >= 50 AND 2 * n_repeat_words <= n_words")
@@ -126,9 +137,9 @@ def contamination(docs, items, k):
     return out
 
 
-@pytest.mark.parametrize("group_bytes", [8 << 20, 60])
-def test_matches_equal_brute_force(spark, odd, monkeypatch, group_bytes):
-    monkeypatch.setattr(decontaminate, "GROUP_BYTES", group_bytes)
+@pytest.mark.parametrize("at_once", [50_000, 7])
+def test_matches_equal_brute_force(spark, odd, monkeypatch, at_once):
+    monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
     r = random.Random(5)
     word = lambda: r.choice(["The", "the", "cat", "dog", "é", "9", "sat"])
@@ -142,6 +153,20 @@ def test_matches_equal_brute_force(spark, odd, monkeypatch, group_bytes):
     assert decontaminate.matches(odd.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_many_phrases_stay_off_the_driver(spark, monkeypatch):
+    """A large test set, more terms than the vocabulary takes: the driver's Python hardly grows, the few leaks are found."""
+    import resource
+
+    monkeypatch.setattr(decontaminate, "VOCABULARY", 1000)
+    items = spark.range(40_000).select(F.col("id").alias("item_id"), F.expr("array_join(transform(sequence(1, 12), i -> concat('w', pmod(xxhash64(id, i), 1000000000000000))), ' ')").alias("text"))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 40), i -> concat('v', id, 'x', i)), ' ')").alias("text"))
+    leaky = items.where("item_id % 10000 = 3").select((F.col("item_id") + 1000).alias("doc_id"), F.concat(F.lit("some words and "), "text").alias("text"))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = decontaminate.matches(docs.union(leaky), items).where("size(hit_starts) > 0").collect()
+    assert sorted((r.doc_id, r["items"], r.hit_starts, r.hit_ends) for r in got) == [(i + 1003, [str(i + 3)], [3], [15]) for i in (0, 10000, 20000, 30000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100 << 10
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta q alpha"), (3, "alpha beta"), (4, "alpha x x x x x beta gamma"), (5, "alpha beta"), (6, "gamma")], "doc_id long, text string").coalesce(1)
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
