@@ -1,45 +1,60 @@
-"""Global order without a global sort: blocks of a key's range, and prefix sums from the blocks' totals."""
+"""Global order without a global sort: ranges of the keys, sorted and summed apart, and prefix sums from their totals."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a block is sized for; blocks at least and at most. What is brought to the driver is a row for each block.
-BLOCK_ROWS, LEAST, MOST = 100_000, 16, 20_000
-
-
-def bounds(df: DataFrame, key: str) -> list[int]:
-    """Upper ends (inclusive) of all blocks but the last, as approximate quantiles of a long column; nulls go first."""
-    n = df.count()
-    blocks = min(MOST, max(LEAST, n // BLOCK_ROWS))
-    if not n:
-        return []
-    found = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 4 * blocks + 1000)).first()[0] or []
-    return sorted(set(found))
-
-
-def block(key: Column, ends: list[int]) -> Column:
-    """The number of the block that the key falls into."""
-    edges = np.array(ends, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), dtype=np.int32)
-        out[known] = np.searchsorted(edges, ids[known].to_numpy(dtype=np.int64), side="left")
-        return pd.Series(out)
-
-    return place(key)
-
-
-def offsets(totals: DataFrame, *names: str) -> DataFrame:
-    """totals has a row for each block (column block); adds <name>_before, the sum over all blocks before."""
-    spark = totals.sparkSession
-    rows = totals.orderBy("block").toPandas()
-    for name in names:
-        rows[f"{name}_before"] = (rows[name].cumsum() - rows[name]).astype("int64")
-    schema = "block int, " + ", ".join(f"{name}_before long" for name in names)
-    return spark.createDataFrame(rows[["block", *(f"{name}_before" for name in names)]], schema)
+from fieldloom.llm import bytewords as bw
+from fieldloom.llm.store import cut, widened
+
+#: Rows that a block is sized for, and blocks at least. A row for each block is brought to the driver and sent to tasks:
+#: two numbers for half a million rows.
+BLOCK_ROWS, LEAST = 500_000, 16
+
+
+@bw.tidied
+def _running(batches: Iterator[pa.RecordBatch], at: list[int]) -> Iterator[pa.RecordBatch]:
+    """Sums of the columns over the rows before, within the partition, and the number of these rows."""
+    block = TaskContext.get().partitionId()
+    done, rows = [0] * len(at), 0
+    for batch in batches:
+        made = []
+        for k, i in enumerate(at):
+            own = batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.cumsum(own)
+            made.append(pa.array(sums - own + done[k], pa.int64()))
+            done[k] += int(sums[-1]) if len(sums) else 0
+        number = pa.array(np.arange(rows, rows + batch.num_rows), pa.int64())
+        rows += batch.num_rows
+        names = [f"{batch.schema.names[i]}_sum" for i in at]
+        yield pa.record_batch([*batch.columns, pa.array(np.full(batch.num_rows, block, np.int32)), *made, number], names=[*batch.schema.names, "block", *names, "row"])
+
+
+def ordered(rows: DataFrame, keys: Sequence[str], sums: Sequence[str], name: str) -> DataFrame:
+    """Stored rows in the order of the keys (nulls first), with `block` and, within it, <sum>_sum and `row`: the sum of
+    the column over the rows before, and their number. rows must be a stored table, as its keys are read twice.
+
+    Equal keys fall into one block: give a key that tells rows of a hot one apart.
+    """
+    blocks = max(LEAST, -(-rows.count() // BLOCK_ROWS))
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    dealt = rows.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    at = [rows.columns.index(s) for s in sums]
+    schema = widened(rows.schema.fields, {"block": "int", **{f"{s}_sum": "long" for s in sums}, "row": "long"})
+    return cut(dealt.mapInArrow(lambda it: _running(it, at), schema), name)
+
+
+def offsets(ordered: DataFrame, *names: str) -> tuple[DataFrame, dict[str, int]]:
+    """(block, <name>_before, rows_before): sums over all blocks before; and the sums over all blocks."""
+    totals = ordered.groupBy("block").agg(*(F.sum(n).cast("long").alias(n) for n in names), F.count("*").alias("rows")).orderBy("block").toPandas()
+    all_names = [*names, "rows"]
+    for n in all_names:
+        totals[f"{n}_before"] = (totals[n].cumsum() - totals[n]).astype("int64")
+    schema = "block int, " + ", ".join(f"{n}_before long" for n in all_names)
+    return ordered.sparkSession.createDataFrame(totals[["block", *(f"{n}_before" for n in all_names)]], schema), {n: int(totals[n].sum()) for n in all_names}

@@ -1,23 +1,27 @@
 """Token ids as binary shards in training order.
 
-Documents are dealt by ranges of their id and encoded in that order, so a sequence's global number is the total of the
-ranges before plus its place in its own. A keyed Feistel permutation over the next power of four, walked until it lands
-below the number of sequences, gives every sequence its slot: a shuffle of any size that needs no shuffle table and
-can be computed for any slot. Range partitions of the slots write shards of records with one fixed stride, which are
-read in order by seeking, from any slot on.
-
-A record holds `length` ids as little-endian unsigned integers of `width` bytes; the last one of a document is filled
-up with `fill`. Records travel to their shard compressed, some documents at a time. Each shard is written beside its place and renamed when complete; a shard that is complete already is
-kept, so a lost executor or a second run with the same input, key and folder goes on where the first one ended.
-Where the folder is no file system path, Spark writes the shards there as Parquet rows with compressed records instead.
-
-Defined cases: null and empty texts have no sequence; repeated rows have sequences of their own; an empty table writes
-no shard; more ids than `width` can hold are refused.
+Documents are encoded where they lie, and their ids are stored in chunks. Only (id, hash, number of sequences) is put
+into the global order of ids, by ranges: the number of a sequence is the total of the ranges before plus its place in
+its own. A keyed Feistel permutation over the next power of four, walked until it lands below the number of sequences,
+gives every sequence its slot: a shuffle of any size that needs no shuffle table and can be computed for any slot.
+Range partitions of the slots write shards of records with one fixed stride, which are read in order by seeking, from
+any slot on.
+
+A record holds its number of ids and `length` ids, all little-endian unsigned integers of `width` bytes; the last
+record of a document is filled up with `fill`. Shards are written through pyarrow's file systems (local and shared
+paths, hdfs://, s3://, gs://), each beside its place and moved when complete. A shard that is there with the same bytes
+is kept, so a second run with the same input, key and folder goes on where the first one ended, and one with another
+input or key leaves no stale record. manifest.json, written last, has what a reader needs, and a fingerprint of the
+input and key. write_shards() writes; its result is a stored table that later actions only read.
+
+Defined cases: null and empty texts have no sequence; very long texts have as many as they need; repeated rows, and
+rows without an id, have sequences of their own; an empty table writes a manifest and no shard; more ids than `width`
+can hold, and longer records than it can count, are refused; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,13 +34,12 @@ from pyspark.sql import functions as F
 from fieldloom.llm import bytewords as bw
 from fieldloom.llm import ranges
 from fieldloom.llm.sentencepiece_codec import Codec
-from fieldloom.llm.store import cut, drop, release, shared_dir
+from fieldloom.llm.store import cut, drop, shared_dir
 
 ROUNDS = 4
-PARTS = "block int, doc_id long, first long, n_tokens int, ids binary"
+CHUNKS = "chunk string, doc_ids array<long>, hashes binary, n_tokens binary, ids binary"
+DOCS = "chunk string, ordinal int, doc_id long, hash long, n_tokens int, n long"
 PACKS = "shard int, slots binary, doc_ids array<long>, seqs binary, n_tokens binary, records binary"
-#: Documents whose sequences are packed by shard at once.
-PACKED = 2_000
 PLACES = "doc_id long, seq int, slot long, shard int, byte_offset long, n_tokens int, record_crc32 long"
 
 
@@ -56,24 +59,30 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], model: bytes, length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Encoded documents; first: number of the first sequence within the block. Rows come sorted by block."""
+@bw.tidied
+def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, width: int) -> Iterator[pa.RecordBatch]:
+    """Columns: doc_id, hash of the text, text. A row for each slice of documents."""
     codec = Codec(model)
     if len(codec.surface) > 1 << (8 * width):
         raise ValueError(f"{len(codec.surface)} ids do not fit {width} bytes")
-    kind = np.dtype(f"<u{width}")
-    block, done = None, 0
+    blob = lambda x, kind: pa.array([np.ascontiguousarray(x, dtype=kind).tobytes()], pa.binary())
     for batch in batches:
-        blocks = batch.column(0).to_numpy()
         for low, high, _, _ in bw.text_slices(batch.column(2)):
             ids, _, _, cuts = codec.encode_many(batch.column(2).slice(low, high - low).to_pylist())
-            firsts = []
-            for b, n in zip(blocks[low:high], -(-np.diff(cuts) // length), strict=True):
-                if b != block:
-                    block, done = b, 0
-                firsts.append(done)
-                done += int(n)
-            yield pa.record_batch([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(firsts, pa.int64()), pa.array(np.diff(cuts), pa.int32()), bw.binary_rows(ids.astype(kind), cuts)], names=["block", "doc_id", "first", "n_tokens", "ids"])
+            docs = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column(0).slice(low, high - low))
+            yield pa.record_batch([pa.array([uuid.uuid4().hex]), docs, blob(batch.column(1).slice(low, high - low).to_numpy(), np.int64), blob(np.diff(cuts), np.int32), blob(ids, f"<u{width}")], names=["chunk", "doc_ids", "hashes", "n_tokens", "ids"])
+
+
+def _documents(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Columns: chunk, doc_ids, hashes, n_tokens. A row for each document."""
+    for batch in batches:
+        for chunk, docs, hashes, tokens in zip(*batch.columns, strict=True):
+            tokens = np.frombuffer(tokens.as_buffer(), dtype=np.int32)
+            n = len(tokens)
+            yield pa.record_batch(
+                [pa.array([chunk.as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), docs.values, pa.array(np.frombuffer(hashes.as_buffer(), dtype=np.int64)), pa.array(tokens), pa.array(-(-tokens.astype(np.int64) // length))],
+                names=["chunk", "ordinal", "doc_id", "hash", "n_tokens", "n"],
+            )
 
 
 def _pack(shard: int, slots: np.ndarray, docs: pa.Array, seqs: np.ndarray, tokens: np.ndarray, records: np.ndarray) -> list:
@@ -87,135 +96,155 @@ def _packs(rows: list[list]) -> pa.RecordBatch:
     return pa.record_batch(cols, names=["shard", "slots", "doc_ids", "seqs", "n_tokens", "records"])
 
 
-def _slots(batches: Iterator[pa.RecordBatch], before: dict[int, int], total: int, key: int, length: int, width: int, fill: int, per_shard: int) -> Iterator[pa.RecordBatch]:
-    """Records of a few documents at a time, packed by shard."""
+@bw.tidied
+def _slots(batches: Iterator[pa.RecordBatch], total: int, key: int, length: int, width: int, fill: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+    """Columns: doc_ids, n_tokens, ids, firsts. Records of a chunk, packed by shard."""
     kind = np.dtype(f"<u{width}")
-    for whole in batches:
-        for low in range(0, whole.num_rows, PACKED):
-            batch = whole.slice(low, PACKED)
-            tokens = batch.column(3).to_numpy()
+    for batch in batches:
+        for docs, tokens, ids, firsts in zip(*batch.columns, strict=True):
+            tokens, ids = np.frombuffer(tokens.as_buffer(), dtype=np.int32).astype(np.int64), np.frombuffer(ids.as_buffer(), dtype=kind)
             n = -(-tokens // length)
             if not n.sum():
                 continue
-            first = batch.column(2).to_numpy() + np.array([before[b] for b in batch.column(0).to_pylist()], dtype=np.int64)
             row = np.repeat(np.arange(len(n)), n)
             seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            slot = feistel(first[row] + seq, total, key)
-            records = np.full((len(row), length), fill, dtype=kind)
-            flat, at = records.reshape(-1), np.concatenate([[0], np.cumsum(n)]) * length
-            for i, blob in enumerate(batch.column(4)):
-                flat[at[i] : at[i] + tokens[i]] = np.frombuffer(blob.as_buffer(), dtype=kind)
+            slot = feistel(firsts.values.to_numpy()[row] + seq, total, key)
             held = np.minimum(length, tokens[row] - seq * length)
+            records = np.full((len(row), length + 1), fill, dtype=kind)
+            records[:, 0] = held
+            records[:, 1:][np.arange(length) < held[:, None]] = ids
             order = np.argsort(slot, kind="stable")
             shards = slot[order] // per_shard
-            docs = batch.column(1).take(pa.array(row[order]))
+            own = docs.values.take(pa.array(row[order]))
             cuts = np.append(np.flatnonzero(bw.heads(shards)), len(shards))
-            yield _packs([_pack(int(shards[i]), slot[order[i:j]], docs.slice(i, j - i), seq[order[i:j]], held[order[i:j]], records[order[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-
-
-def _open(row: dict, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    slots, seqs, held = np.frombuffer(row["slots"], dtype=np.int64), np.frombuffer(row["seqs"], dtype=np.int32), np.frombuffer(row["n_tokens"], dtype=np.int32)
-    data = pa.decompress(row["records"], decompressed_size=len(slots) * length * width, codec="zstd", asbytes=True)
-    return slots, seqs, held, np.frombuffer(data, dtype=f"<u{width}").reshape(-1, length)
-
-
-def _assemble(batches: Iterator[pa.RecordBatch], per_shard: int, total: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """One row for each shard, in the order of its slots; all packs of a shard come in one partition."""
-    open_: dict[int, list] = {}
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names) if name != "doc_ids"}
-            shard, docs = row["shard"], batch.column(2)[i].values
-            size = min(per_shard, total - shard * per_shard)
-            if shard not in open_:
-                open_[shard] = [0, np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros((size, length), f"<u{width}")]
-            own = open_[shard]
-            slots, seqs, held, records = _open(row, length, width)
-            at = slots - shard * per_shard
-            own[1][at], own[2][at] = docs.fill_null(0).to_numpy(), np.asarray(docs.is_valid())
-            own[3][at], own[4][at], own[5][at] = seqs, held, records
-            own[0] += len(at)
-            if own[0] == size:
-                yield _packs([_pack(shard, np.arange(size) + shard * per_shard, pa.array(own[1], mask=~own[2]), own[3], own[4], own[5])])
-                del open_[shard]
-    if open_:
-        raise ValueError(f"shards {sorted(open_)} are not complete")
+            yield _packs([_pack(int(shards[i]), slot[order[i:j]], own.slice(i, j - i), seq[order[i:j]], held[order[i:j]], records[order[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str | None, per_shard: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Write each shard unless it is there in full; a row for each of its sequences."""
-    stride = length * width
+def _file_system(folder: str):
+    """pyarrow's file system and the path in it; ValueError for a scheme that it doesn't know."""
+    from pyarrow import fs
+
+    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"shards can't be written to {folder}: {e}") from e
+
+
+def _stored(where, path: str, data: bytes) -> None:
+    """Write data unless the path holds the same bytes."""
+    info = where.get_file_info(path)
+    if info.is_file and info.size == len(data):
+        with where.open_input_stream(path) as f:
+            if zlib.crc32(f.read()) == zlib.crc32(data):
+                return
+    temp = f"{path}.{uuid.uuid4().hex}"
+    with where.open_output_stream(temp) as f:
+        f.write(data)
+    where.move(temp, path)
+
+
+@bw.tidied
+def _written(batches: Iterator[pa.RecordBatch], folder: str, per_shard: int, total: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Assemble each shard (its packs come one after the other) and write it; a row for each of its sequences."""
+    where, base = _file_system(folder)
+    stride = (length + 1) * width
+    shard, filled = None, 0
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names) if name != "doc_ids"}
-            slots, seqs, held, records = _open(row, length, width)
+            own = batch.column(2)[i].values
+            if row["shard"] != shard:
+                if filled:
+                    raise ValueError(f"shard {shard} is not complete")
+                shard = row["shard"]
+                size = min(per_shard, total - shard * per_shard)
+                docs, known, seqs, held, records = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros((size, length + 1), f"<u{width}")
+            at = np.frombuffer(row["slots"], dtype=np.int64) - shard * per_shard
+            docs[at], known[at] = own.fill_null(0).to_numpy(), np.asarray(own.is_valid())
+            seqs[at], held[at] = np.frombuffer(row["seqs"], dtype=np.int32), np.frombuffer(row["n_tokens"], dtype=np.int32)
+            records[at] = np.frombuffer(pa.decompress(row["records"], decompressed_size=len(at) * stride, codec="zstd", asbytes=True), dtype=records.dtype).reshape(-1, length + 1)
+            filled += len(at)
+            if filled < size:
+                continue
             data = records.tobytes()
-            if folder is not None:
-                path = os.path.join(folder, shard_name(row["shard"]))
-                if not (os.path.exists(path) and os.path.getsize(path) == len(data)):
-                    temp = f"{path}.{uuid.uuid4().hex}"
-                    with open(temp, "wb") as f:
-                        f.write(data)
-                    os.replace(temp, path)
-            crcs = [zlib.crc32(data[k * stride : (k + 1) * stride]) for k in range(len(slots))]
+            _stored(where, f"{base}/{shard_name(shard)}", data)
+            crcs = [zlib.crc32(data[k * stride : (k + 1) * stride]) for k in range(size)]
+            slots = np.arange(size, dtype=np.int64)
             yield pa.record_batch(
-                [batch.column(2)[i].values, pa.array(seqs), pa.array(slots), pa.array(np.full(len(slots), row["shard"], np.int32)), pa.array(slots % per_shard * stride), pa.array(held), pa.array(crcs, pa.int64())],
+                [pa.array(docs, mask=~known), pa.array(seqs), pa.array(slots + shard * per_shard), pa.array(np.full(size, shard, np.int32)), pa.array(slots * stride), pa.array(held), pa.array(crcs, pa.int64())],
                 names=["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "record_crc32"],
             )
+            filled = 0
+    if filled:
+        raise ValueError(f"shard {shard} is not complete")
 
 
 def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: int = 1, length: int = 256, width: int = 2, fill: int = 0, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards as the result is computed; a row for each sequence: where it is and the CRC of its record.
+    """Write the shards; a row for each sequence: where it is and the CRC of its record.
 
-    folder: by default a new one in the shared folder of the session.
+    folder: one that the driver and all executors share, by default a new one in the shared folder of the session.
     """
     spark = docs.sparkSession
+    if length >= 1 << (8 * width):
+        raise ValueError(f"{length} ids can't be counted in {width} bytes")
+    folder = (folder or f"{shared_dir(spark)}/fieldloom-shards-{uuid.uuid4().hex}").rstrip("/")
+    where, base = _file_system(folder)
+    where.create_dir(base, recursive=True)
+    if where.get_file_info(f"{base}/manifest.json").is_file:  # no reader takes a folder that is being written for whole
+        where.delete_file(f"{base}/manifest.json")
     with open(model, "rb") as f:
         blob = f.read()
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ends = ranges.bounds(slim.select("doc_id"), "doc_id")
-    dealt = slim.select(ranges.block(F.col("doc_id"), ends).alias("block"), "doc_id", "text").repartition(len(ends) + 1, "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    encoded = cut(dealt.mapInArrow(lambda it: _sequences(it, blob, length, width), PARTS), "ids", "zstd")
-    release(spark)
-    totals = encoded.groupBy("block").agg(F.sum(F.ceil(F.col("n_tokens") / length)).alias("n"))
-    counts = {r.block: r.n for r in totals.collect()}
-    before, total = {}, 0
-    for b in sorted(counts):
-        before[b] = total
-        total += counts[b]
-    stride = length * width
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    encoded = cut(slim.mapInArrow(lambda it: _encoded(it, blob, width), CHUNKS), "ids", "zstd")
+    rows = cut(encoded.drop("ids").mapInArrow(lambda it: _documents(it, length), DOCS), "documents")
+    # Rows alike in id and text are interchangeable; their place in a chunk splits a hot id.
+    order = ranges.ordered(rows, ["doc_id", "hash", "n_tokens", "ordinal"], ["n"], "sequences")
+    drop(rows)
+    before, sums = ranges.offsets(order, "n")
+    total = sums["n"]
+    stride = (length + 1) * width
     per_shard = max(1, shard_bytes // stride)
-    shards = max(1, -(-total // per_shard))
-    packs = encoded.mapInArrow(lambda it: _slots(it, before, total, key, length, width, fill, per_shard), PACKS)
-    whole = cut(packs.repartition(shards, "shard").mapInArrow(lambda it: _assemble(it, per_shard, total, length, width), PACKS), "shards", "uncompressed")
-    drop(encoded)
-    release(spark)
-    folder = folder or f"{shared_dir(spark)}/fieldloom-shards-{uuid.uuid4().hex}"
-    path = folder.removeprefix("file://")
-    if "://" in path:
-        whole.write.mode("overwrite").parquet(folder)
-        path = None
-    else:
-        os.makedirs(path, exist_ok=True)
-    out = whole.mapInArrow(lambda it: _write(it, path, per_shard, length, width), PLACES)
-    out._fieldloom_folder, out._fieldloom_per_shard = path, per_shard
-    return out
-
-
-def read_slots(folder: str, first: int, n: int, per_shard: int, length: int = 256, width: int = 2) -> np.ndarray:
-    """n records in training order from slot first on (fewer at the end): reading goes on anywhere by seeking."""
-    stride, parts = length * width, []
-    while n > 0 and os.path.exists(path := os.path.join(folder, shard_name(first // per_shard))):
+    shards = -(-total // per_shard)
+    first = order.join(F.broadcast(before), "block").select("chunk", F.struct("ordinal", (F.col("n_sum") + F.col("n_before")).alias("first")).alias("x"))
+    firsts = first.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["first"]).alias("firsts"))
+    packs = encoded.join(firsts, "chunk").select("doc_ids", "n_tokens", "ids", "firsts").mapInArrow(lambda it: _slots(it, total, key, length, width, fill, per_shard), PACKS)
+    dealt = packs.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard")
+    places = cut(dealt.mapInArrow(lambda it: _written(it, folder, per_shard, total, length, width), PLACES), "places")
+    found = sum(x.size == stride * min(per_shard, total - k * per_shard) for k, x in enumerate(where.get_file_info([f"{base}/{shard_name(k)}" for k in range(shards)])))
+    if found < shards:
+        raise OSError(f"{shards - found} of {shards} shards are not to be seen in {folder}: it must be shared by the driver and all executors")
+    mark = order.agg(F.sum(F.xxhash64("doc_id", "hash").cast("decimal(38,0)"))).first()[0]
+    about = {"sequences": total, "shards": shards, "per_shard": per_shard, "length": length, "width": width, "fill": fill, "stride": stride, "key": key, "documents": sums["rows"], "fingerprint": f"{mark or 0}", "model_crc32": zlib.crc32(blob)}
+    with where.open_output_stream(f"{base}/manifest.json") as f:
+        f.write(json.dumps(about, indent=1).encode())
+    drop(encoded, order)
+    places._fieldloom_folder = folder
+    return places
+
+
+def manifest(folder: str) -> dict:
+    where, base = _file_system(folder)
+    with where.open_input_stream(f"{base}/manifest.json") as f:
+        return json.loads(f.read())
+
+
+def read_slots(folder: str, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and numbers of ids of n records in training order from slot first on (fewer at the end): reading goes on
+    anywhere by seeking."""
+    about = manifest(folder)
+    where, base = _file_system(folder)
+    per_shard, stride, length = about["per_shard"], about["stride"], about["length"]
+    n, parts = max(0, min(n, about["sequences"] - first)), [np.zeros((0, length + 1), dtype=f"<u{about['width']}")]
+    while n > 0:
         want = min(n, per_shard - first % per_shard)
-        with open(path, "rb") as f:
+        with where.open_input_file(f"{base}/{shard_name(first // per_shard)}") as f:
             f.seek(first % per_shard * stride)
-            data = f.read(want * stride)
-        if not data:
-            break
-        parts.append(np.frombuffer(data, dtype=f"<u{width}").reshape(-1, length))
-        first, n = first + len(parts[-1]), n - len(parts[-1])
-    return np.concatenate(parts) if parts else np.zeros((0, length), dtype=f"<u{width}")
+            parts.append(np.frombuffer(f.read(want * stride), dtype=parts[0].dtype).reshape(-1, length + 1))
+        first, n = first + want, n - want
+    whole = np.concatenate(parts)
+    return whole[:, 1:], whole[:, 0]

@@ -121,26 +121,52 @@ def test_feistel_is_a_permutation():
 
 def test_shards_hold_every_sequence_and_resume(spark, odd, tmp_path):
     folder = str(tmp_path / "out")
-    made = token_shards.write_shards(odd, MODEL, folder=folder, length=16, shard_bytes=640)
+    made = token_shards.write_shards(odd, MODEL, folder=folder, length=16, shard_bytes=680)
     rows = made.collect()
     want = []
     for i, t in [*enumerate(ODD), (3, ODD[3])]:
         ids = LIBRARY.encode(t or "")
         want += [(i, k // 16, ids[k : k + 16]) for k in range(0, len(ids), 16)]
     assert sorted(r.slot for r in rows) == list(range(len(want)))
-    read = token_shards.read_slots(folder, 0, len(rows), 20, length=16)
-    assert len(read) == len(rows)
-    got = [(r.doc_id, r.seq, read[r.slot][: r.n_tokens].tolist()) for r in rows]
-    assert sorted(got) == sorted(want)
-    assert all(zlib.crc32(read[r.slot].tobytes()) == r.record_crc32 for r in rows)
-    assert (token_shards.read_slots(folder, 33, 50, 20, length=16) == read[33:83]).all()
-    stamp = {f: os.stat(os.path.join(folder, f)).st_mtime_ns for f in os.listdir(folder)}
+    read, held = token_shards.read_slots(folder, 0, len(rows) + 9)
+    assert len(read) == len(rows) and token_shards.manifest(folder)["per_shard"] == 20
+    assert sorted((r.doc_id, r.seq, read[r.slot][: held[r.slot]].tolist()) for r in rows) == sorted(want)
+    assert all(held[r.slot] == r.n_tokens and r.byte_offset == r.slot % 20 * 34 for r in rows)
+    record = lambda r: np.concatenate([held[r.slot : r.slot + 1], read[r.slot]]).tobytes()
+    assert all(zlib.crc32(record(r)) == r.record_crc32 for r in rows)
+    assert (token_shards.read_slots(folder, 33, 50)[0] == read[33:83]).all()
+    stamp = lambda: {f: os.stat(os.path.join(folder, f)).st_mtime_ns for f in os.listdir(folder) if f != "manifest.json"}
+    before = stamp()
     os.remove(os.path.join(folder, token_shards.shard_name(1)))
-    token_shards.write_shards(odd, MODEL, folder=folder, length=16, shard_bytes=640).count()
-    token_shards.write_shards(odd, MODEL, folder=folder, length=16, shard_bytes=640).collect()
-    again = {f: os.stat(os.path.join(folder, f)).st_mtime_ns for f in os.listdir(folder)}
-    assert again.keys() == stamp.keys() and sum(again[f] != stamp[f] for f in stamp) == 1
-    assert (token_shards.read_slots(folder, 0, len(rows), 20, length=16) == read).all()
+    token_shards.write_shards(odd, MODEL, folder=folder, length=16, shard_bytes=680)
+    again = stamp()
+    assert again.keys() == before.keys() and sum(again[f] != before[f] for f in before) == 1
+    assert (token_shards.read_slots(folder, 0, len(rows))[0] == read).all()
+    # Another key: every record is new, none is stale; counting the result writes nothing.
+    other = token_shards.write_shards(odd, MODEL, folder=folder, key=2, length=16, shard_bytes=680)
+    read, held = token_shards.read_slots(folder, 0, len(rows))
+    after = stamp()
+    assert all(zlib.crc32(record(r)) == r.record_crc32 for r in other.collect()) and stamp() == after
+
+
+def test_no_and_one_hot_id(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    folder = f"file:{tmp_path}/none"
+    assert token_shards.write_shards(empty, MODEL, folder=folder).count() == 0 and token_shards.manifest(folder)["shards"] == 0
+    assert len(token_shards.read_slots(folder, 0, 5)[0]) == 0
+    hot = spark.createDataFrame([(None if i % 2 else 7, f"text {i % 3}") for i in range(60)], "doc_id long, text string")
+    rows = token_shards.write_shards(hot, MODEL, folder=str(tmp_path / "hot"), length=2, shard_bytes=60).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and sum(r.doc_id is None for r in rows) * 2 == len(rows)
+    with pytest.raises(ValueError):
+        token_shards.write_shards(hot, MODEL, folder="nosuch://x/y")
+    with pytest.raises(ValueError):
+        token_shards.write_shards(hot, MODEL, length=1 << 16)
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, ids array<int>")
+    assert encode(empty, MODEL).count() == 0 and decode(empty, MODEL).count() == 0
+    assert token_counts.count_lines(empty, MODEL).count() == 0
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
