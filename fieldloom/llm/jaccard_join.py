@@ -19,8 +19,9 @@ the components, in these steps, none of which makes all pairs of a group:
 Shingles, sets and classes are known by 64-bit hashes.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a null text or one without
-words is empty and links with nothing; rows that repeat an id belong to one component; rows with a null id link with
-nothing and have a null component.
+words is empty and links with nothing; very long texts are compared whole; rows that repeat an id belong to one
+component; rows with a null id link with nothing and have a null component; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +40,19 @@ from fieldloom.llm.store import cut, drop, release
 from fieldloom.llm.substring_dedup import BLOCKS, _by_doc, _doc_block, _unpack
 
 #: Minimum hashes for the quick links; shingles a hash block is sized for and those gathered before a task emits.
-STARS, BLOCK, FLUSH = 4, 2_000_000, 700_000
+STARS, BLOCK, FLUSH = 4, 1_000_000, 400_000
 LOW = np.uint64((1 << 64) - 64)
 #: Classes of a shingle up to which its pairs are joined in SQL; classes on a side of a block of larger tiles.
-TILE, SIDE = 32, 2_000
+TILE, SIDE = 32, 1_000
+#: Keys of a class that travel with each of its tile rows, the smallest ones: by them a pair is passed over in all tiles
+#: but the first that both are in. Pairs that share only later keys are found more than once and made distinct.
+KEYS = 64
 #: Rows of (document, class, two flags) that are broadcast at most, some 40 bytes each.
 FEW = 200_000
 #: Shingles in this many of SAMPLE classes count as common: they come last in the order and are not counted exactly.
 SAMPLE, COMMON = 8_000, 16
+#: Common shingles that travel with the tasks at most, the commonest ones: they order the prefixes, whatever they are.
+MOST = 200_000
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -346,7 +352,7 @@ class Join:
             return np.zeros(0, dtype=np.uint64)
         sample = self.classes.where(F.col("cls") <= last).select("doc", "cls").limit(SAMPLE)
         some = self.docs.join(F.broadcast(sample), "doc").select("cls", "text")
-        keys = some.mapInArrow(lambda it: _flat(it, words), "key long").groupBy("key").count().where(F.col("count") >= COMMON).select("key")
+        keys = some.mapInArrow(lambda it: _flat(it, words), "key long").groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST).select("key")
         return np.sort(keys.toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
 
     def candidates(self, labels: DataFrame) -> DataFrame:
@@ -380,9 +386,9 @@ class Join:
 
     def _large(self, tiles: DataFrame) -> DataFrame:
         """Pairs of larger tiles, cut into blocks: bitmaps are compared inside a task, and only pairs whose bitmaps allow
-        enough overlap leave it, each from the first shingle that both share here."""
+        enough overlap leave it, as a rule from the first shingle that both share here."""
         percent = self.percent
-        own = tiles.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        own = tiles.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KEYS).alias("keys"))
         rows = tiles.join(own, "cls").join(self.classes.select("cls", "bitmap"), "cls")
         blocks = (F.col("size") / SIDE).cast("int") + 1
         placed = rows.withColumn("parts", F.sequence(F.lit(0), blocks - 1)).withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))

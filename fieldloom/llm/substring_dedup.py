@@ -25,7 +25,7 @@ from fieldloom.llm import bytewords as bw
 from fieldloom.llm.store import cut, drop, release, widened
 
 #: Windows gathered in a map task before it combines and emits them; windows a hash block is sized for.
-FLUSH, BLOCK = 1_000_000, 2_000_000
+FLUSH, BLOCK = 500_000, 1_000_000
 BLOCKS = "block int, hit boolean, docs binary, runs binary, keys binary"
 
 

@@ -8,7 +8,9 @@ majority  to the section with most of its bytes, of equal ones the earlier;
 every     to each section that it touches (the counts then sum to more than the document's tokens).
 
 Defined cases: null and empty texts or fields have no section; a line ends with its newline, and a last line without
-characters is no section; a token without source bytes (the blank put in front) goes to the first section.
+characters is no section; a token without source bytes (the blank put in front) goes to the first section; very long
+texts are encoded whole; repeated rows, and rows without an id, are counted each; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, begins: np.ndarray, rule: st
     return counts, np.bincount(owner[crossing], minlength=n)
 
 
+@bw.tidied
 def _counted(batches: Iterator[pa.RecordBatch], model: bytes, text_at: int, cuts_at: int | None, keep: list[int], rule: str) -> Iterator[pa.RecordBatch]:
     codec = Codec(model)
     for batch in batches:
