@@ -570,7 +570,10 @@ def mixture_groups(s, d):
 
 @_query("SELECT count(*) AS objects, count(DISTINCT l_suppkey) AS lines, round(median(l_extendedprice), 4) AS median_size, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90_size, count(*) FILTER (l_returnflag = 'R') AS poor, round(count(*) FILTER (l_returnflag = 'R') / greatest(1, count(*)), 6) AS poor_share, round(avg((l_discount > 0.05)::DOUBLE), 6) AS discounted, round(count(*) / 2.5, 4) AS per_hectare FROM lineitem")
 def summary_document(s, d):
-    x = _t(s, d, "lineitem").agg(F.count("*").alias("objects"), F.countDistinct("l_suppkey").alias("lines"), F.median("l_extendedprice").alias("median_size"), F.percentile("l_extendedprice", F.lit(0.9)).alias("p90_size"), F.count_if(F.col("l_returnflag") == "R").alias("poor"), aggregates.share_where(F.col("l_discount") > 0.05).alias("discounted"))
+    rows = _t(s, d, "lineitem")
+    q = aggregates.quantiles(rows, "l_extendedprice", [0.5, 0.9]).select(F.col("q")[0].alias("median_size"), F.col("q")[1].alias("p90_size"))
+    lines = rows.select("l_suppkey").where("l_suppkey IS NOT NULL").distinct().agg(F.count("*").alias("lines"))
+    x = rows.agg(F.count("*").alias("objects"), F.count_if(F.col("l_returnflag") == "R").alias("poor"), aggregates.share_where(F.col("l_discount") > 0.05).alias("discounted")).join(F.broadcast(q), F.lit(True), "left").crossJoin(F.broadcast(lines))
     return x.select("objects", "lines", *_r("median_size", "p90_size", digits=4), "poor", F.round(scalar.safe_ratio("poor", "objects"), 6).alias("poor_share"), *_r("discounted"), F.round(F.col("objects") / 2.5, 4).alias("per_hectare"))
 
 
@@ -610,3 +613,6 @@ def cube_counts(s, d):
 def window_frames(s, d):
     by = Window.partitionBy("o_orderpriority")
     return _t(s, d, "orders").select("o_orderkey", F.ntile(4).over(by.orderBy("o_totalprice", "o_orderkey")).alias("quarter"), F.round(F.avg("o_totalprice").over(by.orderBy("o_orderdate", "o_orderkey").rowsBetween(-5, 0)), 4).alias("moving"))
+
+
+from fieldloom import catalog_objects  # noqa: E402, F401  more of the same, which needs the names above

@@ -205,6 +205,12 @@ def mercator(lon: Column | str, lat: Column | str) -> tuple[Column, Column]:
     return col(lon) / 180 * half, F.log(F.tan(F.pi() / 4 + F.radians(col(lat)) / 2)) / F.pi() * half
 
 
+def unmercator(x: Column | str, y: Column | str) -> tuple[Column, Column]:
+    """Longitude and latitude of Web Mercator metres."""
+    half = 20037508.342789244
+    return col(x) / half * 180, F.degrees(2 * F.atan(F.exp(col(y) / half * F.pi())) - F.pi() / 2)
+
+
 def tile_of(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
     """Column and row of the tile that holds Web Mercator metres."""
     half, n = 20037508.342789244, 1 << zoom

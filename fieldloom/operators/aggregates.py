@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalar import col, safe_ratio
+from fieldloom.operators.relational import prefix_sums
 
 MAD_TO_SIGMA = 1.4826
 
@@ -28,13 +29,62 @@ def top_supported(profile: DataFrame, least: int, order: Sequence[Column], k: in
     return profile.where(F.col("n") >= least).orderBy(*order).limit(k)
 
 
+def quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Exact linearly interpolated quantiles of each group as an array `q`, and `n`. Nulls do not count.
+
+    Rows are counted by value, and prefix sums over the sorted values give every value its ranks, so that no task holds
+    the values of a whole group. A group without values has no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    ranked = prefix_sums(counts, [*(F.col(k).asc_nulls_first() for k in keys), F.col("__v").asc()], ["__n"])
+    groups = ranked.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("__n").alias("n"), F.min("__n_before").alias("__first"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    both = ranked.join(groups, on) if keys else ranked.crossJoin(F.broadcast(groups))
+    low, parts = F.col("__n_before") - F.col("__first"), []
+    for i, p in enumerate(at):
+        place = (F.col("n") - 1) * F.lit(float(p))
+        for rank in (F.floor(place), F.ceil(place)):
+            parts.append(F.max(F.when((low <= rank) & (rank < low + F.col("__n")), F.col("__v"))).alias(f"__q{len(parts)}"))
+    found = both.groupBy(*keys, "n").agg(*parts)
+    share = lambda p: (F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p)))
+    # Of equal neighbours the value itself, so that infinities and rounding do no harm.
+    q = [F.when(F.col(f"__q{2 * i}") == F.col(f"__q{2 * i + 1}"), F.col(f"__q{2 * i}")).otherwise(F.col(f"__q{2 * i}") * (1 - share(p)) + F.col(f"__q{2 * i + 1}") * share(p)) for i, p in enumerate(at)]
+    return found.select(*keys, "n", F.array(*q).alias("q"))
+
+
 def percentile_profile(df: DataFrame, value: str, keys: Sequence[str] = (), at: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Exact linearly interpolated percentiles with count, extremes, mean and population deviation."""
-    parts = [F.percentile(value, F.array(*map(F.lit, at))).alias("q"), F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")]
-    out = df.groupBy(*keys).agg(*parts)
+    plain = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    own = quantiles(df, value, at, keys).select(*(F.col(k).alias(f"__{k}") for k in keys), "q")
+    out = plain.join(own, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left") if keys else plain.join(F.broadcast(own), F.lit(True), "left")
     return out.select(*keys, "n", "min", *(F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)), "max", "mean", "std")
 
 
+def quantile_profile(df: DataFrame, value: str, at: Sequence[float], above: float) -> DataFrame:
+    """One row: the quantiles as an array, and the share of the values above a threshold."""
+    share = df.agg(F.avg((F.col(value) > above).cast("double")).alias("share_above"))
+    return quantiles(df, value, at).crossJoin(F.broadcast(share))
+
+
+def group_medians(df: DataFrame, rank: str, values: Sequence[str], shares: dict[str, Column]) -> DataFrame:
+    """A row for each rank, in their order: n, the exact median of each value and the share of rows of each kind."""
+    out = df.groupBy(rank).agg(F.count("*").alias("n"), *(F.avg(c.cast("double")).alias(k) for k, c in shares.items()))
+    for v in values:
+        own = quantiles(df, v, [0.5], [rank]).select(F.col(rank).alias("__r"), F.col("q")[0].alias(f"median_{v}"))
+        out = out.join(own, F.col(rank).eqNullSafe(F.col("__r")), "left").drop("__r")
+    return out.orderBy(rank)
+
+
+def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Correlation of the rows where both are known."""
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b).alias("pearson"), F.count("*").alias("n"))
+
+
+def best_of_map(df: DataFrame, scores: str, k: int) -> DataFrame:
+    """The k largest entries of all rows' maps (name to score), ties by name."""
+    return df.select(F.explode(scores).alias("name", "score")).where(F.col("score").isNotNull()).orderBy(F.desc("score"), "name").limit(k)
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """Counts of all bins; values beyond the range fall into the end bins, nulls and NaN into none."""
     good = df.where(F.col(value).isNotNull() & ~F.isnan(value))
@@ -69,25 +119,28 @@ def robust_z(df: DataFrame, value: str, out: str, reference: Column | None = Non
     the MAD. The two figures are one row, broadcast.
     """
     ref = df.where(reference) if reference is not None else df
-    middle = ref.agg(F.median(value).alias("__median"), F.stddev_pop(value).alias("__std"))
-    spread = ref.crossJoin(F.broadcast(middle)).agg(F.median(F.abs(F.col(value) - F.col("__median"))).alias("__mad"), F.first("__median").alias("__median"), F.first("__std").alias("__std"))
+    middle = quantiles(ref, value, [0.5]).select(F.col("q")[0].alias("__median"))
+    apart = ref.crossJoin(F.broadcast(middle)).select(F.abs(F.col(value) - F.col("__median")).alias("__d"))
+    spread = quantiles(apart, "__d", [0.5]).select(F.col("q")[0].alias("__mad"))
+    one = ref.agg(F.stddev_pop(value).alias("__std")).join(F.broadcast(middle), F.lit(True), "left").join(F.broadcast(spread), F.lit(True), "left")
     scale = MAD_TO_SIGMA * F.col("__mad")
     z = (F.col(value) - F.col("__median")) / (scale + eps) if eps is not None else F.when(F.col("__mad") > 0, (F.col(value) - F.col("__median")) / scale).when(F.col("__std") > 0, (F.col(value) - F.col("__median")) / F.col("__std")).when(F.col(value).isNotNull(), 0.0)
-    return df.crossJoin(F.broadcast(spread)).withColumn(out, z).drop("__mad", "__median", "__std")
+    return df.crossJoin(F.broadcast(one)).withColumn(out, z).drop("__mad", "__median", "__std")
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls become the column's exact median."""
-    one = df.agg(*(F.median(c).alias(f"__{c}") for c in columns))
+    one = df.sparkSession.range(1).select()
+    for c in columns:
+        one = one.join(F.broadcast(quantiles(df, c, [0.5]).select(F.col("q")[0].alias(f"__{c}"))), F.lit(True), "left")
     return df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs. Ranks come from the counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select(F.col(value).alias("__v"), (before - (F.col("__n") - 1) / 2.0).alias(out))
-    return df.join(ranks, df[value] == F.col("__v"), "left").drop("__v")
+    """Ranks from 1, equal values sharing the mean of theirs. Ranks come from prefix sums of the counts of values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ranked = prefix_sums(counts, [F.col("__v").asc()], ["__n"]).select("__v", (F.col("__n_before") + (F.col("__n") + 1) / 2.0).alias(out))
+    return df.join(ranked, df[value] == F.col("__v"), "left").drop("__v")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -152,8 +205,12 @@ def progress(stages: DataFrame, weights: DataFrame) -> DataFrame:
     return weights.join(stages, "stage", "left").agg((F.sum(F.when(F.col("done"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("progress"))
 
 
-def timeline(steps: DataFrame) -> DataFrame:
-    """Last done step, current step and whether all are done. steps: pos, step, done."""
+def timeline(steps: DataFrame, default: Sequence[str] = ()) -> DataFrame:
+    """Last done step, current step and whether all are done. steps: pos, step, done. default: the steps, none of them
+    done, that stand for an empty timeline."""
+    if default:
+        stand_in = steps.sparkSession.createDataFrame([(i, x, False) for i, x in enumerate(default)], "pos int, step string, done boolean")
+        steps = steps.unionByName(stand_in.join(steps.limit(1).select(), how="left_anti", on=F.lit(True)))
     return steps.agg(F.max_by(F.when(F.col("done"), F.col("step")), F.when(F.col("done"), F.col("pos"))).alias("last_done"), F.min_by(F.when(~F.col("done"), F.col("step")), F.when(~F.col("done"), F.col("pos"))).alias("current"), F.bool_and("done").alias("all_done"))
 
 

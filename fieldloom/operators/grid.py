@@ -106,15 +106,16 @@ def smooth(df: DataFrame, value: str, sigma: float, truncate: float = 3.0, out:
     return df.join(two, ["row", "col"], "left")
 
 
-def components(df: DataFrame, out: str = "component") -> DataFrame:
-    """8-connected components of pixel rows (row, col): runs of each row, linked to those of the row before.
+def components(df: DataFrame, out: str = "component", corners: bool = True) -> DataFrame:
+    """Connected components of pixel rows (row, col): runs of each row, linked to those of the row before. corners:
+    whether pixels that meet at a corner only are connected.
 
     The number of a component is the smallest of its runs' numbers (row * 2**31 + first column).
     """
     place = F.row_number().over(Window.partitionBy("row").orderBy("col"))
     runs = cut(df.select("row", "col").distinct().withColumn("__g", F.col("col") - place).groupBy("row", "__g").agg(F.min("col").alias("a"), F.max("col").alias("b")).select("row", "a", "b", (F.col("row").cast("long") * (1 << 31) + F.col("a")).alias("id")), "runs")
     above = runs.select((F.col("row") + 1).alias("row"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("id").alias("up"))
-    links = runs.join(above, "row").where((F.col("pa") <= F.col("b") + 1) & (F.col("pb") >= F.col("a") - 1)).select(F.col("id").alias("u"), F.col("up").alias("v"))
+    links = runs.join(above, "row").where((F.col("pa") <= F.col("b") + int(corners)) & (F.col("pb") >= F.col("a") - int(corners))).select(F.col("id").alias("u"), F.col("up").alias("v"))
     edges = cut(links.union(links.select("v", "u")), "links")
     label, before = cut(runs.select(F.col("id").alias("u"), F.col("id").alias("label")), "labels"), None
     while True:
@@ -122,7 +123,7 @@ def components(df: DataFrame, out: str = "component") -> DataFrame:
         lower = cut(label.join(near, "u", "left").select("u", F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
         # Jump to the label of the label: long components take few rounds.
         label = cut(lower.join(lower.select(F.col("u").alias("label"), F.col("label").alias("top")), "label").select("u", F.col("top").alias("label")), "labels")
-        mark = label.agg(F.sum("label")).first()[0]
+        mark = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if mark == before:
             break
         before = mark
@@ -130,6 +131,22 @@ def components(df: DataFrame, out: str = "component") -> DataFrame:
     return named.select("row", F.explode(F.sequence("a", "b")).alias("col"), F.col("label").alias(out))
 
 
+def fill_holes(df: DataFrame) -> DataFrame:
+    """The pixels (row, col) and those that they enclose: free pixels that no path along edges joins to the outside."""
+    box = df.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).where("r0 IS NOT NULL")
+    cells = box.select("*", F.explode(F.sequence("r0", "r1")).alias("row")).repartition("row").select("*", F.explode(F.sequence("c0", "c1")).alias("col"))
+    free = cells.join(df.select("row", "col").distinct(), ["row", "col"], "left_anti").withColumn("edge", (F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1")))
+    named = cut(components(free, "component", corners=False).join(free.select("row", "col", "edge"), ["row", "col"]), "free")
+    outside = named.where("edge").select("component").distinct()
+    return df.select("row", "col").distinct().unionByName(named.join(outside, "component", "left_anti").select("row", "col"))
+
+
+def boundless(df: DataFrame, row0: int, col0: int, rows: int, cols: int, value: str, fill: float | None = None) -> DataFrame:
+    """All pixels of a window, those outside the grid or without a value filled."""
+    frame = df.sparkSession.range(rows).select((F.col("id") + row0).cast("int").alias("row"), F.explode(F.sequence(F.lit(col0), F.lit(col0 + cols - 1))).alias("col"))
+    return frame.join(window(df, row0, col0, rows, cols).select("row", "col", value), ["row", "col"], "left").select("row", "col", F.coalesce(value, F.lit(fill).cast("double")).alias(value))
+
+
 def component_stats(pixels: DataFrame, key: str = "component") -> DataFrame:
     return pixels.groupBy(key).agg(F.count("*").alias("area"), F.min("row").alias("min_row"), F.min("col").alias("min_col"), F.max("row").alias("max_row"), F.max("col").alias("max_col"), F.avg("row").alias("mean_row"), F.avg("col").alias("mean_col"))
 
@@ -170,8 +187,10 @@ def sample_every(df: DataFrame, k: int) -> DataFrame:
 def idw(targets: DataFrame, controls: DataFrame, value: str, power: float = 2.0, max_controls: int = 10_000) -> DataFrame:
     """Inverse-distance-weighted value at each target (row, col) from all control points. They go to the tasks in blocks
     of about max_controls, whose partial sums are added."""
-    # Equal points are one point that counts more than once, so that hashes deal the blocks evenly.
+    # Equal points are one point that counts more than once, so that hashes deal the blocks evenly; so are equal targets.
     c = controls.groupBy(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    names = targets.columns
+    targets = targets.groupBy(*names).agg(F.count("*").alias("__times"))
     w = F.col("__n") / (F.pow(F.hypot(F.col("row") - F.col("__r"), F.col("col") - F.col("__c")), F.lit(power)) + 1e-12)
     blocks, sums = max(1, -(-c.count() // max_controls)), None
     for block in range(blocks):
@@ -181,17 +200,19 @@ def idw(targets: DataFrame, controls: DataFrame, value: str, power: float = 2.0,
         sums = one if sums is None else sums.unionByName(one)
     if blocks > 1:
         sums = sums.groupBy(*targets.columns).agg(F.sum("__wv").alias("__wv"), F.sum("__w").alias("__w"))
-    return sums.select(*targets.columns, (F.col("__wv") / F.col("__w")).alias(value))
+    return sums.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*names, (F.col("__wv") / F.col("__w")).alias(value))
 
 
 def warp(df: DataFrame, targets: DataFrame, value: str) -> DataFrame:
     """Bilinear values at shifted places. targets: row, col, y, x (source place); missing neighbours leave out their weight."""
-    near = targets.withColumns({"__y": F.floor("y"), "__x": F.floor("x")}).withColumn("__o", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))))
+    places = targets.groupBy("row", "col", "y", "x").agg(F.count("*").cast("int").alias("__times"))
+    near = places.withColumns({"__y": F.floor("y"), "__x": F.floor("x")}).withColumn("__o", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))))
     fy, fx = F.col("y") - F.col("__y"), F.col("x") - F.col("__x")
     w = F.when(F.col("__o.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("__o.b") == 1, fx).otherwise(1 - fx)
-    asked = near.select("row", "col", (F.col("__y") + F.col("__o.a")).alias("sr"), (F.col("__x") + F.col("__o.b")).alias("sc"), w.alias("w"))
+    asked = near.select("row", "col", "y", "x", "__times", (F.col("__y") + F.col("__o.a")).alias("sr"), (F.col("__x") + F.col("__o.b")).alias("sc"), w.alias("w"))
     source = df.where(F.col(value).isNotNull()).select(F.col("row").alias("sr"), F.col("col").alias("sc"), value)
-    return asked.join(source, ["sr", "sc"]).where("w > 0").groupBy("row", "col").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias(value))
+    found = asked.join(source, ["sr", "sc"]).where("w > 0").groupBy("row", "col", "y", "x", "__times").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias(value))
+    return found.withColumn("__times", F.explode(F.sequence(F.lit(1), "__times"))).select("row", "col", value)
 
 
 def phase_shifts(tiles: DataFrame, key: str, size: int) -> DataFrame:

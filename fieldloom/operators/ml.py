@@ -72,7 +72,7 @@ def balance_blocks(df: DataFrame, blocks: dict[str, str]) -> DataFrame:
     """Array columns scaled so that each block has a total variance of one. blocks: column, name of the result."""
     for c, out in blocks.items():
         sizes = df.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).agg(F.sum("v")).first()[0] or 1.0
-        df = df.withColumn(out, F.transform(F.col(c), lambda x, s=math.sqrt(sizes): x / s))
+        df = df.withColumn(out, F.transform(F.col(c), lambda x: x / math.sqrt(sizes)))  # noqa: B023
     return df
 
 
@@ -208,3 +208,19 @@ def stability(df: DataFrame, key: str, group: str, k: int, runs: int = 5, share:
         one = adjusted_rand(again.select(F.col(group).alias("a"), F.col("__again").alias("b")), "a", "b").withColumn("run", F.lit(run)).select("run", "adjusted_rand")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def final_scores(rows: DataFrame, out_of_fold: DataFrame, key: str, score: str = "p") -> DataFrame:
+    """rows with the out-of-fold score where a row has one, else with its own."""
+    own = out_of_fold.select(F.col(key).alias("__k"), F.col(score).alias("__oof"))
+    return rows.join(own, F.col(key) == F.col("__k"), "left").withColumn(score, F.coalesce("__oof", score)).drop("__k", "__oof")
+
+
+def trained_or_stored(labelled: DataFrame, label: str, least: int, train, stored: str):
+    """What train(labelled) returns if each class has at least `least` labelled rows, else the stored pipeline model."""
+    counts = [r["count"] for r in labelled.where(F.col(label).isNotNull()).groupBy(label).count().collect()]
+    if len(counts) > 1 and min(counts) >= least:
+        return train(labelled)
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(stored).transform

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from fieldloom.sources.store import cut
 
 
 class KeyError1to1(ValueError):
@@ -46,6 +51,11 @@ def membership(df: DataFrame, keys: DataFrame, key: str, out: str = "is_member")
     return df.join(keys.select(key).distinct().withColumn("__in", F.lit(True)), key, "left").withColumn(out, F.col("__in").isNotNull()).drop("__in")
 
 
+def inner(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides with equal keys; null keys match nothing."""
+    return left.join(right, key)
+
+
 def matched(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_semi")
 
@@ -87,16 +97,35 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """Stored rows in a total order with <column>_before, the sum of each (long) column over all rows before.
+
+    Sorted ranges are summed apart in their tasks; the totals of the ranges, one row each, are the only thing that is
+    looked at as a whole. No task holds more than a range.
+    """
+
+    def running(batches):
+        block, done = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
+        for batch in batches:
+            made = []
+            for c in sums:
+                own = batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                total = np.cumsum(own)
+                made.append(pa.array(total - own + done[c], pa.int64()))
+                done[c] += int(total[-1]) if len(total) else 0
+            yield pa.record_batch([*batch.columns, pa.array(np.full(batch.num_rows, block, np.int32)), *made], names=[*batch.schema.names, "__block", *(f"__{c}" for c in sums)])
+
+    schema = StructType([*df.schema.fields, StructField("__block", IntegerType()), *(StructField(f"__{c}", LongType()) for c in sums)])
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running, schema), "ranges")
+    totals = rows.groupBy("__block").agg(*(F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums)))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select("__block", *(F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).cast("long").alias(f"__s{i}") for i in range(len(sums))))
+    return rows.join(F.broadcast(shift), "__block").select(*df.columns, *((F.col(f"__{c}") + F.col(f"__s{i}")).alias(f"{c}_before") for i, c in enumerate(sums)))
+
+
 def numbered(df: DataFrame, order: Sequence[Column], out: str = "position", start: int = 1) -> DataFrame:
-    """Consecutive numbers in a total order. Sorted ranges are numbered apart and shifted by the rows of those before,
-    so no task holds the whole table; the ranges are kept for the two reads."""
-    placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).persist()
-    part = F.shiftrightunsigned("__id", 33)
-    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = sizes.select("__p", before.alias("__before"))
-    within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("__p", part).join(F.broadcast(shift), "__p").withColumn(out, F.col("__before") + within + start).drop("__p", "__before", "__id")
+    """Consecutive numbers in a total order."""
+    return prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"]).withColumn(out, F.col("__one_before") + start).drop("__one", "__one_before")
 
 
 def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str, width: int, out: str = "id") -> DataFrame:

@@ -127,17 +127,35 @@ def ring_background(pixels: DataFrame, objects: DataFrame, key: str, owned: Data
     return pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.avg(f"b.{value}").alias("background"), F.count(f"b.{value}").alias("n_pixels"))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, line: str, at: str, off: str, margin: float = 0.0, max_lines: int = 10_000) -> DataFrame:
+def nearest_line(points: DataFrame, lines: DataFrame, line: str, at: str, off: str, margin: float = 0.0, at_once: int = 2_000) -> DataFrame:
     """The line that is nearest at the point's own position along, and the signed offset; null beyond a line's ends
-    and margin. lines (line, xs, ys): a checked small table, sent to every task."""
-    if lines.limit(max_lines + 1).count() > max_lines:
-        raise ValueError(f"more than {max_lines} lines; join by blocks of the position instead")
-    found = points.crossJoin(F.broadcast(lines.select(F.col(line).alias("__line"), "xs", "ys")))
-    y = geometry.interpolate("xs", "ys", at)
-    inside = (F.col(at) >= F.get("xs", F.lit(0)) - margin) & (F.col(at) <= F.element_at("xs", -1) + margin)
-    offset = F.when(inside, F.col(off) - y)
-    best = F.min(F.when(offset.isNotNull(), F.struct(F.abs(offset).alias("d"), F.col("__line").alias("line"), offset.alias("offset")))).alias("m")
-    return found.groupBy(*points.columns).agg(best).select(*points.columns, F.col("m.line").alias(line), F.col("m.offset").alias("offset"))
+    and margin. lines (line, xs, ys) go to the tasks in blocks of about at_once; each block improves on the best so far,
+    row by row, so points are neither moved nor repeated."""
+    slim = lines.select(F.col(line).alias("line"), "xs", "ys")
+    blocks = max(1, -(-lines.count() // at_once))
+    kind = f"struct<d: double, line: {lines.schema[line].dataType.simpleString()}, offset: double>"
+    out = points.withColumn("__best", F.lit(None).cast(kind))
+    for block in range(blocks):
+        part = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("line"), F.lit(blocks)) == block)
+        held = part.agg(F.collect_list(F.struct("line", "xs", "ys")).alias("__lines"))
+
+        def candidate(x: Column) -> Column:
+            inside = (F.col(at) >= F.get(x["xs"], F.lit(0)) - margin) & (F.col(at) <= F.get(x["xs"], F.size(x["xs"]) - 1) + margin)
+            offset = F.when(inside, F.col(off) - geometry.interpolate(x["xs"], x["ys"], at))
+            return F.when(offset.isNotNull(), F.struct(F.abs(offset).alias("d"), x["line"].alias("line"), offset.alias("offset")))
+
+        best = F.array_min(F.filter(F.concat(F.transform("__lines", candidate), F.array("__best")), lambda x: x.isNotNull()))
+        out = out.crossJoin(F.broadcast(held)).withColumn("__best", best).drop("__lines")
+    return out.select(*points.columns, F.col("__best.line").alias(line), F.col("__best.offset").alias("offset"))
+
+
+def nearest_unless_closer(spots: DataFrame, objects: DataFrame, others: DataFrame, spot: str, key: str, radius: float) -> DataFrame:
+    """For each spot the nearest object within the radius among those that are no closer to any of the other places than
+    to the spot (ties: smallest key); spots without one are left out. All tables have x and y."""
+    pairs = radius_join(spots.select(spot, "x", "y"), objects.select(key, "x", "y"), radius).select(F.col(f"a.{spot}").alias(spot), F.col(f"b.{key}").alias(key), "distance")
+    near = radius_join(objects.select(key, "x", "y"), others.select("x", "y"), radius).groupBy(F.col(f"a.{key}").alias(key)).agg(F.min("distance").alias("other"))
+    free = pairs.join(near, key, "left").where("other IS NULL OR distance <= other")
+    return free.groupBy(spot).agg(F.min(F.struct("distance", F.col(key).alias("key"))).alias("m")).select(spot, F.col("m.key").alias(key), F.col("m.distance").alias("distance"))
 
 
 def uncovered(patches: DataFrame, patch: str, covered: DataFrame) -> DataFrame:

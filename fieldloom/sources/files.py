@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fieldloom.functions.scalar import finite
+from fieldloom.functions.scalar import finite, unmercator
 
 
 def discover(spark: SparkSession, folder: str, patterns: Mapping[str, str]) -> dict[str, str]:
@@ -72,17 +73,82 @@ def read_feature_lines(spark: SparkSession, path: str, properties: str) -> DataF
 
 
 def csv_line(columns: Sequence[str]) -> Column:
-    """A CSV line: null as empty, text quoted only where it holds a quote, a comma or a line break."""
+    """A CSV line: null and numbers that are not finite as empty, text quoted only where it holds a quote, a comma or a
+    line break."""
 
     def cell(c: str) -> Column:
         t = F.col(c).cast("string")
-        return F.coalesce(F.when(t.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t), F.lit(""))
+        t = F.when(F.typeof(c).isin("double", "float") & t.isin("NaN", "Infinity", "-Infinity"), None).otherwise(t)
+        return F.coalesce(F.when(t.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t), F.lit(""))
 
     return F.concat_ws(",", *(cell(c) for c in columns))
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    df.select(csv_line(columns).alias("value")).write.mode("overwrite").option("compression", "none").text(path)
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], header: bool = False) -> None:
+    """header: a first line with the names in every file of the folder."""
+    lines = df.select(csv_line(columns).alias("value"))
+    if header:
+        first = ",".join(f'"{c}"' if re.search('[",\n\r]', c) else c for c in columns)
+
+        def with_header(batches):
+            schema = None
+            for batch in batches:
+                if schema is None:
+                    schema = batch.schema
+                    yield pa.RecordBatch.from_arrays([pa.array([first], schema.types[0])], schema=schema)
+                yield batch
+            if schema is None:
+                yield pa.record_batch([pa.array([first])], names=["value"])
+
+        lines = lines.mapInArrow(with_header, "value string")
+    lines.write.mode("overwrite").option("compression", "none").text(path)
+
+
+def shape_features(df: DataFrame, kind: str, points: str, fields: Sequence[str], digits: int = 7, unproject: bool = False) -> DataFrame:
+    """GeoJSON features of LineStrings or Polygons as text lines (value), from arrays of points: coordinates rounded
+    (unproject: from Web Mercator metres to degrees first), rings closed, non-finite numbers as null."""
+    names = dict(df.dtypes)
+    clean = [(finite(f) if names[f] in ("double", "float") else F.col(f)).alias(f) for f in fields if f in names]
+
+    def place(p: Column) -> Column:
+        x, y = unmercator(p["x"], p["y"]) if unproject else (p["x"], p["y"])
+        return F.array(F.round(x, digits), F.round(y, digits))
+
+    line = F.transform(points, place)
+    shape = line if kind == "LineString" else F.array(F.when(F.element_at(line, 1) == F.element_at(line, -1), line).otherwise(F.concat(line, F.slice(line, 1, 1))))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*clean).alias("properties"), F.struct(F.lit(kind).alias("type"), shape.alias("coordinates")).alias("geometry"))
+    return df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON documents, one or several to a file, as rows."""
+    reader = spark.read.option("multiLine", "true")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    document(df).coalesce(1).write.mode("overwrite").text(path)
+
+
+def grid_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, kind, rows, cols, bands, type) of the PNG and npy grids under a folder, from their first bytes.
+
+    Tasks get the files' contents from Spark and read a header of a few dozen bytes; other files have null figures."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    head = F.substring(F.col("content"), 1, 512)
+    return files.select("path", F.col("length").alias("bytes"), _header(head).alias("h")).select("path", "bytes", "h.*")
+
+
+def _header(head: Column) -> Column:
+    number = lambda at, n: F.conv(F.hex(F.substring(head, at, n)), 16, 10).cast("long")
+    png = F.hex(F.substring(head, 1, 8)) == "89504E470D0A1A0A"
+    bands = F.element_at(F.create_map(*(F.lit(x) for pair in ((0, 1), (2, 3), (3, 1), (4, 2), (6, 4)) for x in pair)), number(26, 1).cast("int"))
+    text = F.decode(F.substring(head, 11, 502), "ISO-8859-1")
+    npy = F.hex(F.substring(head, 1, 6)) == "934E554D5059"
+    sizes = F.transform(F.regexp_extract_all(F.regexp_extract(text, r"'shape': \(([^)]*)\)", 1), F.lit(r"(\d+)")), lambda x: x.cast("long"))
+    kind = lambda name, rows, cols, n, of: F.struct(F.lit(name).alias("kind"), rows.alias("rows"), cols.alias("cols"), n.cast("int").alias("bands"), of.alias("type"))
+    none = F.lit(None)
+    return F.when(png, kind("png", number(21, 4), number(17, 4), bands, F.concat(F.lit("uint"), number(25, 1)))).when(npy, kind("npy", F.get(sizes, F.lit(0)), F.get(sizes, F.lit(1)), F.coalesce(F.get(sizes, F.lit(2)), F.lit(1)), F.regexp_extract(text, "'descr': '([^']*)'", 1))).otherwise(kind(None, none.cast("long"), none.cast("long"), none, none.cast("string")))
 
 
 def document(df: DataFrame) -> DataFrame:
