@@ -33,8 +33,10 @@ from fieldloom.llm.store import widened
 BLANK = "▁"
 NONE = float("-inf")
 #: Bytes of remembered chunks in a task, each with some CACHE_EACH bytes besides its text; characters beyond which
-#: merges use a heap; chunks of one length that are merged one by one; bytes of text encoded at once.
-CACHE_BYTES, CACHE_EACH, LONG, FEW, SLICE = 24 << 20, 80, 256, 6, 2 << 20
+#: merges use a heap; chunks of about one length that are merged one by one; bytes of text encoded at once.
+CACHE_BYTES, CACHE_EACH, LONG, FEW, SLICE = 32 << 20, 80, 256, 6, 2 << 20
+#: Chunks of these many characters, blank included, or fewer are merged together.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, 48, LONG)
 
 
 class CharMap:
@@ -70,8 +72,8 @@ class CharMap:
 
 
 class Pairs:
-    """A map from long keys to numbers, looked up for whole columns: each level is a table of one number for a slot, and
-    keys whose slot is taken go to the next, smaller level."""
+    """A map from long keys to numbers, looked up for whole columns: each level is a table of one number for a slot; keys
+    whose slot is taken go to the next, smaller level, and the slot says so."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.levels = []
@@ -79,24 +81,41 @@ class Pairs:
             bits = max(4, int(len(keys) * 8).bit_length())
             slot = self._slot(keys, bits)
             _, first = np.unique(slot, return_index=True)
-            held, number = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
-            held[slot[first]], number[slot[first]] = keys[first], values[first]
-            self.levels.append((bits, held, number))
             rest = np.ones(len(keys), dtype=bool)
             rest[first] = False
+            held, number, more = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=bool)
+            held[slot[first]], number[slot[first]], more[slot[rest]] = keys[first], values[first], True
+            self.levels.append((bits, held, number, more))
             keys, values = keys[rest], values[rest]
 
-    def _slot(self, keys: np.ndarray, bits: int) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        mixed = keys.astype(np.uint64)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 for those without one."""
         out = np.full(len(keys), -1, dtype=np.int32)
-        for bits, held, number in self.levels:
+        live = None
+        for bits, held, number, more in self.levels:
             slot = self._slot(keys, bits)
             hit = held[slot] == keys
-            out[hit] = number[slot[hit]]
+            if live is None:
+                out[hit] = number[slot[hit]]
+                live = np.flatnonzero(more[slot] & ~hit)
+            else:
+                out[live[hit]] = number[slot[hit]]
+                rest = more[slot] & ~hit
+                live, keys = live[rest], keys[rest]
+                if len(live):
+                    continue
+                break
+            if not len(live):
+                break
+            keys = keys[live]
         return out
 
 
@@ -309,18 +328,20 @@ class Codec:
         ends -= np.repeat(ends[first[:-1]], size)
         return np.where(codes == 0x20, np.uint32(ord(BLANK)), codes), ends, first
 
-    def merge_many(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges in rows of symbols, all of one length: the symbols, and how many each row has left. In each round every
-        row that can merges its best pair, of equal ones the leftmost."""
+    def merge_many(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges in rows of symbols (the first `size` of each): the symbols, and how many each row has left. In each
+        round every row that can merges its best pair, of equal ones the leftmost."""
         n, width = symbols.shape
-        left = np.full(n, width)
+        left = size.copy()
         none = np.int32(len(self.rank))
         ranked = np.append(self.rank, none)
         out, live = symbols, np.arange(n)
         own = symbols.astype(np.int64)
         rank = np.empty((n, max(width - 1, 0)), dtype=np.int32)
         for k in range(width - 1):
-            rank[:, k] = ranked[self.pairs.find(own[:, k] << 21 | own[:, k + 1])]
+            both = np.flatnonzero(size > k + 1)
+            rank[:, k] = none
+            rank[both, k] = ranked[self.pairs.find(own[both, k] << 21 | own[both, k + 1])]
         while len(live) and rank.shape[1]:
             at = rank.argmin(axis=1)
             row = np.arange(len(live))
@@ -337,8 +358,7 @@ class Codec:
             own = np.where(cols <= at[:, None], own[:, :-1], own[:, 1:])
             cols = cols[:-1]
             rank = np.where(cols < at[:, None], rank[:, :-1], rank[:, 1:])
-            size = left[live]
-            some = np.flatnonzero(at + 1 < size)
+            some = np.flatnonzero(at + 1 < left[live])
             rank[some, at[some]] = ranked[self.pairs.find(own[some, at[some]] << 21 | own[some, at[some] + 1])]
             some = np.flatnonzero(at > 0)
             rank[some, at[some] - 1] = ranked[self.pairs.find(own[some, at[some] - 1] << 21 | own[some, at[some]])]
@@ -353,8 +373,9 @@ class Codec:
         codes, ends, first = self.normalise_many(new)
         size = np.diff(first)
         flat, flat_ends, counts, order = [self.flat], [self.flat_ends], [], []
-        for width in np.unique(size):
-            rows = np.flatnonzero(size == width)
+        widths = np.array([*WIDTHS, max(int(size.max()), LONG + 1)])
+        kind = np.searchsorted(widths, size)
+        for width, rows in ((widths[k], np.flatnonzero(kind == k)) for k in np.unique(kind)):
             order.append(rows)
             if width > LONG or len(rows) < FEW:
                 for r in rows:
@@ -364,8 +385,8 @@ class Codec:
                     flat_ends.append(np.array([own[c - 1] if b < 0 else (own[c - 1] if c else 0) + b for _, c, b in found], dtype=np.int32))
                     counts.append(np.array([len(found)]))
                 continue
-            at = first[rows][:, None] + np.arange(width)
-            symbols, left = self.merge_many(self.first_symbol[codes[at]])
+            at = np.minimum(first[rows][:, None] + np.arange(width), len(codes) - 1)
+            symbols, left = self.merge_many(self.first_symbol[codes[at]], size[rows])
             whole = np.arange(width) < left[:, None]
             got = symbols[whole]
             known = got < self.top
@@ -373,7 +394,7 @@ class Codec:
             done[whole] = np.where(known, self.chars[np.minimum(got, self.top - 1)], 1)
             last = np.cumsum(done, axis=1)[whole] - 1
             row = np.repeat(np.arange(len(rows)), left)
-            end = ends[at[row, last]]
+            end = ends[first[rows][row] + last]
             if known.all():
                 flat.append(got.astype(np.int32))
                 flat_ends.append(end.astype(np.int32))
