@@ -1,11 +1,11 @@
 """Token ids as binary shards in training order.
 
-Documents are encoded where they lie, and their ids are stored in chunks. Only (id, hash, number of sequences) is put
-into the global order of ids, by ranges: the number of a sequence is the total of the ranges before plus its place in
-its own. A keyed Feistel permutation over the next power of four, walked until it lands below the number of sequences,
+Documents are dealt into sorted ranges of (id, hash of the text, a number that splits a hot id), as many as the bytes
+of the texts ask for, and encoded in that order: the number of a sequence is the total of the ranges before plus its
+place in its own. A keyed Feistel permutation over the next power of four, walked until it lands below the number of sequences,
 gives every sequence its slot: a shuffle of any size that needs no shuffle table and can be computed for any slot.
-Range partitions of the slots write shards of records with one fixed stride, which are read in order by seeking, from
-any slot on.
+Range partitions of the slots, one for each shard, assemble records with one fixed stride (compressed, and stored, so
+that what came before can go), and then write the shards, which are read in order by seeking, from any slot on.
 
 A record holds its number of ids and `length` ids, all little-endian unsigned integers of `width` bytes; the last
 record of a document is filled up with `fill`. Shards are written through pyarrow's file systems (local and shared
@@ -28,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bytewords as bw
 from fieldloom.llm import ranges
 from fieldloom.llm.sentencepiece_codec import Codec
-from fieldloom.llm.store import cut, drop, shared_dir
+from fieldloom.llm.store import cut, drop, release, shared_dir
 
 ROUNDS = 4
-CHUNKS = "chunk string, doc_ids array<long>, hashes binary, n_tokens binary, ids binary"
-DOCS = "chunk string, ordinal int, doc_id long, hash long, n_tokens int, n long"
+CHUNKS = "block int, first long, doc_ids array<long>, n_tokens binary, ids binary"
+#: Bytes of text that a range is sized for, as long as there are no more than RANGES: a number for each of them is held
+#: by the driver and sent to the tasks. Ranges are read as a stream, so their size takes no memory.
+RANGE_BYTES, RANGES = 24 << 20, 100_000
 PACKS = "shard int, slots binary, doc_ids array<long>, seqs binary, n_tokens binary, records binary"
 PLACES = "doc_id long, seq int, slot long, shard int, byte_offset long, n_tokens int, record_crc32 long"
 
@@ -60,29 +63,21 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 @bw.tidied
-def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, width: int) -> Iterator[pa.RecordBatch]:
-    """Columns: doc_id, hash of the text, text. A row for each slice of documents."""
+def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Columns: doc_id, text, in the order of a range. A row for each slice of documents; first: the number of its first
+    sequence within the range."""
     codec = Codec(model)
     if len(codec.surface) > 1 << (8 * width):
         raise ValueError(f"{len(codec.surface)} ids do not fit {width} bytes")
+    block, done = TaskContext.get().partitionId(), 0
     blob = lambda x, kind: pa.array([np.ascontiguousarray(x, dtype=kind).tobytes()], pa.binary())
     for batch in batches:
-        for low, high, _, _ in bw.text_slices(batch.column(2)):
-            ids, _, _, cuts = codec.encode_many(batch.column(2).slice(low, high - low).to_pylist())
+        for low, high, _, _ in bw.text_slices(batch.column(1), 2 << 20):
+            ids, _, _, cuts = codec.encode_many(batch.column(1).slice(low, high - low).to_pylist())
+            tokens = np.diff(cuts)
             docs = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column(0).slice(low, high - low))
-            yield pa.record_batch([pa.array([uuid.uuid4().hex]), docs, blob(batch.column(1).slice(low, high - low).to_numpy(), np.int64), blob(np.diff(cuts), np.int32), blob(ids, f"<u{width}")], names=["chunk", "doc_ids", "hashes", "n_tokens", "ids"])
-
-
-def _documents(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Columns: chunk, doc_ids, hashes, n_tokens. A row for each document."""
-    for batch in batches:
-        for chunk, docs, hashes, tokens in zip(*batch.columns, strict=True):
-            tokens = np.frombuffer(tokens.as_buffer(), dtype=np.int32)
-            n = len(tokens)
-            yield pa.record_batch(
-                [pa.array([chunk.as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), docs.values, pa.array(np.frombuffer(hashes.as_buffer(), dtype=np.int64)), pa.array(tokens), pa.array(-(-tokens.astype(np.int64) // length))],
-                names=["chunk", "ordinal", "doc_id", "hash", "n_tokens", "n"],
-            )
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([done], pa.int64()), docs, blob(tokens, np.int32), blob(ids, f"<u{width}")], names=["block", "first", "doc_ids", "n_tokens", "ids"])
+            done += int((-(-tokens // length)).sum())
 
 
 def _pack(shard: int, slots: np.ndarray, docs: pa.Array, seqs: np.ndarray, tokens: np.ndarray, records: np.ndarray) -> list:
@@ -97,18 +92,18 @@ def _packs(rows: list[list]) -> pa.RecordBatch:
 
 
 @bw.tidied
-def _slots(batches: Iterator[pa.RecordBatch], total: int, key: int, length: int, width: int, fill: int, per_shard: int) -> Iterator[pa.RecordBatch]:
-    """Columns: doc_ids, n_tokens, ids, firsts. Records of a chunk, packed by shard."""
+def _slots(batches: Iterator[pa.RecordBatch], before: dict[int, int], total: int, key: int, length: int, width: int, fill: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+    """Records of a slice of documents, packed by shard."""
     kind = np.dtype(f"<u{width}")
     for batch in batches:
-        for docs, tokens, ids, firsts in zip(*batch.columns, strict=True):
+        for block, first, docs, tokens, ids in zip(*batch.columns, strict=True):
             tokens, ids = np.frombuffer(tokens.as_buffer(), dtype=np.int32).astype(np.int64), np.frombuffer(ids.as_buffer(), dtype=kind)
             n = -(-tokens // length)
             if not n.sum():
                 continue
             row = np.repeat(np.arange(len(n)), n)
             seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            slot = feistel(firsts.values.to_numpy()[row] + seq, total, key)
+            slot = feistel(before[block.as_py()] + first.as_py() + np.arange(len(row)), total, key)
             held = np.minimum(length, tokens[row] - seq * length)
             records = np.full((len(row), length + 1), fill, dtype=kind)
             records[:, 0] = held
@@ -120,6 +115,13 @@ def _slots(batches: Iterator[pa.RecordBatch], total: int, key: int, length: int,
             yield _packs([_pack(int(shards[i]), slot[order[i:j]], own.slice(i, j - i), seq[order[i:j]], held[order[i:j]], records[order[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
+def _ends(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Columns: block, first, n_tokens. The number after the last sequence of each slice."""
+    for batch in batches:
+        sizes = [int((-(-np.frombuffer(x.as_buffer(), dtype=np.int32) // length)).sum()) for x in batch.column(2)]
+        yield pa.record_batch([batch.column(0), pa.array(batch.column(1).to_numpy() + np.array(sizes, dtype=np.int64))], names=["block", "end"])
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
@@ -149,10 +151,8 @@ def _stored(where, path: str, data: bytes) -> None:
 
 
 @bw.tidied
-def _written(batches: Iterator[pa.RecordBatch], folder: str, per_shard: int, total: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Assemble each shard (its packs come one after the other) and write it; a row for each of its sequences."""
-    where, base = _file_system(folder)
-    stride = (length + 1) * width
+def _assembled(batches: Iterator[pa.RecordBatch], per_shard: int, total: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """One row for each shard, in the order of its slots; its packs come in one partition, one after the other."""
     shard, filled = None, 0
     for batch in batches:
         for i in range(batch.num_rows):
@@ -167,21 +167,36 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, per_shard: int, tot
             at = np.frombuffer(row["slots"], dtype=np.int64) - shard * per_shard
             docs[at], known[at] = own.fill_null(0).to_numpy(), np.asarray(own.is_valid())
             seqs[at], held[at] = np.frombuffer(row["seqs"], dtype=np.int32), np.frombuffer(row["n_tokens"], dtype=np.int32)
-            records[at] = np.frombuffer(pa.decompress(row["records"], decompressed_size=len(at) * stride, codec="zstd", asbytes=True), dtype=records.dtype).reshape(-1, length + 1)
+            records[at] = _records(row, len(at), length, width)
             filled += len(at)
-            if filled < size:
-                continue
-            data = records.tobytes()
-            _stored(where, f"{base}/{shard_name(shard)}", data)
-            crcs = [zlib.crc32(data[k * stride : (k + 1) * stride]) for k in range(size)]
-            slots = np.arange(size, dtype=np.int64)
+            if filled == size:
+                yield _packs([_pack(shard, np.arange(size) + shard * per_shard, pa.array(docs, mask=~known), seqs, held, records)])
+                filled = 0
+    if filled:
+        raise ValueError(f"shard {shard} is not complete")
+
+
+def _records(row: dict, n: int, length: int, width: int) -> np.ndarray:
+    data = pa.decompress(row["records"], decompressed_size=n * (length + 1) * width, codec="zstd", asbytes=True)
+    return np.frombuffer(data, dtype=f"<u{width}").reshape(-1, length + 1)
+
+
+@bw.tidied
+def _written(batches: Iterator[pa.RecordBatch], folder: str, per_shard: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Write each shard; a row for each of its sequences."""
+    where, base = _file_system(folder)
+    stride = (length + 1) * width
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names) if name != "doc_ids"}
+            slots = np.frombuffer(row["slots"], dtype=np.int64)
+            data = _records(row, len(slots), length, width).tobytes()
+            _stored(where, f"{base}/{shard_name(row['shard'])}", data)
+            crcs = [zlib.crc32(data[k * stride : (k + 1) * stride]) for k in range(len(slots))]
             yield pa.record_batch(
-                [pa.array(docs, mask=~known), pa.array(seqs), pa.array(slots + shard * per_shard), pa.array(np.full(size, shard, np.int32)), pa.array(slots * stride), pa.array(held), pa.array(crcs, pa.int64())],
+                [batch.column(2)[i].values, pa.array(np.frombuffer(row["seqs"], np.int32)), pa.array(slots), pa.array(np.full(len(slots), row["shard"], np.int32)), pa.array(slots % per_shard * stride), pa.array(np.frombuffer(row["n_tokens"], np.int32)), pa.array(crcs, pa.int64())],
                 names=["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "record_crc32"],
             )
-            filled = 0
-    if filled:
-        raise ValueError(f"shard {shard} is not complete")
 
 
 def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: int = 1, length: int = 256, width: int = 2, fill: int = 0, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,30 +214,35 @@ def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: in
         where.delete_file(f"{base}/manifest.json")
     with open(model, "rb") as f:
         blob = f.read()
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    encoded = cut(slim.mapInArrow(lambda it: _encoded(it, blob, width), CHUNKS), "ids", "zstd")
-    rows = cut(encoded.drop("ids").mapInArrow(lambda it: _documents(it, length), DOCS), "documents")
-    # Rows alike in id and text are interchangeable; their place in a chunk splits a hot id.
-    order = ranges.ordered(rows, ["doc_id", "hash", "n_tokens", "ordinal"], ["n"], "sequences")
-    drop(rows)
-    before, sums = ranges.offsets(order, "n")
-    total = sums["n"]
+    apart = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), apart.alias("apart"), F.col(text_col).alias("text"))
+    one = slim.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.sum(F.xxhash64("doc_id", "hash").cast("decimal(38,0)")).alias("mark")).first()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("apart").asc()]
+    dealt = slim.repartitionByRange(min(RANGES, max(ranges.LEAST, (one["size"] or 0) // RANGE_BYTES)), *order).sortWithinPartitions(*order)
+    encoded = cut(dealt.select("doc_id", "text").mapInArrow(lambda it: _encoded(it, blob, length, width), CHUNKS), "ids", "zstd")
+    release(spark)
+    # The total of each range is the end of its last slice: a row for each range on the driver and with the tasks.
+    ends = encoded.select("block", "first", "n_tokens").mapInArrow(lambda it: _ends(it, length), "block int, end long").groupBy("block").agg(F.max("end").alias("end")).orderBy("block").collect()
+    before, total = {}, 0
+    for r in ends:
+        before[r.block] = total
+        total += r.end
     stride = (length + 1) * width
     per_shard = max(1, shard_bytes // stride)
     shards = -(-total // per_shard)
-    first = order.join(F.broadcast(before), "block").select("chunk", F.struct("ordinal", (F.col("n_sum") + F.col("n_before")).alias("first")).alias("x"))
-    firsts = first.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["first"]).alias("firsts"))
-    packs = encoded.join(firsts, "chunk").select("doc_ids", "n_tokens", "ids", "firsts").mapInArrow(lambda it: _slots(it, total, key, length, width, fill, per_shard), PACKS)
-    dealt = packs.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard")
-    places = cut(dealt.mapInArrow(lambda it: _written(it, folder, per_shard, total, length, width), PLACES), "places")
+    packs = encoded.mapInArrow(lambda it: _slots(it, before, total, key, length, width, fill, per_shard), PACKS)
+    dealt = packs.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard")
+    whole = cut(dealt.mapInArrow(lambda it: _assembled(it, per_shard, total, length, width), PACKS), "shards", "uncompressed")
+    drop(encoded)
+    release(spark)
+    places = cut(whole.mapInArrow(lambda it: _written(it, folder, per_shard, length, width), PLACES), "places")
+    drop(whole)
     found = sum(x.size == stride * min(per_shard, total - k * per_shard) for k, x in enumerate(where.get_file_info([f"{base}/{shard_name(k)}" for k in range(shards)])))
     if found < shards:
         raise OSError(f"{shards - found} of {shards} shards are not to be seen in {folder}: it must be shared by the driver and all executors")
-    mark = order.agg(F.sum(F.xxhash64("doc_id", "hash").cast("decimal(38,0)"))).first()[0]
-    about = {"sequences": total, "shards": shards, "per_shard": per_shard, "length": length, "width": width, "fill": fill, "stride": stride, "key": key, "documents": sums["rows"], "fingerprint": f"{mark or 0}", "model_crc32": zlib.crc32(blob)}
+    about = {"sequences": total, "shards": shards, "per_shard": per_shard, "length": length, "width": width, "fill": fill, "stride": stride, "key": key, "documents": one["n"], "fingerprint": f"{one['mark'] or 0}", "model_crc32": zlib.crc32(blob)}
     with where.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps(about, indent=1).encode())
-    drop(encoded, order)
     places._fieldloom_folder = folder
     return places
 
