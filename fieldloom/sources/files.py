@@ -72,21 +72,22 @@ def read_feature_lines(spark: SparkSession, path: str, properties: str) -> DataF
     return spark.read.schema(kind).json(path).select("properties.*", F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"))
 
 
-def csv_line(columns: Sequence[str]) -> Column:
-    """A CSV line: null and numbers that are not finite as empty, text quoted only where it holds a quote, a comma or a
-    line break."""
+def csv_line(columns: Sequence[str], finite_only: bool = False) -> Column:
+    """A CSV line: null as empty, text quoted only where it holds a quote, a comma or a line break. finite_only: numbers
+    that are not finite are empty too, else they are written by name."""
 
     def cell(c: str) -> Column:
         t = F.col(c).cast("string")
-        t = F.when(F.typeof(c).isin("double", "float") & t.isin("NaN", "Infinity", "-Infinity"), None).otherwise(t)
+        if finite_only:
+            t = F.when(F.typeof(c).isin("double", "float") & t.isin("NaN", "Infinity", "-Infinity"), None).otherwise(t)
         return F.coalesce(F.when(t.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t), F.lit(""))
 
     return F.concat_ws(",", *(cell(c) for c in columns))
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str], header: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], header: bool = False, finite_only: bool = False) -> None:
     """header: a first line with the names in every file of the folder."""
-    lines = df.select(csv_line(columns).alias("value"))
+    lines = df.select(csv_line(columns, finite_only).alias("value"))
     if header:
         first = ",".join(f'"{c}"' if re.search('[",\n\r]', c) else c for c in columns)
 
