@@ -11,7 +11,9 @@ score is the posterior of the predicted language under equal priors, with the me
 `evidence` words, so that it stays below 1 where words disagree.
 
 Defined cases: a text that is null or without a letter gives `und` with score 0, as do all texts when no row has a
-label; of languages with equal scores the first by name is taken; repeated rows are predicted each.
+label; of languages with equal scores the first by name is taken; very long texts are read whole; repeated rows, and
+rows without an id, are predicted each; an empty table gives no rows; extra columns pass, and those named like an output
+give way.
 """
 
 from __future__ import annotations

@@ -35,6 +35,36 @@ def test_language_cases(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_equals_a_plain_version(spark):
+    """Word by word and n-gram by n-gram, without tables or caches."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs.where(~queries.held_out()))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + [None, "", "12", "Wort unseenwordish"]
+    langs, scores = language_id.Scorer(model).predict(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        words = language_id._WORDS((t or "").lower())
+        if not any(c.isalpha() for c in t or ""):
+            assert (lang, score) == ("und", 0)
+            continue
+        sums = np.zeros(len(model.languages))
+        for w in words:
+            if w in model.words:
+                sums += model.word_scores[model.words[w]]
+                continue
+            marked, own = f"^{w}$", []
+            for i in range(len(marked)):
+                known = [marked[i : i + n] for n in range(1, model.longest + 1) if i + n <= len(marked) and marked[i : i + n] in model.grams]
+                own += [model.gram_scores[model.grams[known[-1]]]] if known else []
+            sums += np.mean(own, axis=0) if own else 0
+        odds = np.exp(min(len(words), model.evidence) * (sums / len(words) - (sums / len(words)).max()))
+        assert lang == model.languages[int(odds.argmax())] and score == pytest.approx(1 / odds.sum(), abs=1e-4)
+
+
+def test_rows_without_an_id_are_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,)], "doc_id long").select(queries.held_out().alias("h")).collect()
+    assert [r.h for r in rows] == [True, zlib.crc32(b"1") % 5 == 0]
+
+
 def test_backoff_takes_the_longest_known():
     assert language_id.backoff("abc", {"^ab": 0, "ab": 1, "b": 2, "c$": 3, "^": 4}, 3) == [0, 1, 2, 3]
 
