@@ -35,10 +35,12 @@ def tidy() -> None:
 
 
 def tidied(batches: Callable) -> Callable:
-    """A function of batches whose task ends with tidy()."""
+    """A function of batches whose task begins and ends with tidy(): what the task before left in cycles (its model, its
+    caches) goes before this one takes memory of its own."""
 
     @wraps(batches)
     def run(*args):
+        tidy()
         yield from batches(*args)
         tidy()
 
