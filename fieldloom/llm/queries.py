@@ -172,6 +172,63 @@ SELECT reach.a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min
 """
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all documents; the text of one in ten, by its id, is made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size("w")
+    a = F.pmod(F.col("g"), n)
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    periodic = F.array_join(F.concat(F.slice("w", 1, a.cast("int")), F.transform(F.sequence(F.lit(0).cast("int"), (n - a - 1).cast("int")), lambda k: F.element_at("w", (a + k % p + 1).cast("int")))), " ")
+    own = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), g.alias("g"))
+    return own.select("doc_id", F.when(F.size("w") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.periodic_runs import find_runs
+
+    out = find_runs(planted(table(spark, sf_dir, "documents")), power=4, least=6)
+    each = F.arrays_zip("run_starts", "run_lengths", "run_periods")
+    # The longest one first: by length, then by smallest start, then by smallest period.
+    best = F.array_max(F.transform(each, lambda x: F.struct(x["run_lengths"].alias("length"), (-x["run_starts"]).alias("start"), (-x["run_periods"]).alias("period"))))
+    lines = F.array_join(F.transform(each, lambda x: F.concat_ws(",", x["run_starts"].cast("string"), x["run_lengths"].cast("string"), F.concat(x["run_periods"].cast("string"), F.lit("\n")))), "")
+    rows = out.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("run_starts").cast("long").alias("n_runs"),
+        (-F.col("best.start")).cast("long").alias("start"), F.col("best.length").cast("long").alias("length"), (-F.col("best.period")).cast("long").alias("period"),
+        F.floor(1000 * F.col("best.length").cast("long") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+OP11_SQL = f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t FROM range(256) AS r(i)),
+d AS (SELECT doc_id, {WORDS} AS w, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM d, tab),
+g AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+x AS (SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS x FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+three AS (SELECT doc_id, n, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS k FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, u.i AS i, v.i - u.i AS q FROM three AS u JOIN three AS v USING (doc_id, k) WHERE v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS b FROM m) GROUP BY doc_id, q, b),
+run AS (SELECT doc_id, s, l, min(q) AS q FROM stretch WHERE l >= greatest(6, 4 * q) GROUP BY doc_id, s, l),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS r, min(row(-l, s, q)) AS b FROM run GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b[2] AS start, -b[1] AS length, b[3] AS period, (-1000 * b[1]) // b[3] AS exponent_milli,
+  sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.simhash import hexadecimal, near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return out.select("doc_id", hexadecimal(F.col("bits")).alias("fingerprint"), "component_id")
+
+
 _ALL = (
     (op1_sentencepiece, None),
     (op2_language_id, None),
@@ -183,6 +240,8 @@ _ALL = (
     (op8_token_shards, None),
     (op9_token_counts, None),
     (op10_decontaminate, OP10_SQL),
+    (op11_periodic_runs, OP11_SQL),
+    (op12_simhash, None),
 )
 
 
