@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline, with DuckDB SQL where SQL can express them."""
+"""The queries op1_ to op13_ and pipeline, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -229,6 +229,32 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hexadecimal(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.source_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(tot.n), 0)::BIGINT AS n FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) AS tot USING (lang, source) GROUP BY lang, source),
+l AS (SELECT lang, sum(n)::BIGINT AS n FROM g GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000 * (coalesce(c.n, 0) + 5) // (g.n + 5 * v))::BIGINT AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, (1 + 1000000000 * (sum(p.n)::BIGINT + 5) // (any_value(l.n) + 5 * any_value(v)))::BIGINT AS q FROM p JOIN l USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(f), 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 _ALL = (
     (op1_sentencepiece, None),
     (op2_language_id, None),
@@ -242,6 +268,7 @@ _ALL = (
     (op10_decontaminate, OP10_SQL),
     (op11_periodic_runs, OP11_SQL),
     (op12_simhash, None),
+    (op13_source_divergence, OP13_SQL),
 )
 
 
