@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -60,7 +59,7 @@ BLANKS = separators((0x20, 0x20), (0x09, 0x0D))
 NOT_ALNUM = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_SEVERAL = re.compile(rb"[\x20\x09-\x0D]+")
+_PIECE = 1 << 13
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -181,11 +180,11 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = F
 
 
 def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: int, high: int, begin: np.ndarray, end: np.ndarray) -> bytes:
-    """Words low to high without those of the intervals (counted from low), joined by one space; only of short pieces
-    a list of words is made."""
+    """Words low to high without those of the intervals (counted from low), joined by one space. Lists of
+    words are made of _PIECE words at most."""
     edges = [low, *(low + np.stack([begin, end], axis=1).reshape(-1)).tolist(), high]
-    pieces = (data[starts[a] : ends[b - 1]].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a)
-    return b" ".join(b" ".join(x.split()) if len(x) < CHUNK else _SEVERAL.sub(b" ", x) for x in pieces)
+    pieces = ((k, min(k + _PIECE, b)) for a, b in zip(edges[::2], edges[1::2], strict=True) for k in range(a, b, _PIECE))
+    return b" ".join(b" ".join(data[starts[a] : ends[b - 1]].tobytes().split()) for a, b in pieces)
 
 
 def binary_rows(values: np.ndarray, cuts: np.ndarray) -> pa.Array:

@@ -8,7 +8,8 @@ answers the documents that are not the smallest holder. Repeated windows then me
 
 Defined cases: a null or empty text has no words; a text of fewer words than the window is left whole; a window is
 compared with strictly smaller document ids only, so rows that repeat a document id never remove each other's words;
-rows with a null id are left whole and remove nothing. Hashes have 64 bits: among n windows the chance that any two
+rows with a null id are left whole and remove nothing; very long texts are taken whole, by their bytes and not as lists
+of words; an empty table gives no rows; an input column with the name of an output gives way. Hashes have 64 bits: among n windows the chance that any two
 different ones meet is about n * n / 3.7e19.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,55 +137,56 @@ def intervals(hit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(at[np.flatnonzero(new)[1:] - 1], at[-1]) + window
 
 
-def _spans(text: bytes, keys: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, dtype=np.uint8)
-    starts, ends, first = bw.words(data, np.array([0, len(data)]), bw.BLANKS)
-    got, _, _ = bw.window_hashes(bw.word_hashes(data, starts, ends), first, window)
-    return intervals(np.isin(got, np.frombuffer(keys, dtype=np.uint64)), window)
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of the words of one text, given by their first and end bytes."""
+    got, _, _ = bw.window_hashes(bw.word_hashes(data, starts, ends), np.array([0, len(starts)]), window)
+    hit = np.empty(len(got), dtype=bool)
+    for low in range(0, len(got), bw.CHUNK):
+        hit[low : low + bw.CHUNK] = np.isin(got[low : low + bw.CHUNK], keys)
+    return intervals(hit, window)
 
 
-#: The columns that remove_repeats() adds, in the order of their values in _removed().
+#: The columns that remove_repeats() adds.
 ADDED = {"n_words": "long", "n_removed": "long", "span_starts": "array<int>", "span_ends": "array<int>", "kept_text": "string", "cut_text": "string"}
 
 
 @bw.tidied
 def _removed(batches: Iterator[pa.RecordBatch], window: int, text_at: int, outputs: list[str]) -> Iterator[pa.RecordBatch]:
-    names = list(ADDED)
-    for whole in batches:
-        for low in range(0, whole.num_rows, 512):
-            batch = whole.slice(low, 512)
-            out: list[list] = [[] for _ in names]
-            for value, keys in zip(batch.column(text_at), batch.column(-1), strict=True):
-                text = value.as_py()
-                raw = (text or "").encode()
-                parts = raw.split()
-                begin, end = _spans(raw, keys.as_py(), window) if keys.is_valid and len(parts) >= window else ((), ())
-                cut_text, kept = text, parts
-                if len(begin):
-                    kept, last = [], 0
-                    for b, e in zip(begin, end, strict=True):
-                        kept += parts[last:b]
-                        last = e
-                    kept += parts[last:]
-                    cut_text = _without(raw, begin, end)
-                for to, x in zip(out, (len(parts), len(parts) - len(kept), list(map(int, begin)), list(map(int, end)), b" ".join(kept).decode(), cut_text), strict=True):
-                    to.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.string()]
-            made = {name: pa.array(x, k) for name, x, k in zip(names, out, kinds, strict=True) if name in outputs}
-            yield pa.record_batch([*batch.columns[:-1], *made.values()], names=[*batch.schema.names[:-1], *made])
-
-
-def _without(raw: bytes, begin: np.ndarray, end: np.ndarray) -> str:
+    """Slices of about a MB of text; what nobody asked for is not made."""
+    for batch in batches:
+        for low, high, data, at in bw.text_slices(batch.column(text_at)):
+            own = batch.slice(low, high - low)
+            starts, ends, first = bw.words(data, at, bw.BLANKS)
+            n_words, spans = np.diff(first), {}
+            for r in np.flatnonzero(np.asarray(own.column(-1).is_valid()) & (n_words >= window)):
+                words = slice(first[r], first[r + 1])
+                found = _spans(data[at[r] : at[r + 1]], starts[words] - at[r], ends[words] - at[r], np.frombuffer(own.column(-1)[int(r)].as_buffer(), dtype=np.uint64), window)
+                if len(found[0]):
+                    spans[int(r)] = found
+            made = {}
+            if "n_words" in outputs:
+                made["n_words"] = pa.array(n_words, pa.int64())
+            if "n_removed" in outputs:
+                gone = np.zeros(len(n_words), dtype=np.int64)
+                gone[list(spans)] = [int((e - b).sum()) for b, e in spans.values()]
+                made["n_removed"] = pa.array(gone)
+            for k, name in enumerate(("span_starts", "span_ends")):
+                if name in outputs:
+                    made[name] = pa.array([spans[r][k] if r in spans else [] for r in range(len(n_words))], pa.list_(pa.int32()))
+            if "kept_text" in outputs:
+                none = np.zeros(0, dtype=np.int64)
+                made["kept_text"] = pa.array([bw.kept_words(data, starts, ends, first[r], first[r + 1], *spans.get(r, (none, none))) for r in range(len(n_words))], pa.binary()).cast(pa.string())
+            if "cut_text" in outputs:
+                short = pa.array([_without(data[at[r] : at[r + 1]], starts[first[r] : first[r + 1]] - at[r], *spans[r]) if r in spans else None for r in range(len(n_words))], pa.binary()).cast(pa.string())
+                made["cut_text"] = pc.coalesce(short, own.column(text_at).cast(pa.string())) if spans else own.column(text_at).cast(pa.string())
+            yield pa.record_batch([*own.columns[:-1], *made.values()], names=[*own.schema.names[:-1], *made])
+
+
+def _without(data: np.ndarray, starts: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
     """The text without the words of the intervals and without the blanks that follow each of them."""
-    data = np.frombuffer(raw, dtype=np.uint8)
-    starts, _, _ = bw.words(data, np.array([0, len(data)]), bw.BLANKS)
-    edges = np.append(starts, len(raw))
-    left, last = [], 0
-    for b, e in zip(begin, end, strict=True):
-        left.append(raw[last : edges[b]])
-        last = edges[e]
-    left.append(raw[last:])
-    return b"".join(left).decode()
+    edges = np.append(starts, len(data))
+    cuts = [0, *np.stack([edges[begin], edges[end]], axis=1).reshape(-1).tolist(), len(data)]
+    return b"".join(data[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", outputs: Sequence[str] = tuple(ADDED)) -> DataFrame:
