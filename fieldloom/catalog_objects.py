@@ -222,6 +222,32 @@ def object_features(s, d):
     return out.select("zone", *_r("area", "perimeter"), "n_pixels", *_r("p10", "p50", "p90", "mean", "exg", "green_fraction"))
 
 
+@_query(f"""SELECT a.c AS k, b.c AS o_k, round(w, 6) AS both, round(sa + sb - w, 6) AS either, round(sa - w, 6) AS only, round(sb - w, 6) AS o_only FROM (SELECT a.c, b.c AS o, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS w,
+(a.x1-a.x0)*(a.y1-a.y0) AS sa, (b.x1-b.x0)*(b.y1-b.y0) AS sb FROM {_BOX} a JOIN {_BOX} b ON a.c % 2 = 0 AND b.c % 2 = 1 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)) t JOIN {_BOX} a ON a.c = t.c JOIN {_BOX} b ON b.c = t.o""")
+def polygon_overlay(s, d):
+    rings = _rings(s, d)
+    return polygons.polygon_overlays(rings.where("c % 2 = 0"), rings.where("c % 2 = 1"), "c", "c", "ring", 16.0).select("k", "o_k", *_r("both", "either", "only", "o_only"))
+
+
+@_query(f"""WITH b AS (SELECT c % 3 AS g, x0, y0, x1, y1 FROM {_BOX}), e AS (SELECT g, x FROM (SELECT g, x0 AS x FROM b UNION SELECT g, x1 FROM b)),
+s AS (SELECT g, x, lead(x) OVER (PARTITION BY g ORDER BY x) AS u FROM e),
+i AS (SELECT s.g, s.x, s.u, y0, y1, max(y1) OVER (PARTITION BY s.g, s.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s JOIN b ON b.g = s.g AND b.x0 <= s.x AND b.x1 >= s.u)
+SELECT g, round(sum((u - x) * greatest(0, y1 - greatest(y0, coalesce(top, y0)))), 4) AS area FROM i GROUP BY g""")
+def polygon_union_area(s, d):
+    rings = _rings(s, d).withColumn("g", F.col("c") % 3)
+    return polygons.union_area(rings, "ring", 50.0, ["g"]).select("g", F.round("area", 4).alias("area"))
+
+
+_NEAR = "(SELECT min(sqrt((px - ax - t * dx)**2 + (py - ay - t * dy)**2)) FROM (SELECT *, greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) AS t FROM (VALUES (x, y, 9.0, 0.0), (x + 9, y, -9.0, 7.3), (x, y + 7.3, 0.0, -7.3)) AS e(ax, ay, dx, dy)))"
+
+
+@_query(f"""WITH f AS (SELECT col + 0.5 AS px, row + 0.5 AS py, value FROM {_P} WHERE (row, col) NOT IN (SELECT (row, col) FROM {_OWNED})), z AS (SELECT DISTINCT x, y FROM {_ZONES}),
+n AS (SELECT x, y, count(value) AS n_pixels, median(value) AS background FROM (SELECT x, y, value, {_NEAR} AS d FROM z, f WHERE px > x - 6 AND px < x + 15 AND py > y - 6 AND py < y + 14) WHERE d > 1.2 AND d <= 5 GROUP BY x, y)
+SELECT zone, coalesce(n_pixels, 0) AS n_pixels, CASE WHEN n_pixels >= 5 THEN round(background, 6) END AS background FROM {_ZONES} LEFT JOIN n USING (x, y)""")
+def ring_zone_background(s, d):
+    return polygons.zone_background(_pixels(s, d), _zone_triangles(s, d), "zone", "ring", 1.2, 5.0, 8.0, "value", least=5).select("zone", "n_pixels", *_r("background"))
+
+
 @_query(f"SELECT c FROM {_BOX} WHERE x0 < 500.05 AND x1 > 500.05 AND y0 < 420.05 AND y1 > 420.05 ORDER BY c LIMIT 1")
 def pick_at_point(s, d):
     return spatial.pick(_rings(s, d), "ring", 500.05, 420.05, [F.asc("c")]).select("c")

@@ -1,20 +1,26 @@
 """Joins and measures of simple polygons, given as rings: array<struct<x: double, y: double>>.
 
 Candidates come from an equi-join on the grid cells of their boxes; each pair is made in one cell only and judged
-exactly in numpy inside the task. A ring closes by itself; fewer than three points, or a null, is no polygon.
+exactly in numpy inside the task, many pairs together. A ring closes by itself; a null, fewer than three points, or a
+point that is null, infinite or not a number makes it no polygon: it joins with nothing and covers nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry
+from fieldloom.operators import overlay
+from fieldloom.operators.aggregates import quantiles
 from fieldloom.operators.spatial import cell
+from fieldloom.sources.store import cut
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -26,65 +32,14 @@ def points(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], dtype=float).reshape(-1, 2)
 
 
-def _crossings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Heights at which edges of a and b cross."""
-    p, r = a[:, None], (np.roll(a, -1, axis=0) - a)[:, None]
-    q, s = b[None], (np.roll(b, -1, axis=0) - b)[None]
-    det = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((q - p)[..., 0] * s[..., 1] - (q - p)[..., 1] * s[..., 0]) / det
-        u = ((q - p)[..., 0] * r[..., 1] - (q - p)[..., 1] * r[..., 0]) / det
-        ok = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        return (p[..., 1] + t * r[..., 1])[ok]
-
-
-def _spans(ring: np.ndarray, heights: np.ndarray) -> np.ndarray:
-    """Intervals of x inside the ring at each height (even-odd), as (height, 2 * intervals) sorted, filled up with inf."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    y = heights[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-    x = np.where((a[:, 1] > y) != (b[:, 1] > y), x, np.inf)
-    x.sort(axis=1)
-    return x[:, : len(ring) // 2 * 2]
-
-
 def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the intersection: between two neighbouring heights of vertices and crossings all edges are straight and
-    apart, so that the width half way up times the height is exact."""
-    low, high = max(a[:, 1].min(), b[:, 1].min()), min(a[:, 1].max(), b[:, 1].max())
-    if low >= high or len(a) < 3 or len(b) < 3:
-        return 0.0
-    ys = np.unique(np.clip(np.concatenate([a[:, 1], b[:, 1], _crossings(a, b)]), low, high))
-    middle = (ys[1:] + ys[:-1]) / 2
-    p, q = _spans(a, middle), _spans(b, middle)
-    left = np.maximum(p[:, 0::2, None], q[:, None, 0::2])
-    right = np.minimum(p[:, 1::2, None], q[:, None, 1::2])
-    with np.errstate(invalid="ignore"):
-        width = np.where(np.isfinite(right) & np.isfinite(left), np.maximum(right - left, 0), 0)
-    return float((width.sum(axis=(1, 2)) * np.diff(ys)).sum())
+    """Area of the intersection of two rings."""
+    return float(overlay.overlap_areas(overlay.Rings.one(a), overlay.Rings.one(b))[0])
 
 
 def meet(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two polygons have a point in common, edges included."""
-    if min(len(a), len(b)) < 3 or (a.max(axis=0) < b.min(axis=0)).any() or (b.max(axis=0) < a.min(axis=0)).any():
-        return False
-    if len(_crossings(a, b)) or _inside(a[0], b) or _inside(b[0], a):
-        return True
-    # Parallel edges that touch have a vertex of one on an edge of the other.
-    return any(_on_edge(v, y) for x, y in ((a, b), (b, a)) for v in x)
-
-
-def _inside(p: np.ndarray, ring: np.ndarray) -> bool:
-    x = _spans(ring, np.array([p[1]]))[0]
-    return bool(np.searchsorted(x, p[0], side="right") % 2)
-
-
-def _on_edge(p: np.ndarray, ring: np.ndarray) -> bool:
-    a, b = ring, np.roll(ring, -1, axis=0)
-    cross = (b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[0] - a[:, 0])
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    return bool(((cross == 0) & (p >= low).all(axis=1) & (p <= high).all(axis=1)).any())
+    return bool(overlay.meeting(overlay.Rings.one(a), overlay.Rings.one(b))[0])
 
 
 def simplify(line: np.ndarray, tolerance: float) -> np.ndarray:
@@ -152,48 +107,187 @@ def signed_area(ring: np.ndarray) -> float:
 # Tables
 
 
-def _boxes(df: DataFrame, key: str, ring: str, prefix: str, size: float, margin: float = 0.0) -> DataFrame:
+def real(ring: Column | str) -> Column:
+    """Whether a ring is a polygon: three points or more, all of them finite."""
+    finite = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))
+    return F.coalesce((F.size(ring) >= 3) & F.forall(ring, lambda p: F.coalesce(p.isNotNull() & finite(p["x"]) & finite(p["y"]), F.lit(False))), F.lit(False))
+
+
+def _extent(ring: str, prefix: str = "") -> list[Column]:
     side = lambda f, k: f(F.transform(ring, lambda p: p[k]))
-    known = df.where(F.size(ring) >= 3).select(F.col(key).alias(f"{prefix}k"), F.col(ring).alias(f"{prefix}ring"), *((side(f, k) + m).alias(f"{prefix}{k}{i}") for k in "xy" for i, f, m in ((0, F.array_min, -margin), (1, F.array_max, margin))))
-    span = lambda k: F.sequence(cell(f"{prefix}{k}0", size), cell(f"{prefix}{k}1", size))
-    return known.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    return [side(f, k).alias(f"{prefix}{k}{i}") for k in "xy" for i, f in ((0, F.array_min), (1, F.array_max))]
+
+
+def _boxes(df: DataFrame, key: str, ring: str, prefix: str, size: float) -> DataFrame:
+    known = df.where(real(ring)).select(F.col(key).alias(f"{prefix}k"), F.col(ring).alias(f"{prefix}ring"), *_extent(ring, prefix))
+    # Cells of a level are twice as wide as those of the level below: a box goes to the level of its own size.
+    width = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"))
+    return known.withColumn(f"{prefix}level", F.greatest(F.ceil(F.log2(F.greatest(width / size, F.lit(1.0)))), F.lit(0)).cast("int"))
+
+
+def _at_levels(df: DataFrame, prefix: str, levels: list[int], size: float) -> DataFrame:
+    """Each box in the cells of its own level, four at most, and of the coarser ones among the levels."""
+    wide = df.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.col(f"{prefix}level"))))
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    span = lambda k: F.sequence(F.floor(F.col(f"{prefix}{k}0") / step), F.floor(F.col(f"{prefix}{k}1") / step))
+    return wide.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
 
 def _pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Pairs of boxes that meet, each in the cell of the lower corner of their common part."""
+    """Pairs of boxes that meet, each made once: at the coarser one of their two levels, in the cell of the lower corner
+    of their common part. However large a box, it lies in four cells of a level, and of levels there are some sixty."""
+    levels = sorted({r[0] for df, k in ((a, "alevel"), (b, "blevel")) for r in df.select(k).distinct().collect()})
     low = {k: F.greatest(f"a{k}0", f"b{k}0") for k in "xy"}
-    return a.join(b, ["cx", "cy"]).where((F.least("ax1", "bx1") >= low["x"]) & (F.least("ay1", "by1") >= low["y"]) & (F.col("cx") == cell(low["x"], size)) & (F.col("cy") == cell(low["y"], size))).select("ak", "bk", "aring", "bring")
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    own = F.col("level") == F.greatest("alevel", "blevel")
+    meets = (F.least("ax1", "bx1") >= low["x"]) & (F.least("ay1", "by1") >= low["y"])
+    here = (F.col("cx") == F.floor(low["x"] / step)) & (F.col("cy") == F.floor(low["y"] / step))
+    return _at_levels(a, "a", levels, size).join(_at_levels(b, "b", levels, size), ["level", "cx", "cy"]).where(own & meets & here).select("ak", "bk", "aring", "bring")
+
+
+def _overlays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns: k, o_k, both rings. Areas of the overlap and of each ring."""
+    for batch in batches:
+        a, b = (overlay.Rings.of(batch.column(k)) for k in (2, 3))
+        yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, (overlay.overlap_areas(a, b), a.areas(), b.areas()))], names=["k", "o_k", "both", "area", "o_area"])
+
+
+def polygon_overlays(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: str, size: float) -> DataFrame:
+    """(k, o_k, both, either, only, o_only): of each pair of polygons of a and b that overlap the areas of intersection,
+    union, and both differences. size: of the smallest cells, about that of a small polygon."""
+    kinds = [df.schema[k].dataType.simpleString() for df, k in ((a, a_key), (b, b_key))]
+    pairs = _pairs(_boxes(a, a_key, ring, "a", size), _boxes(b, b_key, ring, "b", size), size)
+    found = pairs.mapInArrow(_overlays, f"k {kinds[0]}, o_k {kinds[1]}, both double, area double, o_area double").where("both > 0")
+    return found.select("k", "o_k", "both", (F.col("area") + F.col("o_area") - F.col("both")).alias("either"), (F.col("area") - F.col("both")).alias("only"), (F.col("o_area") - F.col("both")).alias("o_only"))
 
 
 def polygon_overlaps(df: DataFrame, key: str, ring: str, size: float) -> DataFrame:
     """(k, o_k, ratio): pairs of polygons that overlap, k < o_k, and the overlap's share of the smaller one. size: of the
-    cells, about that of a polygon."""
-    pairs = _pairs(_boxes(df, key, ring, "a", size), _boxes(df, key, ring, "b", size), size).where("ak < bk")
+    smallest cells, about that of a small polygon."""
     kind = df.schema[key].dataType.simpleString()
+    pairs = _pairs(_boxes(df, key, ring, "a", size), _boxes(df, key, ring, "b", size), size).where("ak < bk")
+    found = pairs.mapInArrow(_overlays, f"k {kind}, o_k {kind}, both double, area double, o_area double").where("both > 0")
+    return found.select("k", "o_k", (F.col("both") / F.least("area", "o_area")).alias("ratio"))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for k, o, x, y in zip(rows["ak"], rows["bk"], rows["aring"], rows["bring"], strict=True):
-                a, b = points(x), points(y)
-                small = min(abs(signed_area(a)), abs(signed_area(b)))
-                out.append((k, o, overlap_area(a, b) / small if small else 0.0))
-            yield pd.DataFrame(out, columns=["k", "o_k", "ratio"])
 
-    return pairs.mapInPandas(judge, f"k {kind}, o_k {kind}, ratio double").where("ratio > 0")
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = overlay.meeting(overlay.Rings.of(batch.column(2)), overlay.Rings.of(batch.column(3)))
+        yield batch.select([0, 1]).filter(pa.array(ok))
 
 
 def polygons_meeting(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: str, size: float) -> DataFrame:
     """Pairs of keys of polygons of a and b that have a point in common."""
     kinds = [df.schema[k].dataType.simpleString() for df, k in ((a, a_key), (b, b_key))]
+    pairs = _pairs(_boxes(a, a_key, ring, "a", size), _boxes(b, b_key, ring, "b", size), size)
+    found = pairs.mapInArrow(_meetings, f"ak {kinds[0]}, bk {kinds[1]}")
+    return found.select(F.col("ak").alias(a_key), F.col("bk").alias(b_key))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ok = [meet(points(x), points(y)) for x, y in zip(rows["aring"], rows["bring"], strict=True)]
-            yield rows.loc[ok, ["ak", "bk"]]
 
-    found = _pairs(_boxes(a, a_key, ring, "a", size), _boxes(b, b_key, ring, "b", size), size).mapInPandas(judge, f"ak {kinds[0]}, bk {kinds[1]}")
-    return found.select(F.col("ak").alias(a_key), F.col("bk").alias(b_key))
+#: Rings that a cell is swept with at once; cells with more are cut in four, again and again, DEPTH times at most.
+CELL_RINGS, DEPTH = 512, 12
+
+
+def _cells(cx: pa.Array, cy: pa.Array, step: float) -> overlay.Rings:
+    """The outlines of cells."""
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float) * step for c in (cx, cy))
+    return overlay.Rings(np.stack([x, x + step, x + step, x], axis=1).reshape(-1), np.stack([y, y, y + step, y + step], axis=1).reshape(-1), np.arange(len(x) + 1) * 4)
+
+
+def _covering(batches: Iterator[pa.RecordBatch], step: float) -> Iterator[pa.RecordBatch]:
+    """Last columns: ring, cx, cy. Without the cells that a ring only passes by; `whole`: it covers all of the cell."""
+    for batch in batches:
+        ring, cx, cy = (batch.column(batch.schema.get_field_index(n)) for n in ("ring", "cx", "cy"))
+        both = overlay.overlap_areas(overlay.Rings.of(ring), _cells(cx, cy, step))
+        out = batch.append_column("whole", pa.array(both >= step * step * (1 - 1e-12)))
+        yield out.filter(pa.array(both > 0))
+
+
+def _cell_unions(names: Sequence[str], step: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    def swept(key: tuple, table: pa.Table) -> pa.Table:
+        cx, cy = key[-2].as_py() * step, key[-1].as_py() * step
+        box = tuple(np.array([v]) for v in (cx, cy, cx + step, cy + step))
+        area = overlay.union_areas(np.zeros(len(table), dtype=np.int64), overlay.Rings.of(table.column("ring")), box)
+        return pa.table({**{n: table.column(n).slice(0, 1) for n in names}, "area": pa.array(area)})
+
+    return swept
+
+
+def union_area(df: DataFrame, ring: str, size: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, area): the area that the polygons of each group cover together, what several cover counted once. The plane is
+    cut into cells of this size and each is swept by itself. Equal rings fall together before; a cell that some ring
+    covers needs no sweep, however many others lie there; a cell with more than CELL_RINGS outlines is cut in four. A ring
+    goes to every cell that its box meets. Without keys there is one row, also of no polygons."""
+    keys, step, parts = list(keys), float(size), []
+    known = df.where(real(ring)).select(*keys, F.col(ring).alias("ring"), *_extent(ring)).distinct()
+    span = lambda k: F.sequence(cell(f"{k}0", step), cell(f"{k}1", step))
+    placed = known.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).select(*keys, "ring", "cx", "cy")
+    names = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    for depth in range(DEPTH + 1):
+        rows = cut(placed.mapInArrow(lambda it, step=step: _covering(it, step), ", ".join([*names, f"ring {RING}", "cx long", "cy long", "whole boolean"])), "cells")
+        state = rows.groupBy(*keys, "cx", "cy").agg(F.bool_or("whole").alias("w"), F.count("*").alias("n"))
+        parts.append(state.where("w").select(*keys, F.lit(step * step).alias("area")))
+        open_ = state.where("NOT w").select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), "n")
+        mine = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "cx", "cy")]
+        some = open_ if depth == DEPTH else open_.where(F.col("n") <= CELL_RINGS)
+        swept = rows.join(some, mine, "left_semi").select(*keys, "ring", "cx", "cy").groupBy(*keys, "cx", "cy").applyInArrow(_cell_unions(keys, step), ", ".join([*names, "area double"]))
+        parts.append(cut(swept, "unions"))
+        many = open_.where(F.col("n") > CELL_RINGS)
+        if depth == DEPTH or many.isEmpty():
+            break
+        half = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c)
+        placed = rows.join(many, mine, "left_semi").select(*keys, "ring", half("cx"), "cy").select(*keys, "ring", "cx", half("cy"))
+        step /= 2
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
+
+
+def _segment_cells(zones: DataFrame, zone: str, ring: str, size: float, reach: float) -> DataFrame:
+    """Edges of the rings (zone, ax, ay, bx, by) in the cells (cx, cy) that hold any point within the reach of them: column
+    by column of cells only the part of the edge that is near, so a long slanted edge does not fill its box."""
+    r = F.col(ring)
+    after = F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
+    edge = F.explode(F.arrays_zip(r.alias("p"), after.alias("q"))).alias("e")
+    edges = zones.where(real(ring)).select(F.col(zone).alias("__zone"), edge).select("__zone", F.col("e.p.x").alias("ax"), F.col("e.p.y").alias("ay"), F.col("e.q.x").alias("bx"), F.col("e.q.y").alias("by"))
+    low, high = F.least("ax", "bx"), F.greatest("ax", "bx")
+    by_column = edges.withColumn("cx", F.explode(F.sequence(cell(low - reach, size), cell(high + reach, size))))
+    # The edge between the two sides of the column, widened by the reach; an upright edge is taken whole.
+    at = lambda x: F.col("ay") + (F.greatest(F.least(x, high), low) - F.col("ax")) * (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
+    y0, y1 = at(F.col("cx") * size - reach), at((F.col("cx") + 1) * size + reach)
+    upright = F.col("ax") == F.col("bx")
+    bottom = F.when(upright, F.least("ay", "by")).otherwise(F.least(y0, y1))
+    top = F.when(upright, F.greatest("ay", "by")).otherwise(F.greatest(y0, y1))
+    return by_column.withColumn("cy", F.explode(F.sequence(cell(bottom - reach, size), cell(top + reach, size))))
+
+
+def outline_distances(pixels: DataFrame, zones: DataFrame, zone: str, ring: str, reach: float, size: float) -> DataFrame:
+    """(row, col, zone, distance): pixels whose centre (col + 0.5, row + 0.5) is within the reach of a zone's outline."""
+    at = pixels.select("row", "col").withColumns({"cx": cell(F.col("col") + 0.5, size), "cy": cell(F.col("row") + 0.5, size)})
+    near = at.join(_segment_cells(zones, zone, ring, size, reach), ["cx", "cy"])
+    px, py = F.col("col") + 0.5, F.col("row") + 0.5
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - F.col("ax")) * dx + (py - F.col("ay")) * dy) / square))).otherwise(0.0)
+    distance = F.hypot(px - F.col("ax") - t * dx, py - F.col("ay") - t * dy)
+    return near.withColumn("distance", distance).where(F.col("distance") <= reach).groupBy("row", "col", F.col("__zone").alias(zone)).agg(F.min("distance").alias("distance"))
+
+
+def ring_zones(pixels: DataFrame, zones: DataFrame, zone: str, ring: str, inner: float, outer: float, size: float) -> DataFrame:
+    """pixels in the ring zone of each zone, with its key and their distance: further than `inner` from its outline, no
+    further than `outer`, and in no zone at all. A pixel can lie in the ring zones of several zones."""
+    owned = zone_owner(pixels.select("row", "col").distinct(), zones, zone, ring, size).select("row", "col")
+    free = pixels.join(owned, ["row", "col"], "left_anti")
+    near = outline_distances(free.select("row", "col").distinct(), zones, zone, ring, outer, size).where(F.col("distance") > inner)
+    return free.drop(*(c for c in (zone, "distance") if c in free.columns)).join(near, ["row", "col"])
+
+
+def zone_background(pixels: DataFrame, zones: DataFrame, zone: str, ring: str, inner: float, outer: float, size: float, value: str, least: int = 1) -> DataFrame:
+    """(zone, n_pixels, background) of every zone: the median of the values in its ring zone, null where fewer than `least`
+    pixels have one. Null and NaN values do not count."""
+    around = ring_zones(pixels.select("row", "col", value), zones, zone, ring, inner, outer, size).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    found = quantiles(around, value, [0.5], [zone]).select(F.col(zone).alias("__z"), "n", F.get("q", F.lit(0)).alias("median"))
+    out = zones.select(zone).distinct().join(found, F.col(zone) == F.col("__z"), "left")
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return out.select(zone, n.alias("n_pixels"), F.when(n >= least, F.col("median")).alias("background"))
 
 
 def meets_any(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: str, size: float) -> DataFrame:
@@ -206,7 +300,9 @@ def zone_owner(pixels: DataFrame, zones: DataFrame, zone: str, ring: str, size:
     """Pixels (row, col) whose centre (col + 0.5, row + 0.5) lies in a polygon zone, with the zone's key: of several the
     smallest. only: pixels that several zones cover belong to none."""
     at = pixels.withColumns({"cx": cell(F.col("col") + 0.5, size), "cy": cell(F.col("row") + 0.5, size)})
-    inside = at.join(_boxes(zones, zone, ring, "z", size).select("cx", "cy", "zk", "zring"), ["cx", "cy"]).where(geometry.contains(F.col("zring"), F.col("col") + 0.5, F.col("row") + 0.5))
+    span = lambda k: F.sequence(cell(f"z{k}0", size), cell(f"z{k}1", size))
+    placed = _boxes(zones, zone, ring, "z", size).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    inside = at.join(placed.select("cx", "cy", "zk", "zring"), ["cx", "cy"]).where(geometry.contains(F.col("zring"), F.col("col") + 0.5, F.col("row") + 0.5))
     owner = inside.groupBy("row", "col").agg(F.min("zk").alias(zone), F.count_distinct("zk").alias("__n"))
     return pixels.join(owner.where("__n = 1" if only else "true").drop("__n"), ["row", "col"])
 
