@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import _C, _P, _S, _boxes, _pixels, _points, _query, _r, _t
 from fieldloom.functions import geometry, scalar
 from fieldloom.operators import aggregates, grid, ml, polygons, relational, sequence, spatial
-from fieldloom.sources import files
+from fieldloom.sources import files, rasters
+from fieldloom.sources.store import cut, shared_dir
 
 # Columns and small joins
 
@@ -124,10 +127,12 @@ def job_timeline(s, d):
     return aggregates.timeline(steps, ["start", "end"])
 
 
-@_query("SELECT l AS line, ((l + 1) * (l + 1) - l * l) * 10.0::DOUBLE AS distance FROM range(19) t(l)")
+@_query("""WITH k AS (SELECT s_suppkey AS line, (s_acctbal + 1000) AS y FROM supplier), l AS (SELECT line, y, lead(y) OVER (ORDER BY y, line) AS u FROM k)
+SELECT line, round(u - y, 6) AS distance FROM l WHERE u IS NOT NULL""")
 def line_spacing(s, d):
-    y = F.col("id") * F.col("id") * 10.0
-    knots = s.range(20).select(F.col("id").alias("line"), F.col("id").alias("at"), F.array(F.lit(0.0), F.lit(1100.0)).alias("xs"), F.array(y, y + 110.0).alias("ys"))
+    """Each supplier is a slanted line; where it lies is its balance."""
+    y = F.col("s_acctbal") + 1000
+    knots = _t(s, d, "supplier").select(F.col("s_suppkey").alias("line"), y.alias("at"), F.array(F.lit(0.0), F.lit(1100.0)).alias("xs"), F.array(y, y + 110.0).alias("ys"))
     return sequence.line_distances(knots, "line", "at", [100.0, 500.0, 900.0], "xs", "ys").select("line", F.round("distance", 6).alias("distance"))
 
 
@@ -145,6 +150,16 @@ def boundless_window(s, d):
     return grid.boundless(_pixels(s, d), -3, 58, 12, 12, "value", -1.0)
 
 
+@_query(f"SELECT row, col, value FROM {_P} WHERE row % 16 BETWEEN 3 AND 12 AND col BETWEEN 20 AND 49")
+def raster_window(s, d):
+    """Written as raster files of 16 rows each; only the tiles of the window are read again."""
+    pixels = _pixels(s, d).select("row", "col", "value")
+    folder = f"{shared_dir(s)}/fieldloom-rasters-{uuid.uuid4().hex}"
+    made = cut(rasters.write_bands(pixels, folder, 16, kind="tiff"), "rasters")
+    found = rasters.read(s, folder, window=(3, 13, 20, 50)).where("value IS NOT NULL").withColumn("band", F.regexp_extract("path", r"rows-(\d+)", 1).cast("long"))
+    return found.join(made.select("band", "rows"), "band").select((F.col("band") * F.col("rows") + F.col("row")).cast("int").alias("row"), "col", "value")
+
+
 @_query(f"SELECT row, col, row::DOUBLE AS x0, (10.0 * (col + 0.5) + 100)::DOUBLE AS x, (500 - 5.0 * (row + 0.5))::DOUBLE AS y FROM {_P}")
 def pixel_places(s, d):
     return grid.pixel_centres(_pixels(s, d).select("row", "col"), (10.0, 0.0, 100.0, 0.0, -5.0, 500.0)).withColumn("x0", F.col("row") + F.lit(0.0))

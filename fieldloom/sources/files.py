@@ -15,13 +15,13 @@ from fieldloom.functions.scalar import finite, unmercator
 
 def discover(spark: SparkSession, folder: str, patterns: Mapping[str, str]) -> dict[str, str]:
     """The one file under the folder whose name matches each pattern (case-insensitive), or ValueError."""
-    paths = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").collect()]
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
     found = {}
     for name, pattern in patterns.items():
-        own = sorted(p for p in paths if re.search(pattern, p.rsplit("/", 1)[-1], re.IGNORECASE))
+        own = names.where(F.regexp_extract("path", "[^/]*$", 0).rlike(f"(?i){pattern}")).orderBy("path").limit(2).collect()
         if len(own) != 1:
-            raise ValueError(f"{len(own)} files for {name} instead of one")
-        found[name] = own[0]
+            raise ValueError(f"{'several files' if own else 'no file'} for {name} instead of one")
+        found[name] = own[0].path
     return found
 
 
@@ -132,24 +132,11 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def grid_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, kind, rows, cols, bands, type) of the PNG and npy grids under a folder, from their first bytes.
-
-    Tasks get the files' contents from Spark and read a header of a few dozen bytes; other files have null figures."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    head = F.substring(F.col("content"), 1, 512)
-    return files.select("path", F.col("length").alias("bytes"), _header(head).alias("h")).select("path", "bytes", "h.*")
-
-
-def _header(head: Column) -> Column:
-    number = lambda at, n: F.conv(F.hex(F.substring(head, at, n)), 16, 10).cast("long")
-    png = F.hex(F.substring(head, 1, 8)) == "89504E470D0A1A0A"
-    bands = F.element_at(F.create_map(*(F.lit(x) for pair in ((0, 1), (2, 3), (3, 1), (4, 2), (6, 4)) for x in pair)), number(26, 1).cast("int"))
-    text = F.decode(F.substring(head, 11, 502), "ISO-8859-1")
-    npy = F.hex(F.substring(head, 1, 6)) == "934E554D5059"
-    sizes = F.transform(F.regexp_extract_all(F.regexp_extract(text, r"'shape': \(([^)]*)\)", 1), F.lit(r"(\d+)")), lambda x: x.cast("long"))
-    kind = lambda name, rows, cols, n, of: F.struct(F.lit(name).alias("kind"), rows.alias("rows"), cols.alias("cols"), n.cast("int").alias("bands"), of.alias("type"))
-    none = F.lit(None)
-    return F.when(png, kind("png", number(21, 4), number(17, 4), bands, F.concat(F.lit("uint"), number(25, 1)))).when(npy, kind("npy", F.get(sizes, F.lit(0)), F.get(sizes, F.lit(1)), F.coalesce(F.get(sizes, F.lit(2)), F.lit(1)), F.regexp_extract(text, "'descr': '([^']*)'", 1))).otherwise(kind(None, none.cast("long"), none.cast("long"), none, none.cast("string")))
+    """(path, bytes, kind, rows, cols, bands, type, ...) of the PNG, npy and TIFF grids under a folder, from their first
+    bytes, whatever their size; other files have null figures."""
+    from fieldloom.sources import rasters
+
+    return rasters.headers(spark, folder)
 
 
 def document(df: DataFrame) -> DataFrame:
