@@ -1,7 +1 @@
 """Operators for training-data pipelines; nothing else in the library imports this subpackage."""
-
-import fieldloom
-from pyspark import cloudpickle
-
-# Executors get the code with each task, so they need no copy of the package.
-cloudpickle.register_pickle_by_value(fieldloom)

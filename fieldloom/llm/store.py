@@ -8,9 +8,9 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql.types import StructField, StructType
 
-from fieldloom.sources.store import cut, drop, shared_dir
+from fieldloom.sources.store import cut, drop, qualified, shared_dir
 
-__all__ = ["cut", "drop", "release", "shared_dir", "widened"]
+__all__ = ["cut", "drop", "qualified", "release", "shared_dir", "widened"]
 
 
 def release(spark: SparkSession) -> None:

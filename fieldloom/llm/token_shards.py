@@ -11,7 +11,7 @@ A record holds its number of ids and `length` ids, all little-endian unsigned in
 record of a document is filled up with `fill`. Shards are written through pyarrow's file systems (local and shared
 paths, hdfs://, s3://, gs://), each beside its place and moved when complete. A shard that is there with the same bytes
 is kept, so a second run with the same input, key and folder goes on where the first one ended, and one with another
-input or key leaves no stale record. manifest.json, written last, has what a reader needs, and a fingerprint of the
+input or key leaves no stale record and no shard beyond its own. manifest.json, written last, has what a reader needs, and a fingerprint of the
 input and key. write_shards() writes; its result is a stored table that later actions only read.
 
 Defined cases: null and empty texts have no sequence; very long texts have as many as they need; repeated rows, and
@@ -22,26 +22,30 @@ can hold, and longer records than it can count, are refused; extra columns are i
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bytewords as bw
 from fieldloom.llm import ranges
 from fieldloom.llm.sentencepiece_codec import Codec
-from fieldloom.llm.store import cut, drop, release, shared_dir
+from fieldloom.llm.store import cut, drop, qualified, release, shared_dir
 
 ROUNDS = 4
 CHUNKS = "block int, first long, doc_ids array<long>, n_tokens binary, ids binary"
 #: Bytes of text that a range is sized for, as long as there are no more than RANGES: a number for each of them is held
 #: by the driver and sent to the tasks. Ranges are read as a stream, so their size takes no memory.
 RANGE_BYTES, RANGES = 24 << 20, 100_000
+#: Partitions that shards are assembled in at most; beyond it a partition writes several, one after the other.
+PARTS = 20_000
 PACKS = "shard int, slots binary, doc_ids array<long>, seqs binary, n_tokens binary, records binary"
 PLACES = "doc_id long, seq int, slot long, shard int, byte_offset long, n_tokens int, record_crc32 long"
 
@@ -126,10 +130,15 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def _file_system(folder: str):
-    """pyarrow's file system and the path in it; ValueError for a scheme that it doesn't know."""
-    from pyarrow import fs
+SHARD = re.compile(r"shard-\d{6,}\.bin")
+
 
+def _file_system(folder: str):
+    """pyarrow's file system and the path in it; ValueError for a scheme that it doesn't know. A path without a scheme
+    lies where Spark looks for it."""
+    spark = SparkSession.getActiveSession()
+    if "://" not in folder and not folder.startswith("file:") and spark is not None:
+        folder = qualified(spark, folder)
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
     try:
         return fs.FileSystem.from_uri(uri)
@@ -207,7 +216,7 @@ def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: in
     spark = docs.sparkSession
     if length >= 1 << (8 * width):
         raise ValueError(f"{length} ids can't be counted in {width} bytes")
-    folder = (folder or f"{shared_dir(spark)}/fieldloom-shards-{uuid.uuid4().hex}").rstrip("/")
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/fieldloom-shards-{uuid.uuid4().hex}").rstrip("/")
     where, base = _file_system(folder)
     where.create_dir(base, recursive=True)
     if where.get_file_info(f"{base}/manifest.json").is_file:  # no reader takes a folder that is being written for whole
@@ -231,15 +240,20 @@ def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: in
     per_shard = max(1, shard_bytes // stride)
     shards = -(-total // per_shard)
     packs = encoded.mapInArrow(lambda it: _slots(it, before, total, key, length, width, fill, per_shard), PACKS)
-    dealt = packs.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard")
+    parts = max(1, min(shards, PARTS))
+    dealt = packs.repartitionById(parts, (F.col("shard") % parts).cast("int")).sortWithinPartitions("shard")
     whole = cut(dealt.mapInArrow(lambda it: _assembled(it, per_shard, total, length, width), PACKS), "shards", "uncompressed")
     drop(encoded)
     release(spark)
     places = cut(whole.mapInArrow(lambda it: _written(it, folder, per_shard, length, width), PLACES), "places")
     drop(whole)
-    found = sum(x.size == stride * min(per_shard, total - k * per_shard) for k, x in enumerate(where.get_file_info([f"{base}/{shard_name(k)}" for k in range(shards)])))
+    # One listing shows what is there, and what an earlier, larger run has left.
+    there = {x.base_name: x.size for x in where.get_file_info(fs.FileSelector(base)) if SHARD.fullmatch(x.base_name)}
+    found = sum(there.pop(shard_name(k), None) == stride * min(per_shard, total - k * per_shard) for k in range(shards))
     if found < shards:
         raise OSError(f"{shards - found} of {shards} shards are not to be seen in {folder}: it must be shared by the driver and all executors")
+    for name in there:
+        where.delete_file(f"{base}/{name}")
     about = {"sequences": total, "shards": shards, "per_shard": per_shard, "length": length, "width": width, "fill": fill, "stride": stride, "key": key, "documents": one["n"], "fingerprint": f"{one['mark'] or 0}", "model_crc32": zlib.crc32(blob)}
     with where.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps(about, indent=1).encode())

@@ -142,6 +142,14 @@ def test_shards_hold_every_sequence_and_resume(spark, odd, tmp_path):
     again = stamp()
     assert again.keys() == before.keys() and sum(again[f] != before[f] for f in before) == 1
     assert (token_shards.read_slots(folder, 0, len(rows))[0] == read).all()
+    # Fewer sequences: the shards of the larger run go, and a partition may write several.
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_shards, "PARTS", 2)
+        few = token_shards.write_shards(odd.where("doc_id IS NOT NULL").limit(3), MODEL, folder=f"file:{folder}", length=16, shard_bytes=100)
+    names = sorted(x for x in os.listdir(folder) if x.endswith(".bin"))
+    assert names == [token_shards.shard_name(k) for k in range(token_shards.manifest(folder)["shards"])]
+    assert len(token_shards.read_slots(folder, 0, 10**6)[0]) == few.count()
+    token_shards.write_shards(odd, MODEL, folder=folder, length=16, shard_bytes=680)
     # Another key: every record is new, none is stale; counting the result writes nothing.
     other = token_shards.write_shards(odd, MODEL, folder=folder, key=2, length=16, shard_bytes=680)
     read, held = token_shards.read_slots(folder, 0, len(rows))
