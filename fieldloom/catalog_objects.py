@@ -303,3 +303,11 @@ SELECT c, (CASE WHEN i % 10 < 5 THEN i % 10 ELSE 9 - i % 10 END)::INT AS fold FR
 def spatial_folds(s, d):
     return ml.folds(_points(s, d, "customer", "c_custkey", "c"), scalar.block_id("x", "y", 100.0), 5).select("c", "fold")
 
+
+
+@_query(f"""WITH RECURSIVE g AS (SELECT floor(x / 100) AS bx, floor(y / 100) AS b_y, count(*) AS n FROM {_C} GROUP BY bx, b_y), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, bx, b_y) AS i FROM g),
+d AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS held, -1 AS fold UNION ALL
+SELECT d.i + 1, list_transform(held, lambda v, k: CASE WHEN k = list_position(held, list_min(held)) THEN v + n ELSE v END), list_position(held, list_min(held)) - 1 FROM d JOIN o ON o.i = d.i + 1)
+SELECT c, fold::INT AS fold FROM (SELECT c, floor(x / 100) AS bx, floor(y / 100) AS b_y FROM {_C}) JOIN o USING (bx, b_y) JOIN d USING (i)""")
+def greedy_folds(s, d):
+    return ml.greedy_folds(_points(s, d, "customer", "c_custkey", "c"), scalar.block_id("x", "y", 100.0), 5).select("c", "fold")

@@ -29,12 +29,36 @@ def top_supported(profile: DataFrame, least: int, order: Sequence[Column], k: in
     return profile.where(F.col("n") >= least).orderBy(*order).limit(k)
 
 
+#: Values of a group up to which a task may hold them all.
+FEW_VALUES = 200_000
+
+
 def quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Exact linearly interpolated quantiles of each group as an array `q`, and `n`. Nulls do not count.
+    """Exact linearly interpolated quantiles of each group as an array `q`, and `n`. Nulls do not count. A group without
+    values has no row.
 
-    Rows are counted by value, and prefix sums over the sorted values give every value its ranks, so that no task holds
-    the values of a whole group. A group without values has no row.
+    Where every group has FEW_VALUES values at most, which is counted first, one aggregate does it. Else the larger ones
+    are ranked by prefix sums, so that no task holds the values of a whole group.
     """
+    keys = list(keys)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
+    large = sizes.where(F.col("__n") > FEW_VALUES)
+    if large.isEmpty():
+        return _small_quantiles(df, value, at, keys)
+    if not keys:
+        return _ranked_quantiles(df, value, at, keys)
+    mine = large.select(*(F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)))
+    on = [F.col(k).eqNullSafe(F.col(f"__l{i}")) for i, k in enumerate(keys)]
+    return _small_quantiles(df.join(mine, on, "left_anti"), value, at, keys).unionByName(_ranked_quantiles(df.join(mine, on, "left_semi"), value, at, keys))
+
+
+def _small_quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    v = F.col(value).cast("double")
+    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.percentile(v, F.array(*(F.lit(float(p)) for p in at))).alias("q")).where("n > 0").select(*keys, "n", "q")
+
+
+def _ranked_quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Rows are counted by value, and prefix sums over the sorted values give every value its ranks."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
     ranked = prefix_sums(counts, [*(F.col(k).asc_nulls_first() for k in keys), F.col("__v").asc()], ["__n"])
     groups = ranked.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("__n").alias("n"), F.min("__n_before").alias("__first"))

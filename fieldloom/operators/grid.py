@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalar import affine
-from fieldloom.sources.store import cut
+from fieldloom.sources.store import cut, drop
 
 
 def window(df: DataFrame, row0: int, col0: int, rows: int, cols: int, tile: int | None = None) -> DataFrame:
@@ -106,14 +106,15 @@ def smooth(df: DataFrame, value: str, sigma: float, truncate: float = 3.0, out:
     return df.join(two, ["row", "col"], "left")
 
 
-def components(df: DataFrame, out: str = "component", corners: bool = True) -> DataFrame:
-    """Connected components of pixel rows (row, col): runs of each row, linked to those of the row before. corners:
-    whether pixels that meet at a corner only are connected.
-
-    The number of a component is the smallest of its runs' numbers (row * 2**31 + first column).
-    """
+def _runs(df: DataFrame) -> DataFrame:
+    """Stored runs of pixels along the rows: row, a, b (first and last column), id (row * 2**31 + first column)."""
     place = F.row_number().over(Window.partitionBy("row").orderBy("col"))
-    runs = cut(df.select("row", "col").distinct().withColumn("__g", F.col("col") - place).groupBy("row", "__g").agg(F.min("col").alias("a"), F.max("col").alias("b")).select("row", "a", "b", (F.col("row").cast("long") * (1 << 31) + F.col("a")).alias("id")), "runs")
+    runs = df.select("row", "col").distinct().withColumn("__g", F.col("col") - place).groupBy("row", "__g").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    return cut(runs.select("row", "a", "b", (F.col("row").cast("long") * (1 << 31) + F.col("a")).alias("id")), "runs")
+
+
+def _run_labels(runs: DataFrame, corners: bool) -> DataFrame:
+    """(id, label) of stored runs: the smallest id of those that are connected."""
     above = runs.select((F.col("row") + 1).alias("row"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("id").alias("up"))
     links = runs.join(above, "row").where((F.col("pa") <= F.col("b") + int(corners)) & (F.col("pb") >= F.col("a") - int(corners))).select(F.col("id").alias("u"), F.col("up").alias("v"))
     edges = cut(links.union(links.select("v", "u")), "links")
@@ -121,24 +122,44 @@ def components(df: DataFrame, out: str = "component", corners: bool = True) -> D
     while True:
         near = edges.join(label.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         lower = cut(label.join(near, "u", "left").select("u", F.least("label", F.coalesce("near", "label")).alias("label")), "labels")
+        drop(label)
         # Jump to the label of the label: long components take few rounds.
         label = cut(lower.join(lower.select(F.col("u").alias("label"), F.col("label").alias("top")), "label").select("u", F.col("top").alias("label")), "labels")
+        drop(lower)
         mark = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if mark == before:
-            break
+            drop(edges)
+            return label.withColumnRenamed("u", "id")
         before = mark
-    named = runs.join(label.withColumnRenamed("u", "id"), "id")
+
+
+def components(df: DataFrame, out: str = "component", corners: bool = True) -> DataFrame:
+    """Connected components of pixel rows (row, col): runs of each row, linked to those of the row before. corners:
+    whether pixels that meet at a corner only are connected.
+
+    The number of a component is the smallest of its runs' numbers (row * 2**31 + first column).
+    """
+    runs = _runs(df)
+    named = runs.join(_run_labels(runs, corners), "id")
     return named.select("row", F.explode(F.sequence("a", "b")).alias("col"), F.col("label").alias(out))
 
 
 def fill_holes(df: DataFrame) -> DataFrame:
-    """The pixels (row, col) and those that they enclose: free pixels that no path along edges joins to the outside."""
-    box = df.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).where("r0 IS NOT NULL")
-    cells = box.select("*", F.explode(F.sequence("r0", "r1")).alias("row")).repartition("row").select("*", F.explode(F.sequence("c0", "c1")).alias("col"))
-    free = cells.join(df.select("row", "col").distinct(), ["row", "col"], "left_anti").withColumn("edge", (F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1")))
-    named = cut(components(free, "component", corners=False).join(free.select("row", "col", "edge"), ["row", "col"]), "free")
-    outside = named.where("edge").select("component").distinct()
-    return df.select("row", "col").distinct().unionByName(named.join(outside, "component", "left_anti").select("row", "col"))
+    """The pixels (row, col) and those that they enclose: free pixels that no path along edges joins to the outside.
+
+    Only the gaps between two runs of a row can be enclosed, so work follows the runs and not the extent: gaps are linked
+    to those of the next row, and one that lies beyond the ends of a neighbouring row, or beside an empty row, is open, with
+    all that it is linked to."""
+    runs = _runs(df)
+    before = F.lag("b").over(Window.partitionBy("row").orderBy("a"))
+    gaps = cut(runs.withColumn("__p", before).where("__p IS NOT NULL").select("row", (F.col("__p") + 1).alias("a"), (F.col("a") - 1).alias("b"), (F.col("row").cast("long") * (1 << 31) + F.col("__p") + 1).alias("id")), "gaps")
+    ends = runs.groupBy("row").agg(F.min("a").alias("low"), F.max("b").alias("high"))
+    beside = gaps.select("id", "a", "b", F.explode(F.array(F.col("row") - 1, F.col("row") + 1)).alias("row")).join(ends, "row", "left")
+    open_ = beside.where(F.col("low").isNull() | (F.col("a") < F.col("low")) | (F.col("b") > F.col("high"))).select("id").distinct()
+    labels = _run_labels(gaps, False)
+    outside = labels.join(open_, "id").select("label").distinct()
+    holes = gaps.join(labels.join(outside, "label", "left_anti"), "id").select("row", F.explode(F.sequence("a", "b")).alias("col"))
+    return df.select("row", "col").distinct().unionByName(holes)
 
 
 def boundless(df: DataFrame, row0: int, col0: int, rows: int, cols: int, value: str, fill: float | None = None) -> DataFrame:

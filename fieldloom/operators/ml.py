@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fieldloom.operators.relational import numbered
 from fieldloom.sources.store import cut
 
 
@@ -26,15 +27,53 @@ def vectors(df: DataFrame, columns: Sequence[str], out: str = "features") -> Dat
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 
 
-def folds(df: DataFrame, group: Column, k: int, max_groups: int = 1_000_000) -> DataFrame:
+def folds(df: DataFrame, group: Column, k: int) -> DataFrame:
     """Rows with a fold such that a group is in one fold: groups by falling size, dealt back and forth over the folds."""
     sizes = df.groupBy(group.alias("__g")).agg(F.count("*").alias("__n"))
-    if sizes.limit(max_groups + 1).count() > max_groups:
-        raise ValueError(f"more than {max_groups} groups; use a coarser group")
-    i = F.row_number().over(Window.orderBy(F.desc("__n"), "__g")) - 1
-    turn = F.pmod(i, F.lit(2 * k))
-    dealt = sizes.withColumn("fold", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")).select("__g", "fold")
-    return df.withColumn("__g", group).join(dealt, "__g").drop("__g")
+    turn = F.pmod(F.col("__i"), F.lit(2 * k))
+    dealt = numbered(sizes, [F.desc("__n"), F.asc("__g")], "__i", 0).withColumn("fold", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")).select("__g", "fold")
+    return df.withColumn("__own", group).join(dealt, F.col("__own").eqNullSafe(F.col("__g"))).drop("__own", "__g")
+
+
+def _turns(rows: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """How the greedy rule deals `count` groups of one size to folds that have so many rows (which it adds to): from the
+    first number on, the folds of the list by turns. At most one entry for each fold: each begins when a fold that was too
+    full so far joins in."""
+    order = sorted(range(len(rows)), key=lambda f: (rows[f], f))
+    out, at = [], 0
+    for m in range(1, len(order) + 1):
+        active = sorted(order[:m], key=lambda f: (rows[f], f))
+        if m < len(order):
+            joins = order[m]
+            # Groups that each fold gets before it comes after the one that joins.
+            steps = sum(max(0, (rows[joins] - rows[f]) // size + int((rows[joins] - rows[f]) % size > 0 or f < joins)) for f in active)
+        else:
+            steps = count - at
+        steps = min(steps, count - at)
+        if steps:
+            out.append((at, active))
+            for k, f in enumerate(active):
+                rows[f] += size * (steps // m + (k < steps % m))
+            at += steps
+    return out
+
+
+def greedy_folds(df: DataFrame, group: Column, k: int) -> DataFrame:
+    """The same by the greedy rule: groups by falling size, each to the fold with the fewest rows so far (ties: the
+    smallest number). Groups of one size are alike to the rule: the driver sees the histogram of the sizes, no longer than
+    the root of twice the rows, and answers with k entries for each size at most."""
+    sizes = df.groupBy(group.alias("__g")).agg(F.count("*").alias("__n"))
+    rows, plan = [0] * k, []
+    for size, count in sizes.groupBy("__n").count().orderBy(F.desc("__n")).collect():
+        turns = _turns(rows, size, count)
+        plan.append((size, [t for t, _ in turns], [o for _, o in turns]))
+    by_size = df.sparkSession.createDataFrame(plan, "__n long, __starts array<long>, __orders array<array<int>>")
+    ranked = numbered(sizes, [F.desc("__n"), F.asc("__g")], "__i", 0)
+    start = ranked.groupBy("__n").agg(F.min("__i").alias("__first"))
+    own = ranked.join(start, "__n").join(by_size, "__n").withColumn("__at", F.col("__i") - F.col("__first"))
+    entry = own.withColumn("__e", F.size(F.filter("__starts", lambda s: s <= F.col("__at"))) - 1).select("__g", "__at", F.get("__starts", F.col("__e")).alias("__s"), F.get("__orders", F.col("__e")).alias("__o"))
+    dealt = entry.select("__g", F.get("__o", F.pmod(F.col("__at") - F.col("__s"), F.size("__o")).cast("int")).alias("fold"))
+    return df.withColumn("__own", group).join(dealt, F.col("__own").eqNullSafe(F.col("__g"))).drop("__own", "__g")
 
 
 def _balanced(df: DataFrame, label: str) -> DataFrame:

@@ -223,6 +223,63 @@ def test_folds_keep_groups_together(spark):
     assert len(got) == 70 and all(len({r.fold for r in got if r.g == g}) == 1 for g in range(7)) and {r.fold for r in got} == {0, 1, 2}
 
 
+def test_greedy_folds_equal_the_greedy_rule(spark):
+    r = random.Random(1)
+    for _ in range(300):
+        k, sizes = r.randint(1, 6), sorted((r.choice([1, 1, 1, 2, 3, 5, 8, 40]) for _ in range(r.randint(1, 60))), reverse=True)
+        if r.random() < 0.3:
+            sizes.insert(0, 500)
+        rows, want = [0] * k, []
+        for n in sizes:
+            f = min(range(k), key=lambda f: (rows[f], f))
+            rows[f] += n
+            want.append(f)
+        held, got = [0] * k, []
+        for n in sorted(set(sizes), reverse=True):
+            turns = ml._turns(held, n, sizes.count(n))
+            for i in range(sizes.count(n)):
+                at, order = [t for t in turns if t[0] <= i][-1]
+                got.append(order[(i - at) % len(order)])
+            assert len(turns) <= k
+        assert got == want and held == rows
+    # A group with a third of all rows; a null group is a group.
+    df = spark.createDataFrame([(i, 7 if i < 400 else None if i < 410 else 1000 + i) for i in range(1200)], "k long, g long")
+    got = ml.greedy_folds(df, F.col("g"), 3).groupBy("fold").count().collect()
+    assert sorted(x["count"] for x in got) == [400, 400, 400]
+    assert ml.greedy_folds(df.limit(0), F.col("g"), 3).count() == 0
+
+
+def test_sparse_extents_fill_at_once(spark):
+    far = [(0, 0), (0, 10**6), (10**6, 0), (5, 5), (5, 7), (4, 6), (6, 6), (4, 5), (4, 7), (6, 5), (6, 7)]
+    got = {(p.row, p.col) for p in grid.fill_holes(spark.createDataFrame(far, "row int, col int")).collect()}
+    assert got == set(far) | {(5, 6)}
+    r = random.Random(4)
+    for seed in range(3):
+        cells = {(r.randrange(14), r.randrange(14)) for _ in range(120)}
+        free = {(y, x) for y in range(-1, 15) for x in range(-1, 15)} - cells
+        open_ = [(-1, -1)]
+        seen = set(open_)
+        while open_:
+            y, x = open_.pop()
+            for q in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if q in free and q not in seen:
+                    seen.add(q)
+                    open_.append(q)
+        got = {(p.row, p.col) for p in grid.fill_holes(spark.createDataFrame(list(cells), "row int, col int")).collect()}
+        assert got == cells | (free - seen)
+
+
+def test_large_groups_are_ranked(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "FEW_VALUES", 50)
+    df = spark.createDataFrame([(i % 7 if i < 200 else 9, float(i * 37 % 101) if i % 11 else None) for i in range(900)], "k long, v double")
+    got = {x.k: x for x in aggregates.quantiles(df, "v", [0.1, 0.5], ["k"]).collect()}
+    rows = df.where("v IS NOT NULL").collect()
+    for k in {x.k for x in rows}:
+        own = [x.v for x in rows if x.k == k]
+        assert got[k].n == len(own) and got[k].q == pytest.approx(list(np.quantile(own, [0.1, 0.5])))
+    assert aggregates.quantiles(df, "v", [0.5]).first().q == [np.median([x.v for x in rows])]
+
+
 def test_classifier_and_mixture(spark):
     r = np.random.default_rng(3)
     rows = [(i, i % 2, float(r.normal(3 * (i % 2))), float(r.normal()), i % 5) for i in range(200)]
