@@ -298,6 +298,17 @@ def polygon_suppression(s, d):
     return spatial.suppress(rows, "c", "priority", polygons.polygon_overlaps(rows, "c", "ring", 40.0).where("ratio > 0.3")).select("c", "priority")
 
 
+def _weekly(s, d):
+    """Positions on lines, a line for each supplier: where in its width a discount puts them, by weeks."""
+    week = F.floor(F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")) / 7)
+    return _t(s, d, "lineitem").select(week.alias("block"), (F.col("l_suppkey") * 10 + F.round(F.col("l_discount") * 10, 1)).alias("at")).groupBy("block", "at").agg(F.count("*").alias("n"))
+
+
+@_query(None)
+def track_links(s, d):
+    return sequence.link_tracks(_weekly(s, d), "block", "at", 0.15, 4).select("block", "at", "n", "track")
+
+
 @_query(f"""WITH b AS (SELECT c, floor(x / 100) AS bx, floor(y / 100) AS b_y FROM {_C}), g AS (SELECT bx, b_y, row_number() OVER (ORDER BY count(*) DESC, bx, b_y) - 1 AS i FROM b GROUP BY bx, b_y)
 SELECT c, (CASE WHEN i % 10 < 5 THEN i % 10 ELSE 9 - i % 10 END)::INT AS fold FROM b JOIN g USING (bx, b_y)""")
 def spatial_folds(s, d):

@@ -30,7 +30,7 @@ def top_supported(profile: DataFrame, least: int, order: Sequence[Column], k: in
 
 
 #: Values of a group up to which a task may hold them all.
-FEW_VALUES = 200_000
+FEW_VALUES = 1_000_000
 
 
 def quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

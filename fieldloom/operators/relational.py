@@ -128,5 +128,19 @@ def numbered(df: DataFrame, order: Sequence[Column], out: str = "position", star
     return prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"]).withColumn(out, F.col("__one_before") + start).drop("__one", "__one_before")
 
 
+def split_by_gaps(df: DataFrame, column: str, gap: float, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """df with a number for each stretch of values of the column, within the keys, that no step over `gap` cuts. Values are
+    numbered and compared with the one before by prefix sums: no task sees a whole group. The columns hold no null."""
+    values = df.select(*keys, column).distinct()
+    placed = numbered(values, [*(F.col(k).asc() for k in keys), F.col(column).asc()], "__i", 0)
+    before = placed.select((F.col("__i") + 1).alias("__i"), *(F.col(k).alias(f"__b_{k}") for k in keys), F.col(column).alias("__before"))
+    cuts = F.col("__before").isNull() | (F.col(column) - F.col("__before") > gap)
+    for k in keys:
+        cuts = cuts | (F.col(k) != F.col(f"__b_{k}"))
+    flagged = placed.join(before, "__i", "left").select(*keys, column, "__i", cuts.cast("long").alias("__new"))
+    named = prefix_sums(flagged, [F.asc("__i")], ["__new"]).select(*keys, column, (F.col("__new_before") + F.col("__new")).alias(out))
+    return df.join(named, [*keys, column])
+
+
 def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str, width: int, out: str = "id") -> DataFrame:
     return numbered(df, order, "__k").withColumn(out, F.concat(F.lit(prefix), F.lpad(F.col("__k").cast("string"), width, "0"))).drop("__k")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.relational import numbered, split_by_gaps
+from fieldloom.sources.store import cut
+
 
 def _order(line: str | Sequence[str], along: str, tie: str | None = None):
     keys = [line] if isinstance(line, str) else list(line)
@@ -115,31 +118,59 @@ def peaks(df: DataFrame, line: str, at: str, value: str, distance: float, promin
     return df.select(line, at, value).groupBy(line).applyInPandas(find, df.select(line, at, value).schema)
 
 
+def _linked(rows: pd.DataFrame, block: str, at: str, tolerance: float, max_lag: int) -> np.ndarray:
+    """Numbers of tracks, in the order of their beginnings, of rows sorted by block and position."""
+    open_: dict[int, tuple[float, float]] = {}
+    track, made = np.full(len(rows), -1), 0
+    blocks, places = rows[block].to_numpy(), rows[at].to_numpy(dtype=float)
+    begin = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(rows) else []
+    for low, high in zip(begin, [*begin[1:], len(rows)], strict=True):
+        now = blocks[low]
+        open_ = {t: (seen, p) for t, (seen, p) in open_.items() if now - seen <= max_lag}
+        held = sorted((p, t) for t, (_, p) in open_.items())
+        own = np.array([p for p, _ in held])
+        pairs = []
+        for i in range(low, high):
+            near = range(*np.searchsorted(own, [places[i] - tolerance, np.nextafter(places[i] + tolerance, np.inf)])) if len(own) else ()
+            pairs += [(d, held[k][1], i) for k in near if (d := abs(places[i] - own[k])) <= tolerance]
+        used: set[int] = set()
+        for _, t, i in sorted(pairs):
+            if t not in used and track[i] < 0:
+                used.add(t)
+                track[i] = t
+        for i in range(low, high):
+            if track[i] < 0:
+                track[i] = made
+                made += 1
+            open_[int(track[i])] = (now, places[i])
+    return track
+
+
 def link_tracks(df: DataFrame, block: str, at: str, tolerance: float, max_lag: int) -> DataFrame:
     """Numbers tracks of positions over successive blocks: a position goes on the nearest open track within tolerance
-    that was seen at most max_lag blocks ago, closest pairs first. For one bounded table of positions."""
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([block, at], kind="stable").reset_index(drop=True)
-        last: list[tuple[int, float]] = []
-        track = np.full(len(rows), -1)
-        for b, part in rows.groupby(block, sort=True):
-            pairs = sorted((abs(x - p), t, i) for i, x in part[at].items() for t, (seen, p) in enumerate(last) if b - seen <= max_lag and abs(x - p) <= tolerance)
-            used: set[int] = set()
-            for _, t, i in pairs:
-                if t not in used and track[i] < 0:
-                    used.add(t)
-                    track[i] = t
-            for i, x in part[at].items():
-                if track[i] < 0:
-                    track[i] = len(last)
-                    last.append((b, x))
-                else:
-                    last[track[i]] = (b, x)
-        return rows.assign(track=track)
-
-    schema = df.withColumn("track", F.lit(0).cast("long")).schema
-    return df.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda r: link(r.drop(columns="__one")), schema)
+    that was seen at most max_lag blocks ago, closest pairs first. Tracks are numbered by their first block and position;
+    a row without a block or position has none.
+
+    Positions that a step over the tolerance parts from all others never share a track, nor do blocks with more than
+    max_lag between them. The table is cut along such steps, by position, by block and by position again; each piece is
+    linked by itself, and the result equals that of one walk over all blocks. A piece that no such step cuts is one task.
+    """
+    rows = cut(df.withColumn("__id", F.monotonically_increasing_id()), "positions")
+    known = rows.where(F.col(block).isNotNull() & F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double")))
+    parts = split_by_gaps(known, at, tolerance, "__p1")
+    parts = split_by_gaps(parts, block, max_lag, "__p2", ["__p1"])
+    parts = split_by_gaps(parts, at, tolerance, "__p3", ["__p2"])
+
+    def link(piece: pd.DataFrame) -> pd.DataFrame:
+        piece = piece.sort_values(["__when", "__where", "__id"], kind="stable").reset_index(drop=True)
+        return pd.DataFrame({"__id": piece["__id"], "__piece": piece["__p3"], "__local": _linked(piece, "__when", "__where", tolerance, max_lag)})
+
+    slim = parts.select("__id", F.col(block).alias("__when"), F.col(at).cast("double").alias("__where"), "__p3")
+    found = cut(slim.groupBy("__p3").applyInPandas(link, "__id long, __piece long, __local long"), "tracks")
+    begin = slim.join(found, "__id").groupBy("__piece", "__local").agg(F.min(F.struct("__when", "__where", "__id")).alias("__first"))
+    named = numbered(begin.select("__piece", "__local", "__first.*"), [F.asc("__when"), F.asc("__where"), F.asc("__id")], "track", 0)
+    of_row = found.join(named.select("__piece", "__local", "track"), ["__piece", "__local"]).select("__id", "track")
+    return rows.drop(*(c for c in ("track",) if c in rows.columns)).join(of_row, "__id", "left").drop("__id")
 
 
 def chain_select(df: DataFrame, line: str, along: str, score: str, spacing: float, weight: float) -> DataFrame:

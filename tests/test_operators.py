@@ -280,6 +280,45 @@ def test_large_groups_are_ranked(spark, monkeypatch):
     assert aggregates.quantiles(df, "v", [0.5]).first().q == [np.median([x.v for x in rows])]
 
 
+def walked(rows, tolerance, max_lag):
+    """Tracks of (id, block, position), by one walk over all blocks."""
+    last, out = [], {}
+    for b in sorted({b for _, b, _ in rows}):
+        part = sorted((x, i) for i, own, x in rows if own == b)
+        pairs = sorted((abs(x - p), t, x, i) for x, i in part for t, (seen, p) in enumerate(last) if b - seen <= max_lag and abs(x - p) <= tolerance)
+        used = set()
+        for _, t, _, i in pairs:
+            if t not in used and i not in out:
+                used.add(t)
+                out[i] = t
+        for x, i in part:
+            if i not in out:
+                out[i] = len(last)
+                last.append((b, x))
+            else:
+                last[out[i]] = (b, x)
+    return out
+
+
+@pytest.mark.parametrize(("tolerance", "max_lag", "width"), [(1.0, 2, 200), (2.5, 1, 60), (0.0, 3, 30), (3.0, 4, 40)])
+def test_tracks_equal_one_walk(spark, tolerance, max_lag, width):
+    r = random.Random(width)
+    rows = {(r.choice([b for b in range(40) if b % 9 < 5]), round(r.uniform(0, width), 1 if tolerance else 0)) for _ in range(250)}
+    rows = [(i, b, x) for i, (b, x) in enumerate(sorted(rows, key=lambda _: r.random()))]
+    df = spark.createDataFrame([*rows, (900, None, 1.0), (901, 3, None)], "k long, block long, at double").withColumn("track", F.lit("clash")).repartition(4)
+    got = {x.k: x.track for x in sequence.link_tracks(df, "block", "at", tolerance, max_lag).collect()}
+    assert got == {**walked(rows, tolerance, max_lag), 900: None, 901: None}
+
+
+def test_track_query(spark):
+    from fieldloom import catalog_objects
+
+    sf = "/root/testdata/sf0.001"
+    rows = [((p.block, p["at"]), p.block, p["at"]) for p in catalog_objects._weekly(spark, sf).collect()]
+    got = {(x.block, x["at"]): x.track for x in catalog_objects.track_links(spark, sf).collect()}
+    assert got == walked(rows, 0.15, 4) and len(set(got.values())) < len(got) / 2
+
+
 def test_classifier_and_mixture(spark):
     r = np.random.default_rng(3)
     rows = [(i, i % 2, float(r.normal(3 * (i % 2))), float(r.normal()), i % 5) for i in range(200)]
