@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalar import affine
+from fieldloom.operators.aggregates import quantiles
 from fieldloom.sources.store import cut, drop
 
 
@@ -92,7 +93,9 @@ def black_top_hat(df: DataFrame, value: str, reach: int, cap: float | None = Non
     found = closing(df, value, reach).withColumn(out, F.col("closed") - F.col(value)).drop("closed")
     if cap is None:
         return found
-    return found.crossJoin(F.broadcast(found.agg(F.percentile(out, F.lit(cap)).alias("__cap")))).withColumn(out, F.least(out, "__cap")).drop("__cap")
+    found = cut(found, "top-hat")
+    most = quantiles(found, out, [cap]).agg(F.max(F.col("q")[0]).alias("__cap"))
+    return found.crossJoin(F.broadcast(most)).withColumn(out, F.least(out, "__cap")).drop("__cap")
 
 
 def smooth(df: DataFrame, value: str, sigma: float, truncate: float = 3.0, out: str = "smoothed") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.aggregates import quantiles
 from fieldloom.operators.relational import numbered, split_by_gaps
 from fieldloom.sources.store import cut
 
@@ -76,8 +77,8 @@ def representatives(df: DataFrame, keys: Sequence[str], best: str, tie: str, tak
 
 def small_groups(df: DataFrame, key: str, share: float, least_groups: int = 3) -> DataFrame:
     """Groups with their size and whether it is below a share of the median size (never among fewer groups than asked)."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    middle = counts.agg(F.median("n").alias("__median"), F.count("*").alias("__groups"))
+    counts = cut(df.groupBy(key).agg(F.count("*").alias("n")), "group-sizes")
+    middle = quantiles(counts, "n", [0.5]).agg(F.max(F.col("q")[0]).alias("__median"), F.max("n").alias("__groups"))
     return counts.crossJoin(F.broadcast(middle)).select(key, "n", ((F.col("__groups") >= least_groups) & (F.col("n") < share * F.col("__median"))).alias("small"))
 
 

@@ -166,13 +166,21 @@ def uncovered(patches: DataFrame, patch: str, covered: DataFrame) -> DataFrame:
 
 def evaluate(found: DataFrame, reference: DataFrame, found_id: str, reference_id: str, radius: float) -> DataFrame:
     """One row: precision, recall and F1 of a one-to-one match, its distances, and the median offset of found places."""
-    from fieldloom.operators.aggregates import match_quality
+    from fieldloom.operators.aggregates import match_quality, quantiles
 
     pairs = greedy_match(found, reference, found_id, reference_id, radius)
     a = found.select(found_id, F.col("x").alias("__ax"), F.col("y").alias("__ay"))
     b = reference.select(reference_id, F.col("x").alias("__bx"), F.col("y").alias("__by"))
-    both = pairs.join(a, found_id).join(b, reference_id)
-    one = both.agg(F.count("*").alias("n_matched"), F.median("distance").alias("median_distance"), F.percentile("distance", F.lit(0.9)).alias("p90_distance"), F.median(F.col("__ax") - F.col("__bx")).alias("offset_x"), F.median(F.col("__ay") - F.col("__by")).alias("offset_y"))
+    both = pairs.join(a, found_id).join(b, reference_id).withColumns({"offset_x": F.col("__ax") - F.col("__bx"), "offset_y": F.col("__ay") - F.col("__by")})
+    measures = [F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("v")) for c in ("distance", "offset_x", "offset_y")]
+    values = cut(both.select(F.explode(F.array(*measures)).alias("m")).select("m.*"), "match-measures")
+    of = lambda name, value: F.max(F.when(F.col("of") == name, value))
+    one = quantiles(values, "v", [0.5, 0.9], ["of"]).agg(
+        F.coalesce(of("distance", F.col("n")), F.lit(0)).alias("n_matched"),
+        of("distance", F.col("q")[0]).alias("median_distance"),
+        of("distance", F.col("q")[1]).alias("p90_distance"),
+        *(of(c, F.col("q")[0]).alias(c) for c in ("offset_x", "offset_y")),
+    )
     sizes = found.agg(F.count("*").alias("n_found")).crossJoin(F.broadcast(reference.agg(F.count("*").alias("n_reference"))))
     row = one.crossJoin(F.broadcast(sizes))
     return row.withColumns(match_quality(F.col("n_found"), F.col("n_reference"), F.col("n_matched")))
