@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import _C, _P, _S, _boxes, _pixels, _points, _query, _r, _t
 from fieldloom.functions import geometry, scalar
-from fieldloom.operators import aggregates, grid, ml, polygons, relational, sequence, spatial
+from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, relational, sequence, spatial
 from fieldloom.sources import files, rasters
 from fieldloom.sources.store import cut, shared_dir
 
@@ -315,10 +315,40 @@ def spatial_folds(s, d):
     return ml.folds(_points(s, d, "customer", "c_custkey", "c"), scalar.block_id("x", "y", 100.0), 5).select("c", "fold")
 
 
-
 @_query(f"""WITH RECURSIVE g AS (SELECT floor(x / 100) AS bx, floor(y / 100) AS b_y, count(*) AS n FROM {_C} GROUP BY bx, b_y), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, bx, b_y) AS i FROM g),
 d AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS held, -1 AS fold UNION ALL
 SELECT d.i + 1, list_transform(held, lambda v, k: CASE WHEN k = list_position(held, list_min(held)) THEN v + n ELSE v END), list_position(held, list_min(held)) - 1 FROM d JOIN o ON o.i = d.i + 1)
 SELECT c, fold::INT AS fold FROM (SELECT c, floor(x / 100) AS bx, floor(y / 100) AS b_y FROM {_C}) JOIN o USING (bx, b_y) JOIN d USING (i)""")
 def greedy_folds(s, d):
     return ml.greedy_folds(_points(s, d, "customer", "c_custkey", "c"), scalar.block_id("x", "y", 100.0), 5).select("c", "fold")
+
+
+def _sizes(s, d):
+    return _t(s, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("features"))
+
+
+@_query("""WITH m AS (SELECT count(*) AS n, avg(p_size) AS a, avg(p_retailprice) AS b, var_pop(p_size) AS aa, covar_pop(p_size, p_retailprice) AS ab, var_pop(p_retailprice) AS bb FROM part),
+l AS (SELECT *, -n / 2.0 * (2 * ln(2 * pi()) + ln(aa * bb - ab * ab) + 2) AS loglik FROM m)
+SELECT round(a, 4) AS mean_size, round(b, 4) AS mean_price, round(aa, 4) AS var_size, round(ab, 4) AS covariance, round(bb, 2) AS var_price, round(loglik, 1) AS loglik, round(-2 * loglik + 5 * ln(n), 1) AS bic FROM l""")
+def normal_fit(s, d):
+    """One group: the sums of the tasks against the closed form."""
+    model, bic = mixtures.fit(_sizes(s, d), [1], ridge=0.0)
+    (a, b), ((aa, ab), (_, bb)) = model.means[0].tolist(), model.covariances[0].tolist()
+    one = s.createDataFrame([(a, b, aa, ab, bb, float(model.loglik), float(bic[1]))], "mean_size double, mean_price double, var_size double, covariance double, var_price double, loglik double, bic double")
+    return one.select(*_r("mean_size", "mean_price", "var_size", "covariance", digits=4), *_r("var_price", digits=2), *_r("loglik", "bic", digits=1))
+
+
+@_query(None)
+def mixture_models(s, d):
+    """The group of each part in the mixture that the BIC prefers."""
+    rows = _sizes(s, d)
+    model, _ = mixtures.fit(rows, [1, 2, 3], rounds=30, tolerance=1e-4)
+    return mixtures.assign(rows, model).select("p_partkey", "group", *_r("group_p", digits=4))
+
+
+@_query(None)
+def mixture_stability(s, d):
+    rows = _sizes(s, d)
+    model, _ = mixtures.fit(rows, [2], rounds=20, tolerance=1e-4)
+    runs = mixtures.stability(rows, "p_partkey", model, runs=3, rounds=20, tolerance=1e-4)
+    return runs.agg(F.count("*").alias("runs"), F.round(F.avg("adjusted_rand"), 4).alias("mean"), F.round(F.min("adjusted_rand"), 4).alias("least"))
