@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import _C, _P, _S, _boxes, _pixels, _points, _query, _r, _t
 from fieldloom.functions import geometry, scalar
-from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, relational, sequence, spatial
+from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, registration, relational, sequence, spatial
 from fieldloom.sources import files, rasters
 from fieldloom.sources.store import cut, shared_dir
 
@@ -180,6 +180,27 @@ def uncovered_patches(s, d):
     return spatial.uncovered(patches, "patch", p.where("(row * 7 + col) % 29 = 0"))
 
 
+#: Where the profile of an angle is summed: bins across, one pixel wide.
+_ACROSS = "SELECT k, any_value(a) AS a, var_pop(m) AS variance FROM (SELECT k, any_value(a) AS a, avg(value) AS m FROM {angles}, p GROUP BY k, floor(col * cos(radians(a)) + row * sin(radians(a)) + 1e-9)) GROUP BY k"
+_BEST = "SELECT a FROM ({}) ORDER BY variance DESC, a LIMIT 1"
+
+
+@_query(f"""WITH p AS (SELECT * FROM {_P}), t0 AS (SELECT i AS k, i * 3.0::DOUBLE AS a FROM range(60) r(i)), b0 AS ({_BEST.format(_ACROSS.format(angles="t0"))}),
+t1 AS (SELECT i AS k, a + i * 0.3::DOUBLE AS a FROM b0, range(-10, 11) r(i)), b1 AS ({_BEST.format(_ACROSS.format(angles="t1"))}),
+t2 AS (SELECT i AS k, a + i * 0.05::DOUBLE AS a FROM b1, range(-6, 7) r(i)), f AS ({_ACROSS.format(angles="t2")})
+SELECT round(a - 180 * floor(a / 180), 4) AS angle, round(variance, 4) AS variance FROM f ORDER BY f.variance DESC, a LIMIT 1""")
+def row_orientation(s, d):
+    return grid.orientation(_pixels(s, d), "value").select(*_r("angle", "variance", digits=4))
+
+
+@_query(f"SELECT row, col, round(value, 6) AS value FROM {_P}")
+def registered_grid(s, d):
+    """The grid against itself moved by two rows and three columns: it comes back in place."""
+    p = _pixels(s, d).select("row", "col", "value")
+    moved = p.select((F.col("row") + 2).alias("row"), (F.col("col") - 3).alias("col"), "value")
+    return registration.registered(p, moved, "value", 32, 16, 0.4, 0.1).select("row", "col", *_r("value"))
+
+
 # Polygons
 
 

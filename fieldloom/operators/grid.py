@@ -7,7 +7,7 @@ the window and no task needs a whole raster.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -257,12 +257,49 @@ def phase_shifts(tiles: DataFrame, key: str, size: int) -> DataFrame:
     return tiles.select(key, "a", "b").mapInPandas(run, f"{key} {tiles.schema[key].dataType.simpleString()}, dy int, dx int, response double")
 
 
+def angle_profiles(df: DataFrame, value: str, angles: Sequence[float], bin_size: float = 1.0) -> DataFrame:
+    """For each angle (degrees) the variance of the means of the lines across: angle, variance, bins.
+
+    A task adds its pixels up by angle and bin before anything is exchanged, so what travels is a row for each angle and
+    bin of a task, whatever the number of pixels. Null and NaN values are left out.
+    """
+    turns = [(float(a), math.cos(math.radians(a)), math.sin(math.radians(a))) for a in angles]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = [pd.DataFrame({"s": [], "n": []})] * len(turns)
+        for rows in batches:
+            row, col, v = (rows[c].to_numpy(dtype=float) for c in ("row", "col", "v"))
+            for k, (_, cos, sin) in enumerate(turns):
+                # A pixel on the edge of two bins is in the upper one, however its place was rounded.
+                bins, at = np.unique(np.floor((col * cos + row * sin) / bin_size + 1e-9).astype(np.int64), return_inverse=True)
+                one = pd.DataFrame({"s": np.bincount(at, v), "n": np.bincount(at).astype(float)}, index=bins)
+                held[k] = held[k].add(one, fill_value=0.0)
+        for (angle, _, _), part in zip(turns, held, strict=True):
+            yield pd.DataFrame({"angle": angle, "bin": part.index.astype("int64"), "s": part["s"].to_numpy(), "n": part["n"].to_numpy()})
+
+    v = F.col(value).cast("double")
+    parts = df.where(v.isNotNull() & ~F.isnan(v)).select("row", "col", v.alias("v")).mapInPandas(run, "angle double, bin long, s double, n double")
+    means = parts.groupBy("angle", "bin").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return means.groupBy("angle").agg(F.var_pop("m").alias("variance"), F.count("*").alias("bins"))
+
+
 def dominant_angle(df: DataFrame, value: str, angles: Sequence[float], bin_size: float = 1.0) -> DataFrame:
-    """The angle (degrees) whose profile across varies most; refine by calling again with finer angles around it."""
-    turned = df.where(F.col(value).isNotNull()).select("row", "col", value, F.explode(F.array(*(F.lit(float(a)) for a in angles))).alias("angle"))
-    across = F.floor((F.col("col") * F.cos(F.radians("angle")) + F.col("row") * F.sin(F.radians("angle"))) / bin_size)
-    profile = turned.groupBy("angle", across.alias("bin")).agg(F.avg(value).alias("m"))
-    return profile.groupBy("angle").agg(F.var_pop("m").alias("variance")).orderBy(F.desc("variance"), "angle").limit(1)
+    """The angle (degrees) whose profile across varies most; of equal ones the smallest."""
+    return angle_profiles(df, value, angles, bin_size).select("angle", "variance").orderBy(F.desc("variance"), "angle").limit(1)
+
+
+def orientation(df: DataFrame, value: str, steps: Sequence[float] = (3.0, 0.3, 0.05), bin_size: float = 1.0) -> DataFrame:
+    """The dominant angle of half a turn, coarse and then finer: each further step looks one former step to both sides.
+    One row (angle in [0, 180), variance), none for a table without values. The table is read once a step."""
+    steps = [float(x) for x in steps]
+    best = dominant_angle(df, value, [k * steps[0] for k in range(math.ceil(180 / steps[0] - 1e-9))], bin_size).first()
+    for before, step in zip(steps[:-1], steps[1:], strict=True):
+        if best is None:
+            break
+        reach = math.ceil(before / step - 1e-9)
+        best = dominant_angle(df, value, [best.angle + k * step for k in range(-reach, reach + 1)], bin_size).first()
+    rows = [] if best is None else [(best.angle % 180.0, best.variance)]
+    return df.sparkSession.createDataFrame(rows, "angle double, variance double")
 
 
 def pixel_centres(df: DataFrame, transform: Sequence[float]) -> DataFrame:

@@ -209,6 +209,28 @@ def test_phase_shift_and_angle(spark):
     assert grid.dominant_angle(stripes, "value", [0, 30, 60, 90]).first().angle == 0
 
 
+def test_orientation_is_found_to_a_twentieth_of_a_degree(spark):
+    y, x = np.mgrid[0:200, 0:200].astype(float)
+    for turn in (0.0, 33.35, 121.8):
+        t = math.radians(turn)
+        values = np.cos(2 * np.pi * (x * math.cos(t) + y * math.sin(t)) / 9.0)
+        got = grid.orientation(_pixels(spark, values).repartition(5), "value").collect()
+        assert len(got) == 1 and min(abs(got[0].angle - turn), 180 - abs(got[0].angle - turn)) <= 0.1
+    assert grid.orientation(_pixels(spark, y).where("false"), "value").count() == 0
+
+
+def test_angle_profiles_equal_the_plain_sum(spark):
+    r = np.random.default_rng(3)
+    values = r.random((20, 30))
+    df = _pixels(spark, values).unionByName(spark.createDataFrame([(0, 0, None), (1, 1, float("nan"))], "row int, col int, value double")).repartition(7)
+    y, x = np.mgrid[0:20, 0:30].astype(float)
+    for row in grid.angle_profiles(df, "value", [0, 30, 77.5, 90], 2.0).collect():
+        t = math.radians(row.angle)
+        bins = np.floor((x * math.cos(t) + y * math.sin(t)) / 2.0 + 1e-9)
+        means = [values[bins == b].mean() for b in np.unique(bins)]
+        assert row.bins == len(means) and math.isclose(row.variance, np.var(means), rel_tol=1e-9)
+
+
 def test_crops_and_windows(spark):
     df = grid.tiled(_pixels(spark, np.arange(64.0).reshape(8, 8)), 4)
     got = grid.crop(spark.createDataFrame([(1, 4, 4), (2, 0, 0)], "k long, row int, col int"), df, "k", 4, 4)
