@@ -181,7 +181,7 @@ def uncovered_patches(s, d):
 
 
 #: Where the profile of an angle is summed: bins across, one pixel wide.
-_ACROSS = "SELECT k, any_value(a) AS a, var_pop(m) AS variance FROM (SELECT k, any_value(a) AS a, avg(value) AS m FROM {angles}, p GROUP BY k, floor(col * cos(radians(a)) + row * sin(radians(a)) + 1e-9)) GROUP BY k"
+_ACROSS = "SELECT k, any_value(a) AS a, sum(s * s / n) / sum(n) - (sum(s) / sum(n))**2 AS variance FROM (SELECT k, any_value(a) AS a, sum(value) AS s, count(value) AS n FROM {angles}, p GROUP BY k, floor(col * cos(radians(a)) + row * sin(radians(a)) + 1e-9)) GROUP BY k"
 _BEST = "SELECT a FROM ({}) ORDER BY variance DESC, a LIMIT 1"
 
 
@@ -193,12 +193,12 @@ def row_orientation(s, d):
     return grid.orientation(_pixels(s, d), "value").select(*_r("angle", "variance", digits=4))
 
 
-@_query(f"SELECT row, col, round(value, 6) AS value FROM {_P}")
+@_query("SELECT vec_id AS row, (generate_subscripts(embedding, 1) - 1)::INT AS col, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings")
 def registered_grid(s, d):
-    """The grid against itself moved by two rows and three columns: it comes back in place."""
-    p = _pixels(s, d).select("row", "col", "value")
+    """The vectors as a grid, a row for each, against the same moved by two rows and three columns: it comes back in place."""
+    p = _t(s, d, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "value")).withColumn("value", F.col("value").cast("double"))
     moved = p.select((F.col("row") + 2).alias("row"), (F.col("col") - 3).alias("col"), "value")
-    return registration.registered(p, moved, "value", 32, 16, 0.4, 0.1).select("row", "col", *_r("value"))
+    return registration.registered(p, moved, "value", 32, 16).select("row", "col", *_r("value"))
 
 
 # Polygons

@@ -227,8 +227,8 @@ def test_angle_profiles_equal_the_plain_sum(spark):
     for row in grid.angle_profiles(df, "value", [0, 30, 77.5, 90], 2.0).collect():
         t = math.radians(row.angle)
         bins = np.floor((x * math.cos(t) + y * math.sin(t)) / 2.0 + 1e-9)
-        means = [values[bins == b].mean() for b in np.unique(bins)]
-        assert row.bins == len(means) and math.isclose(row.variance, np.var(means), rel_tol=1e-9)
+        means = np.array([values[bins == b].mean() for b in bins.ravel()])
+        assert row.bins == len(np.unique(bins)) and math.isclose(row.variance, np.var(means), rel_tol=1e-9)
 
 
 def test_crops_and_windows(spark):
