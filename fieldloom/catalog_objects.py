@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import _C, _P, _S, _boxes, _pixels, _points, _query, _r, _t
 from fieldloom.functions import geometry, scalar
-from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, registration, relational, sequence, spatial
+from fieldloom.functions.predicates import Holds, Missing, OneOf, Test, Within, loaded
+from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, registration, relational, selection, sequence, spatial
 from fieldloom.sources import files, rasters
 from fieldloom.sources.store import cut, shared_dir
 
@@ -50,6 +51,29 @@ def selection_codec(s, d):
     return _t(s, d, "events").select("event_id", kind.alias("kind"), value.alias("value"))
 
 
+#: Dear or watched events, outside two stretches of values.
+_WATCHED = (Test("event_type", "=", "click") | OneOf("user_id", (1, 2, 3, 5, 8, 13)) | (Test("value", ">", 97.5) & Holds("event_type", "I"))) & ~Within("value", ((10.0, 20.5), (40.0, 45.0))) & ~Missing("ts")
+
+
+@_query("""SELECT event_id, w AS by_column, w AS by_sql, w AS by_document FROM (SELECT event_id, coalesce((event_type = 'click' OR user_id IN (1, 2, 3, 5, 8, 13) OR (value > 97.5 AND event_type ILIKE '%i%'))
+AND NOT coalesce(value >= 10 AND value < 20.5 OR value >= 40 AND value < 45, false) AND ts IS NOT NULL, false) AS w FROM events)""")
+def predicate_renderers(s, d):
+    """One tree, rendered three ways."""
+    return _t(s, d, "events").select("event_id", _WATCHED.column().alias("by_column"), F.expr(_WATCHED.sql("`")).alias("by_sql"), loaded(_WATCHED.json()).column().alias("by_document"))
+
+
+@_query("""WITH o AS (SELECT c_nationkey AS line, count(*) FILTER (c_acctbal < 1000) AS n, count(*) AS total FROM customer GROUP BY 1), g AS (SELECT s_nationkey AS line, count(*) FILTER (s_acctbal < 3000) AS n, count(*) AS total FROM supplier GROUP BY 1)
+SELECT line, n_objects + n_gaps AS n, total_objects + total_gaps AS total, n_objects, total_objects, n_gaps, total_gaps, round((n_objects + n_gaps) / (total_objects + total_gaps), 6) AS share FROM
+(SELECT line, coalesce(o.n, 0) AS n_objects, coalesce(o.total, 0) AS total_objects, coalesce(g.n, 0) AS n_gaps, coalesce(g.total, 0) AS total_gaps FROM o FULL JOIN g USING (line)) WHERE n_objects + n_gaps > 0 ORDER BY n DESC, line LIMIT 6""")
+def selection_over_tables(s, d):
+    """Lines ranked by the objects and the gaps that a selection takes from them."""
+    tables = {
+        "objects": (_t(s, d, "customer").withColumnRenamed("c_nationkey", "line"), selection.Kinds({"line": "line"}, {"attention": Test("c_acctbal", "<", 1000.0)})),
+        "gaps": (_t(s, d, "supplier").withColumnRenamed("s_nationkey", "line"), selection.Kinds({"line": "line"}, {"attention": Test("s_acctbal", "<", 3000.0)})),
+    }
+    return selection.ranked_over(tables, selection.Selection.parse("attention"), "line", 6).withColumn("share", F.round("share", 6))
+
+
 @_query("SELECT vec_id, (vec_id // 256)::INT AS atlas, (vec_id % 256 // 16)::INT AS row, (vec_id % 16)::INT AS col FROM embeddings")
 def atlas_places(s, d):
     return _t(s, d, "embeddings").select("vec_id", *(c.alias(k) for k, c in scalar.atlas_place("vec_id").items()))
