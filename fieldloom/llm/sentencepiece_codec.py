@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -366,7 +367,7 @@ class Codec:
             out[live, : own.shape[1]] = own
         return out, left
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> np.ndarray:
         """Number chunks that are not known yet (each without the blank before it)."""
         if self.held > CACHE_BYTES:
             raise MemoryError("the caller forgets chunks beyond CACHE_BYTES")
@@ -412,12 +413,15 @@ class Codec:
             flat_ends.append((end[many] - np.where(known[many], 0, wide[many] - 1 - nth)).astype(np.int32))
             counts.append(np.bincount(row[many], minlength=len(rows)))
         order = np.concatenate(order)
-        self.known.update(zip([new[i] for i in order.tolist()], range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        number = np.empty(len(new), dtype=np.int64)
+        number[order] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+        self.known.update(zip(new, number.tolist(), strict=True))
         self.flat, self.flat_ends = np.concatenate(flat), np.concatenate(flat_ends)
         self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(np.concatenate(counts))])
         sizes = ends[first[1:] - 1][order]
         self.sizes = np.concatenate([self.sizes, sizes])
         self.held += int(sizes.sum()) + CACHE_EACH * len(new)
+        return number
 
     def _chunks(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each chunk of the texts, and where each text's chunks begin (and the last end)."""
@@ -432,13 +436,13 @@ class Codec:
             count[full] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             keys = lists.flatten()
         coded = keys.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # a tenth of the time of to_pylist()
         if self.held > CACHE_BYTES:
             self._forget()
-        new = [k for k in names if k not in self.known]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
+        number = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._learn([names[i] for i in new.tolist()])
         return number[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, dtype=np.int64), np.concatenate([[0], np.cumsum(count)])
 
     def encode_many(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
