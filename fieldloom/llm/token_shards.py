@@ -133,12 +133,14 @@ def shard_name(shard: int) -> str:
 SHARD = re.compile(r"shard-\d{6,}\.bin")
 
 
+def _placed(spark: SparkSession | None, folder: str) -> str:
+    """A path without a scheme lies where Spark looks for it."""
+    return folder if "://" in folder or folder.startswith("file:") or spark is None else qualified(spark, folder)
+
+
 def _file_system(folder: str):
-    """pyarrow's file system and the path in it; ValueError for a scheme that it doesn't know. A path without a scheme
-    lies where Spark looks for it."""
-    spark = SparkSession.getActiveSession()
-    if "://" not in folder and not folder.startswith("file:") and spark is not None:
-        folder = qualified(spark, folder)
+    """pyarrow's file system and the path in it; ValueError for a scheme that it doesn't know."""
+    folder = _placed(SparkSession.getActiveSession(), folder)
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
     try:
         return fs.FileSystem.from_uri(uri)
@@ -216,7 +218,7 @@ def write_shards(docs: DataFrame, model: str, folder: str | None = None, key: in
     spark = docs.sparkSession
     if length >= 1 << (8 * width):
         raise ValueError(f"{length} ids can't be counted in {width} bytes")
-    folder = qualified(spark, folder or f"{shared_dir(spark)}/fieldloom-shards-{uuid.uuid4().hex}").rstrip("/")
+    folder = _placed(spark, folder or f"{shared_dir(spark)}/fieldloom-shards-{uuid.uuid4().hex}").rstrip("/")
     where, base = _file_system(folder)
     where.create_dir(base, recursive=True)
     if where.get_file_info(f"{base}/manifest.json").is_file:  # no reader takes a folder that is being written for whole
