@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.catalog import _C, _P, _S, _boxes, _pixels, _points, _query, _r, _t
 from fieldloom.functions import geometry, scalar
 from fieldloom.functions.predicates import Holds, Missing, OneOf, Test, Within, loaded
-from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, registration, relational, selection, sequence, spatial
+from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, registration, relational, selection, sequence, spatial, summary
 from fieldloom.sources import files, rasters
 from fieldloom.sources.store import cut, shared_dir
 
@@ -104,9 +104,39 @@ def final_scores(s, d):
     return ml.final_scores(rows, _t(s, d, "labels").select("doc_id", F.lit(0.25).alias("p")), "doc_id")
 
 
+@_query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') || '-' || substr(md5(event_id::VARCHAR), 1, 6) AS job FROM events")
+def job_names(s, d):
+    return _t(s, d, "events").select("event_id", scalar.job_id("ts", "event_id").alias("job"))
+
+
 # Profiles
 
 
+_FIGURES = {
+    "objects": {"n": "count(*)", "lines": "count(DISTINCT l_suppkey)", "quantity": "sum(l_quantity)", "mean_quantity": "avg(l_quantity)", "sd_quantity": "stddev_samp(l_quantity)", "per_hectare": "count(*) / 2.5"},
+    "health": {"poor": "count(*) FILTER (WHERE l_returnflag = 'R')", "poor_share": "count(*) FILTER (WHERE l_returnflag = 'R') / greatest(1, count(*))", "watch": "count(*) FILTER (WHERE l_discount > 0.05)", "watch_share": "avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END)", "mean": "avg(l_discount)", "sd": "stddev_samp(l_discount)"},
+    "size": {"low": "min(l_extendedprice)", "high": "max(l_extendedprice)", "mean": "avg(l_extendedprice)", "sd": "stddev_samp(l_extendedprice)"},
+    "extent": {"first": "min(l_partkey)", "last": "max(l_partkey)", "part_mean": "avg(l_partkey)"},
+}
+_CLASSES = {"flags": ("l_returnflag", ("A", "N", "R")), "status": ("l_linestatus", ("F",))}
+_SHARES = {"p05": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+_RANKS = {"size": ("l_extendedprice", _SHARES), "tax": ("l_tax", {"p50": 0.5, "p90": 0.9})}
+
+
+def _figures_sql() -> str:
+    own = [f"SELECT '{s}' AS section, '{n}' AS name, ({x})::DOUBLE AS value FROM lineitem" for s, named in _FIGURES.items() for n, x in named.items()]
+    own += [f"SELECT '{s}', '{v}', count(*) FILTER (WHERE {c} = '{v}')::DOUBLE FROM lineitem" for s, (c, values) in _CLASSES.items() for v in values]
+    own += [f"SELECT '{s}', 'other', count(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({', '.join(repr(v) for v in values)}))::DOUBLE FROM lineitem" for s, (c, values) in _CLASSES.items()]
+    own += [f"SELECT '{s}', '{n}', quantile_cont({c}, {p}) FROM lineitem" for s, (c, named) in _RANKS.items() for n, p in named.items()]
+    return f"SELECT section, name, round(value, 4) AS value FROM ({' UNION ALL '.join(own)})"
+
+
+@_query(_figures_sql())
+def nested_document(s, d):
+    made = summary.nested(_t(s, d, "lineitem"), {k: {n: F.expr(x) for n, x in named.items()} for k, named in _FIGURES.items()}, _CLASSES, _RANKS)
+    return summary.flattened(made).withColumn("value", F.round("value", 4))
+
+
 _NINE = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 

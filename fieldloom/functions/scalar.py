@@ -178,6 +178,13 @@ def day_of(seconds: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
     return F.date_format(F.timestamp_seconds(col(seconds)), pattern)
 
 
+def job_id(at: Column | str, random: Column | str | None = None) -> Column:
+    """A job's name: its time to the second and six hexadecimal digits, random ones (a new draw each time the plan runs,
+    so the result is to be stored) or those of a text."""
+    digits = F.replace(F.uuid(), F.lit("-"), F.lit("")) if random is None else F.md5(col(random).cast("string"))
+    return F.concat(F.date_format(col(at), "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(digits, 1, 6))
+
+
 def log_fields(line: Column | str) -> dict[str, Column]:
     """Stage number, name and seconds of runner log lines such as '[2/7] align' and 'align done in 12.5 s'."""
     line = col(line)
