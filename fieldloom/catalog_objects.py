@@ -113,8 +113,8 @@ def job_names(s, d):
 
 
 _FIGURES = {
-    "objects": {"n": "count(*)", "lines": "count(DISTINCT l_suppkey)", "quantity": "sum(l_quantity)", "mean_quantity": "avg(l_quantity)", "sd_quantity": "stddev_samp(l_quantity)", "per_hectare": "count(*) / 2.5"},
-    "health": {"poor": "count(*) FILTER (WHERE l_returnflag = 'R')", "poor_share": "count(*) FILTER (WHERE l_returnflag = 'R') / greatest(1, count(*))", "watch": "count(*) FILTER (WHERE l_discount > 0.05)", "watch_share": "avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END)", "mean": "avg(l_discount)", "sd": "stddev_samp(l_discount)"},
+    "objects": {"n": "count(*)", "lines": "count(DISTINCT l_suppkey)", "quantity": "sum(l_quantity)", "mean_quantity": "avg(l_quantity)", "sd_quantity": "stddev_samp(l_quantity)", "per_hectare": "count(*) / 2.5e0"},
+    "health": {"poor": "count(*) FILTER (WHERE l_returnflag = 'R')", "poor_share": "count(*) FILTER (WHERE l_returnflag = 'R') / greatest(1, count(*))", "watch": "count(*) FILTER (WHERE l_discount > 0.05)", "watch_share": "avg(CASE WHEN l_discount > 0.05 THEN 1e0 ELSE 0e0 END)", "mean": "avg(l_discount)", "sd": "stddev_samp(l_discount)"},
     "size": {"low": "min(l_extendedprice)", "high": "max(l_extendedprice)", "mean": "avg(l_extendedprice)", "sd": "stddev_samp(l_extendedprice)"},
     "extent": {"first": "min(l_partkey)", "last": "max(l_partkey)", "part_mean": "avg(l_partkey)"},
 }
