@@ -23,22 +23,18 @@ FIELD = "tile_row long, tile_col long, y double, x double, valid double, dy doub
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 
-def phase_peak(a: np.ndarray, b: np.ndarray, upsample: int = 20) -> tuple[float, float, float]:
-    """Shift (dy, dx) of b against a, to 1 / upsample of a pixel, and the height of the peak (1: nothing but a shift).
-
-    Phases of the Hann-windowed tiles; frequencies without energy in either count little. The peak is found on whole
-    pixels and again on a fine mesh around it, by the transform at just those places.
-    """
+def _phases(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """Phases of b against a, both Hann-windowed; frequencies without energy in either count little. None: no energy."""
     hann = np.outer(*(np.sin(np.pi * (np.arange(n) + 0.5) / n) ** 2 for n in a.shape))
     fa, fb = (np.fft.fft2((v - v.mean()) * hann) for v in (a, b))
     cross = np.conj(fa) * fb
     size = np.abs(cross)
-    if not size.max() > 0:
-        return 0.0, 0.0, 0.0
-    cross /= size + 1e-3 * size.max()
-    fy, fx = (np.fft.fftfreq(n) for n in a.shape)
-    whole = np.fft.ifft2(cross).real
-    at = [int(p) - (n if p > n // 2 else 0) for p, n in zip(np.unravel_index(int(whole.argmax()), whole.shape), a.shape, strict=True)]
+    return cross / (size + 1e-3 * size.max()) if size.max() > 0 else None
+
+
+def _fine(cross: np.ndarray, at: tuple[int, int], upsample: int) -> tuple[float, float, float]:
+    """The peak on a mesh of 1 / upsample around a whole shift, by the transform at just those places, and its height."""
+    fy, fx = (np.fft.fftfreq(n) for n in cross.shape)
     mesh = np.arange(-upsample, upsample + 1) / upsample
     ys, xs = at[0] + mesh, at[1] + mesh
     fine = (np.exp(2j * np.pi * np.outer(ys, fy)) @ cross @ np.exp(2j * np.pi * np.outer(fx, xs))).real
@@ -46,6 +42,26 @@ def phase_peak(a: np.ndarray, b: np.ndarray, upsample: int = 20) -> tuple[float,
     return float(ys[i]), float(xs[j]), float(fine[i, j] / np.abs(cross).sum())
 
 
+def phase_peak(a: np.ndarray, b: np.ndarray, upsample: int = 20) -> tuple[float, float, float]:
+    """Shift (dy, dx) of b against a, to 1 / upsample of a pixel, and the height of the peak (1: nothing but a shift).
+
+    The peak is found on whole pixels first. What each tile shows and the other does not pulls a peak aside, so the mesh
+    around it is laid over the part that both show at that whole shift.
+    """
+    cross = _phases(a, b)
+    if cross is None:
+        return 0.0, 0.0, 0.0
+    whole = np.fft.ifft2(cross).real
+    at = tuple(int(p) - (n if p > n // 2 else 0) for p, n in zip(np.unravel_index(int(whole.argmax()), whole.shape), a.shape, strict=True))
+    found = _fine(cross, at, upsample)
+    mine, other = (tuple(slice(max(0, s * d), n - max(0, -s * d)) for d, n in zip(at, a.shape, strict=True)) for s in (-1, 1))
+    shared = _phases(a[mine], b[other])
+    if shared is None:
+        return found
+    dy, dx, _ = _fine(shared, (0, 0), upsample)
+    return at[0] + dy, at[1] + dx, found[2]
+
+
 def tile_shifts(a: DataFrame, b: DataFrame, value: str, size: int, step: int, least_valid: float = 0.5) -> DataFrame:
     """Shift of b against a in each tile: tile_row, tile_col, its centre (y, x), the share of pixels that both grids have,
     dy, dx and the response. Tiles with a smaller share than least_valid are left out.

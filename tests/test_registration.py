@@ -82,3 +82,12 @@ def test_nulls_repeats_and_nothing_in_common(spark):
         reg.registered(a, a.where("false"), "value", 32, 32)
     with pytest.raises(ValueError, match="no tile"):
         reg.registered(a.where("false"), a, "value", 32, 32)
+
+
+def test_a_whole_shift_is_found_exactly_in_noise():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        grid = rng.normal(size=(40, 40))
+        dy, dx, response = reg.phase_peak(grid[4:36, 4:36], grid[2:34, 7:39])
+        assert (dy, dx) == (2.0, -3.0)
+        assert response > 0.5
