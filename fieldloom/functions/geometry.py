@@ -82,13 +82,13 @@ def geodesic_area(r: Column | str) -> Column:
 
 
 def interpolate(xs: Column | str, ys: Column | str, x: Column | str) -> Column:
-    """Piecewise linear on sorted knots, constant beyond the ends."""
+    """Piecewise linear on sorted knots by the slope between two of them, constant beyond the ends."""
     xs, ys, x = col(xs), col(ys), col(x)
     n = F.size(xs)
     k = F.size(F.filter(xs, lambda v: v <= x))
     at = lambda a, i: F.element_at(a, i)
     x0, x1, y0, y1 = at(xs, k), at(xs, k + 1), at(ys, k), at(ys, k + 1)
-    return F.when(n == 0, None).when(k == 0, F.get(ys, F.lit(0))).when(k == n, at(ys, -1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+    return F.when(n == 0, None).when(k == 0, F.get(ys, F.lit(0))).when(k == n, at(ys, -1)).otherwise(y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
 
 
 def second_moments(sxx: Column, syy: Column, sxy: Column) -> dict[str, Column]:

@@ -215,3 +215,11 @@ def test_scores(spark):
     assert np.var([x.b for x in blocks.collect()], axis=0).sum() == pytest.approx(1)
     sample = relational.seeded_sample(spark.range(100), "id", 10, 3)
     assert {x.id for x in sample.collect()} == {x.id for x in relational.seeded_sample(spark.range(100).repartition(7), "id", 10, 3).collect()}
+
+
+def test_nearest_line_takes_the_slope_as_sql_does(spark):
+    lines = spark.createDataFrame([(i, [0.0, 1100.0], [i * 50.0, i * 50.0 + 110.0]) for i in range(20)], "l long, xs array<double>, ys array<double>")
+    at = [(k, k * 7919 % 10007 / 10.0, k * 104729 % 10009 / 10.0) for k in (320327, 868544, 1630028)]
+    got = spatial.nearest_line(spark.createDataFrame(at, "k long, x double, y double"), lines, "l", "x", "y").collect()
+    want = {k: min((abs(y - (i * 50 + 0.1 * x)), i) for i in range(20))[1] for k, x, y in at}
+    assert {p.k: p.l for p in got} == want
