@@ -44,6 +44,11 @@ def _r(*names: str, digits: int = 6):
     return [F.round(n, digits).alias(n) for n in names]
 
 
+def _near(*names: str):
+    """Rounded to a millionth as DuckDB does it, in floating point: for the rows of large joins, whose values are small."""
+    return [(F.floor(F.col(n) * 1e6 + 0.5) / 1e6).alias(n) for n in names]
+
+
 # Group profiles and distributions
 
 _PROFILE = """SELECT l_suppkey, count(*) AS n, avg(coalesce(l_discount, 0)) AS mean_score, sum(coalesce(l_quantity, 0)) AS sum_area,
@@ -369,7 +374,7 @@ def spatial_blocks(s, d):
 
 @_query(f"SELECT a.c, b.s, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2), 6) AS distance FROM {_C} a JOIN {_S} b ON sqrt((a.x-b.x)**2 + (a.y-b.y)**2) <= 40")
 def radius_join(s, d):
-    return spatial.radius_join(_points(s, d, "customer", "c_custkey", "c"), _points(s, d, "supplier", "s_suppkey", "s"), 40.0).select("a.c", "b.s", *_r("distance"))
+    return spatial.radius_join(_points(s, d, "customer", "c_custkey", "c"), _points(s, d, "supplier", "s_suppkey", "s"), 40.0).select("a.c", "b.s", *_near("distance"))
 
 
 @_query(f"SELECT c, s, round(distance, 6) AS distance FROM (SELECT c, s, distance, row_number() OVER (PARTITION BY c ORDER BY distance, s) AS r FROM (SELECT a.c, b.s, sqrt((a.x-b.x)**2 + (a.y-b.y)**2) AS distance FROM {_C} a, {_S} b)) WHERE r = 1")
@@ -410,13 +415,13 @@ _B = "(SELECT c, x AS x0, y AS y0, x + 12 + c % 7 AS x1, y + 12 + c % 5 AS y1 FR
 
 @_query(f"SELECT a.c AS k, b.c AS o_k, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1-a.x0)*(a.y1-a.y0), (b.x1-b.x0)*(b.y1-b.y0)), 6) AS ratio FROM {_B} a JOIN {_B} b ON a.c < b.c AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)")
 def overlap_join(s, d):
-    return spatial.box_overlaps(_boxes(s, d), "c", 40.0).select("k", "o_k", *_r("ratio"))
+    return spatial.box_overlaps(_boxes(s, d), "c", 40.0).select("k", "o_k", *_near("ratio"))
 
 
 @_query(None)
 def overlap_suppression(s, d):
     b = _boxes(s, d)
-    return spatial.suppress(b, "c", "priority", spatial.box_overlaps(b, "c", 40.0).where("ratio > 0.3")).select("c", "priority")
+    return spatial.suppress_dense(b, "c", "priority", lambda a, other: spatial.box_overlaps(a, "c", 40.0, other).where("ratio > 0.3")).select("c", "priority")
 
 
 @_query(None)

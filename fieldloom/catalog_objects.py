@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from fieldloom.catalog import _C, _P, _S, _boxes, _pixels, _points, _query, _r, _t
+from fieldloom.catalog import _C, _P, _S, _boxes, _near, _pixels, _points, _query, _r, _t
 from fieldloom.functions import geometry, scalar
 from fieldloom.functions.predicates import Holds, Missing, OneOf, Test, Within, loaded
 from fieldloom.operators import aggregates, grid, mixtures, ml, polygons, registration, relational, selection, sequence, spatial, summary
@@ -276,7 +276,7 @@ def _triangles(s, d):
 
 @_query(f"SELECT a.c AS k, b.c AS o_k, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1-a.x0)*(a.y1-a.y0), (b.x1-b.x0)*(b.y1-b.y0)), 6) AS ratio FROM {_BOX} a JOIN {_BOX} b ON a.c < b.c AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)")
 def polygon_overlap_join(s, d):
-    return polygons.polygon_overlaps(_rings(s, d), "c", "ring", 40.0).select("k", "o_k", *_r("ratio"))
+    return polygons.polygon_overlaps(_rings(s, d), "c", "ring", 40.0).select("k", "o_k", *_near("ratio"))
 
 
 @_query(f"SELECT c, count(*) > 0 AND any_value(s) IS NOT NULL AS meets FROM {_BOX} b LEFT JOIN {_TRI} t ON x1 >= x AND x0 <= x + 30 AND y1 >= y AND y0 <= y + 20 AND (greatest(x0, x) - x) / 30 + (greatest(y0, y) - y) / 20 <= 1 GROUP BY c")
@@ -316,7 +316,7 @@ def object_features(s, d):
 (a.x1-a.x0)*(a.y1-a.y0) AS sa, (b.x1-b.x0)*(b.y1-b.y0) AS sb FROM {_BOX} a JOIN {_BOX} b ON a.c % 2 = 0 AND b.c % 2 = 1 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)) t JOIN {_BOX} a ON a.c = t.c JOIN {_BOX} b ON b.c = t.o""")
 def polygon_overlay(s, d):
     rings = _rings(s, d)
-    return polygons.polygon_overlays(rings.where("c % 2 = 0"), rings.where("c % 2 = 1"), "c", "c", "ring", 16.0).select("k", "o_k", *_r("both", "either", "only", "o_only"))
+    return polygons.polygon_overlays(rings.where("c % 2 = 0"), rings.where("c % 2 = 1"), "c", "c", "ring", 16.0).select("k", "o_k", *_near("both", "either", "only", "o_only"))
 
 
 @_query(f"""WITH b AS (SELECT c % 3 AS g, x0, y0, x1, y1 FROM {_BOX}), e AS (SELECT g, x FROM (SELECT g, x0 AS x FROM b UNION SELECT g, x1 FROM b)),
@@ -370,7 +370,7 @@ def local_offsets(s, d):
 @_query(None)
 def polygon_suppression(s, d):
     rows = _rings(s, d)
-    return spatial.suppress(rows, "c", "priority", polygons.polygon_overlaps(rows, "c", "ring", 40.0).where("ratio > 0.3")).select("c", "priority")
+    return spatial.suppress_dense(rows, "c", "priority", lambda a, other: polygons.polygon_overlaps(a, "c", "ring", 40.0, other).where("ratio > 0.3")).select("c", "priority")
 
 
 def _weekly(s, d):

@@ -7,6 +7,7 @@ point that is null, infinite or not a number makes it no polygon: it joins with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry
 from fieldloom.operators import overlay
 from fieldloom.operators.aggregates import quantiles
-from fieldloom.operators.spatial import cell
+from fieldloom.operators.spatial import cell, cell_join, cell_pairs
 from fieldloom.sources.store import cut
 
 RING = "array<struct<x: double, y: double>>"
@@ -136,13 +137,18 @@ def _at_levels(df: DataFrame, prefix: str, levels: list[int], size: float) -> Da
 def _pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """Pairs of boxes that meet, each made once: at the coarser one of their two levels, in the cell of the lower corner
     of their common part. However large a box, it lies in four cells of a level, and of levels there are some sixty."""
-    levels = sorted({r[0] for df, k in ((a, "alevel"), (b, "blevel")) for r in df.select(k).distinct().collect()})
+    left, right = _placed(a, b, size)
     low = {k: F.greatest(f"a{k}0", f"b{k}0") for k in "xy"}
     step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
     own = F.col("level") == F.greatest("alevel", "blevel")
     meets = (F.least("ax1", "bx1") >= low["x"]) & (F.least("ay1", "by1") >= low["y"])
     here = (F.col("cx") == F.floor(low["x"] / step)) & (F.col("cy") == F.floor(low["y"] / step))
-    return _at_levels(a, "a", levels, size).join(_at_levels(b, "b", levels, size), ["level", "cx", "cy"]).where(own & meets & here).select("ak", "bk", "aring", "bring")
+    return cell_join(left, right, ["level", "cx", "cy"]).where(own & meets & here).select("ak", "bk", "aring", "bring")
+
+
+def _placed(a: DataFrame, b: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    levels = sorted({r[0] for df, k in ((a, "alevel"), (b, "blevel")) for r in df.select(k).distinct().collect()})
+    return _at_levels(a, "a", levels, size), _at_levels(b, "b", levels, size)
 
 
 def _overlays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +167,12 @@ def polygon_overlays(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: s
     return found.select("k", "o_k", "both", (F.col("area") + F.col("o_area") - F.col("both")).alias("either"), (F.col("area") - F.col("both")).alias("only"), (F.col("o_area") - F.col("both")).alias("o_only"))
 
 
-def polygon_overlaps(df: DataFrame, key: str, ring: str, size: float) -> DataFrame:
-    """(k, o_k, ratio): pairs of polygons that overlap, k < o_k, and the overlap's share of the smaller one. size: of the
-    smallest cells, about that of a small polygon."""
+def polygon_overlaps(df: DataFrame, key: str, ring: str, size: float, other: DataFrame | None = None) -> DataFrame:
+    """(k, o_k, ratio): pairs of polygons that overlap and the overlap's share of the smaller one. size: of the smallest
+    cells, about that of a small polygon. Of one table each pair once, k < o_k; with another table k is of df, o_k of the
+    other, and equal keys make no pair."""
     kind = df.schema[key].dataType.simpleString()
-    pairs = _pairs(_boxes(df, key, ring, "a", size), _boxes(df, key, ring, "b", size), size).where("ak < bk")
+    pairs = _pairs(_boxes(df, key, ring, "a", size), _boxes(df if other is None else other, key, ring, "b", size), size).where("ak < bk" if other is None else "ak != bk")
     found = pairs.mapInArrow(_overlays, f"k {kind}, o_k {kind}, both double, area double, o_area double").where("both > 0")
     return found.select("k", "o_k", (F.col("both") / F.least("area", "o_area")).alias("ratio"))
 
@@ -283,28 +290,50 @@ def ring_zones(pixels: DataFrame, zones: DataFrame, zone: str, ring: str, inner:
 def zone_background(pixels: DataFrame, zones: DataFrame, zone: str, ring: str, inner: float, outer: float, size: float, value: str, least: int = 1) -> DataFrame:
     """(zone, n_pixels, background) of every zone: the median of the values in its ring zone, null where fewer than `least`
     pixels have one. Null and NaN values do not count."""
-    around = ring_zones(pixels.select("row", "col", value), zones, zone, ring, inner, outer, size).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    found = quantiles(around, value, [0.5], [zone]).select(F.col(zone).alias("__z"), "n", F.get("q", F.lit(0)).alias("median"))
+    # Zones of one outline have one background, which is found once, under the smallest of their keys.
+    outlines = cut(zones.where(real(ring)).groupBy(F.col(ring).alias(ring)).agg(F.min(zone).alias(zone)), "outlines")
+    around = ring_zones(pixels.select("row", "col", value), outlines.select(zone, ring), zone, ring, inner, outer, size).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    found = quantiles(cut(around, "around"), value, [0.5], [zone]).select(zone, "n", F.get("q", F.lit(0)).alias("median"))
+    same = zones.select(F.col(zone).alias("__z"), F.col(ring).alias("__ring")).distinct()
+    found = found.join(outlines, zone).join(same, F.col(ring) == F.col("__ring")).select("__z", "n", "median")
     out = zones.select(zone).distinct().join(found, F.col(zone) == F.col("__z"), "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     return out.select(zone, n.alias("n_pixels"), F.when(n >= least, F.col("median")).alias("background"))
 
 
 def meets_any(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: str, size: float) -> DataFrame:
-    """Rows of a with `meets`: whether any polygon of b has a point in common with it."""
-    hit = polygons_meeting(a, b, a_key, b_key, ring, size).select(F.col(a_key).alias("__hit")).distinct()
-    return a.join(hit, F.col(a_key) == F.col("__hit"), "left").withColumn("meets", F.col("__hit").isNotNull()).drop("__hit")
+    """Rows of a with `meets`: whether any polygon of b has a point in common with it.
+
+    One is enough. So the rows of a meet a small part of b first, about two candidates for each row, and those that are
+    still without one the next part, three times as large as all before it, until all of b was tried."""
+    known = lambda df, key, p: _boxes(df, key, ring, p, size)
+    expected = cell_pairs(*_placed(known(a, a_key, "a"), known(b, b_key, "b"), size), ["level", "cx", "cy"])
+    parts = 1 << max(0, math.ceil(math.log2(max(1.0, expected / (2 * max(1, a.count()))))))
+    of = F.pmod(F.xxhash64(b_key, ring), F.lit(parts))
+    low, high, open_, hits = 0, 1, a.select(a_key, ring), None
+    while True:
+        part = b if parts == 1 else b.where((of >= low) & (of < high))
+        hit = cut(polygons_meeting(open_, part, a_key, b_key, ring, size).select(F.col(a_key).alias("__hit")).distinct(), "meets")
+        hits = hit if hits is None else hits.unionByName(hit)
+        low, high = high, min(4 * high, parts)
+        if low >= parts:
+            break
+        open_ = cut(open_.join(hit, F.col(a_key) == F.col("__hit"), "left_anti"), "alone")
+        if open_.isEmpty():
+            break
+    return a.join(hits, F.col(a_key) == F.col("__hit"), "left").withColumn("meets", F.col("__hit").isNotNull()).drop("__hit")
 
 
 def zone_owner(pixels: DataFrame, zones: DataFrame, zone: str, ring: str, size: float, only: bool = False) -> DataFrame:
     """Pixels (row, col) whose centre (col + 0.5, row + 0.5) lies in a polygon zone, with the zone's key: of several the
-    smallest. only: pixels that several zones cover belong to none."""
+    smallest. only: pixels that several zones cover belong to none. Zones of one outline are looked at once."""
     at = pixels.withColumns({"cx": cell(F.col("col") + 0.5, size), "cy": cell(F.col("row") + 0.5, size)})
     span = lambda k: F.sequence(cell(f"z{k}0", size), cell(f"z{k}1", size))
-    placed = _boxes(zones, zone, ring, "z", size).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    outlines = zones.groupBy(F.col(ring).alias("ring")).agg(F.struct(F.min(zone).alias("low"), F.max(zone).alias("high")).alias("keys"))
+    placed = _boxes(outlines, "keys", "ring", "z", size).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
     inside = at.join(placed.select("cx", "cy", "zk", "zring"), ["cx", "cy"]).where(geometry.contains(F.col("zring"), F.col("col") + 0.5, F.col("row") + 0.5))
-    owner = inside.groupBy("row", "col").agg(F.min("zk").alias(zone), F.count_distinct("zk").alias("__n"))
-    return pixels.join(owner.where("__n = 1" if only else "true").drop("__n"), ["row", "col"])
+    owner = inside.groupBy("row", "col").agg(F.min("zk.low").alias(zone), F.max("zk.high").alias("__high"))
+    return pixels.join(owner.where(F.col(zone) == F.col("__high") if only else F.lit(True)).drop("__high"), ["row", "col"])
 
 
 def component_rings(pixels: DataFrame, key: str = "component", tolerance: float = 0.0) -> DataFrame:

@@ -537,3 +537,17 @@ def test_nearest_over_a_wide_extent(spark):
     got = sorted(tuple(t) for t in spatial.nearest(a, b, "i", "j", 1.0).collect())
     assert got == [(1, 8, 3e5), (2, 7, 1e5)]
     assert spatial.nearest(a, b.limit(0), "i", "j", 1.0).count() == 0
+
+
+def test_dense_cells_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 100)
+    monkeypatch.setattr(spatial, "BLOCK", 7)
+    df = spark.range(60).select("id", (F.col("id") * 0.01).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 0.01 + 1).alias("x1"), F.lit(1.0).alias("y1")).coalesce(1)
+    pairs = spatial.box_overlaps(df, "id", 50.0)
+    assert {(x.k, x.o_k) for x in pairs.collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60)} and pairs.count() == 60 * 59 // 2
+    spread = spatial.box_overlaps(df, "id", 50.0).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert spread > 1
+    points = df.select("id", F.col("x0").alias("x"), F.col("y0").alias("y"))
+    near = spatial.radius_join(points, points, 0.1051)
+    assert near.count() == sum(abs(i - j) <= 10 for i in range(60) for j in range(60))
+    assert near.select(F.spark_partition_id().alias("t")).distinct().count() > 1
