@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import geometry
 from fieldloom.operators import overlay
 from fieldloom.operators.aggregates import quantiles
-from fieldloom.operators.spatial import cell, cell_join, cell_pairs
+from fieldloom.operators.spatial import cell, cell_join, cell_pairs, spread_tasks
 from fieldloom.sources.store import cut
 
 RING = "array<struct<x: double, y: double>>"
@@ -126,6 +126,16 @@ def _boxes(df: DataFrame, key: str, ring: str, prefix: str, size: float) -> Data
     return known.withColumn(f"{prefix}level", F.greatest(F.ceil(F.log2(F.greatest(width / size, F.lit(1.0)))), F.lit(0)).cast("int"))
 
 
+def _stored_boxes(df: DataFrame, key: str, ring: str, prefix: str, size: float) -> DataFrame:
+    """The same, measured once and spread over all tasks however small the file was."""
+    rows = cut(df.select(key, ring).repartition(spread_tasks(df)), "rings")
+    return cut(_boxes(rows, key, ring, prefix, size), "boxes")
+
+
+def _renamed(boxes: DataFrame, prefix: str) -> DataFrame:
+    return boxes.select(*(F.col(c).alias(prefix + c[1:]) for c in boxes.columns))
+
+
 def _at_levels(df: DataFrame, prefix: str, levels: list[int], size: float) -> DataFrame:
     """Each box in the cells of its own level, four at most, and of the coarser ones among the levels."""
     wide = df.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.col(f"{prefix}level"))))
@@ -162,7 +172,7 @@ def polygon_overlays(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: s
     """(k, o_k, both, either, only, o_only): of each pair of polygons of a and b that overlap the areas of intersection,
     union, and both differences. size: of the smallest cells, about that of a small polygon."""
     kinds = [df.schema[k].dataType.simpleString() for df, k in ((a, a_key), (b, b_key))]
-    pairs = _pairs(_boxes(a, a_key, ring, "a", size), _boxes(b, b_key, ring, "b", size), size)
+    pairs = _pairs(_stored_boxes(a, a_key, ring, "a", size), _stored_boxes(b, b_key, ring, "b", size), size)
     found = pairs.mapInArrow(_overlays, f"k {kinds[0]}, o_k {kinds[1]}, both double, area double, o_area double").where("both > 0")
     return found.select("k", "o_k", "both", (F.col("area") + F.col("o_area") - F.col("both")).alias("either"), (F.col("area") - F.col("both")).alias("only"), (F.col("o_area") - F.col("both")).alias("o_only"))
 
@@ -172,7 +182,9 @@ def polygon_overlaps(df: DataFrame, key: str, ring: str, size: float, other: Dat
     cells, about that of a small polygon. Of one table each pair once, k < o_k; with another table k is of df, o_k of the
     other, and equal keys make no pair."""
     kind = df.schema[key].dataType.simpleString()
-    pairs = _pairs(_boxes(df, key, ring, "a", size), _boxes(df if other is None else other, key, ring, "b", size), size).where("ak < bk" if other is None else "ak != bk")
+    mine = _stored_boxes(df, key, ring, "a", size)
+    theirs = _renamed(mine, "b") if other is None else _stored_boxes(other, key, ring, "b", size)
+    pairs = _pairs(mine, theirs, size).where("ak < bk" if other is None else "ak != bk")
     found = pairs.mapInArrow(_overlays, f"k {kind}, o_k {kind}, both double, area double, o_area double").where("both > 0")
     return found.select("k", "o_k", (F.col("both") / F.least("area", "o_area")).alias("ratio"))
 
@@ -185,12 +197,15 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def polygons_meeting(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: str, size: float) -> DataFrame:
     """Pairs of keys of polygons of a and b that have a point in common."""
-    kinds = [df.schema[k].dataType.simpleString() for df, k in ((a, a_key), (b, b_key))]
-    pairs = _pairs(_boxes(a, a_key, ring, "a", size), _boxes(b, b_key, ring, "b", size), size)
-    found = pairs.mapInArrow(_meetings, f"ak {kinds[0]}, bk {kinds[1]}")
+    found = _met(_stored_boxes(a, a_key, ring, "a", size), _stored_boxes(b, b_key, ring, "b", size), size)
     return found.select(F.col("ak").alias(a_key), F.col("bk").alias(b_key))
 
 
+def _met(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    kinds = [df.schema[k].dataType.simpleString() for df, k in ((a, "ak"), (b, "bk"))]
+    return _pairs(a, b, size).mapInArrow(_meetings, f"ak {kinds[0]}, bk {kinds[1]}")
+
+
 #: Rings that a cell is swept with at once; cells with more are cut in four, again and again, DEPTH times at most.
 CELL_RINGS, DEPTH = 512, 12
 
@@ -306,19 +321,18 @@ def meets_any(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: str, siz
 
     One is enough. So the rows of a meet a small part of b first, about two candidates for each row, and those that are
     still without one the next part, three times as large as all before it, until all of b was tried."""
-    known = lambda df, key, p: _boxes(df, key, ring, p, size)
-    expected = cell_pairs(*_placed(known(a, a_key, "a"), known(b, b_key, "b"), size), ["level", "cx", "cy"])
-    parts = 1 << max(0, math.ceil(math.log2(max(1.0, expected / (2 * max(1, a.count()))))))
-    of = F.pmod(F.xxhash64(b_key, ring), F.lit(parts))
-    low, high, open_, hits = 0, 1, a.select(a_key, ring), None
+    open_, others = _stored_boxes(a, a_key, ring, "a", size), _stored_boxes(b, b_key, ring, "b", size)
+    expected = cell_pairs(*_placed(open_, others, size), ["level", "cx", "cy"])
+    parts = 1 << max(0, math.ceil(math.log2(max(1.0, expected / (2 * max(1, open_.count()))))))
+    of = F.pmod(F.xxhash64("bk", "bring"), F.lit(parts))
+    low, high, hits = 0, 1, None
     while True:
-        part = b if parts == 1 else b.where((of >= low) & (of < high))
-        hit = cut(polygons_meeting(open_, part, a_key, b_key, ring, size).select(F.col(a_key).alias("__hit")).distinct(), "meets")
+        hit = cut(_met(open_, others.where((of >= low) & (of < high)), size).select(F.col("ak").alias("__hit")).distinct(), "meets")
         hits = hit if hits is None else hits.unionByName(hit)
         low, high = high, min(4 * high, parts)
         if low >= parts:
             break
-        open_ = cut(open_.join(hit, F.col(a_key) == F.col("__hit"), "left_anti"), "alone")
+        open_ = cut(open_.join(hit, F.col("ak") == F.col("__hit"), "left_anti"), "alone")
         if open_.isEmpty():
             break
     return a.join(hits, F.col(a_key) == F.col("__hit"), "left").withColumn("meets", F.col("__hit").isNotNull()).drop("__hit")

@@ -551,3 +551,41 @@ def test_dense_cells_are_dealt_to_many_tasks(spark, monkeypatch):
     near = spatial.radius_join(points, points, 0.1051)
     assert near.count() == sum(abs(i - j) <= 10 for i in range(60) for j in range(60))
     assert near.select(F.spark_partition_id().alias("t")).distinct().count() > 1
+
+
+def test_dense_tables_need_few_pairs(spark, monkeypatch):
+    """Searches for one row each list a few pairs for each row, not all that lie within the radius."""
+    made, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *args: made.append(join(*args)) or made[-1])
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 0)
+    points = lambda n, step: spark.range(n).select("id", (F.col("id") * step % 1009 / 100.0).alias("x"), (F.col("id") * (step + 400) % 1013 / 100.0).alias("y"))
+    a, b = points(600, 389).withColumnRenamed("id", "i"), points(300, 211).withColumnRenamed("id", "j")
+    dist = {(p.i, q.j): math.hypot(p.x - q.x, p.y - q.y) for p in a.collect() for q in b.collect()}
+    got = {p.i: (p.distance, p.j) for p in spatial.nearest(a, b, "i", "j", 20.0).collect()}
+    assert got == {i: min((dist[i, j], j) for j in range(300)) for i in range(600)}
+    used, left, want = set(), set(), set()
+    for (i, j), d in sorted(dist.items(), key=lambda e: (e[1], e[0])):
+        if d <= 20 and i not in used and j not in left:
+            used.add(i)
+            left.add(j)
+            want.add((i, j))
+    assert {(p.i, p.j) for p in spatial.greedy_match(a, b, "i", "j", 20.0).collect()} == want
+    assert made[0].count() <= spatial.PAIRS_A_ROW * 900
+
+
+def test_suppression_in_parts_equals_sequential(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FIRST_PART", 10)
+    box = [(k, k * 389 % 101 / 10.0, k * 211 % 103 / 10.0, k * 7 % 5) for k in range(150)]
+    df = spark.createDataFrame(box, "k0 long, x0 double, y0 double, p long").withColumns({"x1": F.col("x0") + 2, "y1": F.col("y0") + 2})
+    compared = []
+
+    def conflicts(a, other):
+        compared.append((a.count(), None if other is None else other.count()))
+        return spatial.box_overlaps(a, "k0", 4.0, other).where("ratio > 0.25")
+
+    kept = []
+    for b in sorted(box, key=lambda b: (-b[3], b[0])):
+        if not any((2 - abs(b[1] - c[1])) * (2 - abs(b[2] - c[2])) > 1.0 and abs(b[1] - c[1]) < 2 and abs(b[2] - c[2]) < 2 for c in kept):
+            kept.append(b)
+    assert sorted(x.k0 for x in spatial.suppress_dense(df, "k0", "p", conflicts).collect()) == sorted(b[0] for b in kept)
+    assert max(n for n, other in compared if other is None) < 60
