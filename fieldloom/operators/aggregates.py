@@ -38,7 +38,8 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str
     values has no row.
 
     Where every group has FEW_VALUES values at most, which is counted first, one aggregate does it. Else the larger ones
-    are ranked by prefix sums, so that no task holds the values of a whole group.
+    are ranked by prefix sums, so that no task holds the values of a whole group. The keys of the larger groups, one for
+    FEW_VALUES rows at most, go to all tasks: a join by them would bring a whole group to one.
     """
     keys = list(keys)
     sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"))
@@ -47,7 +48,7 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequence[str
         return _small_quantiles(df, value, at, keys)
     if not keys:
         return _ranked_quantiles(df, value, at, keys)
-    mine = large.select(*(F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)))
+    mine = F.broadcast(large.select(*(F.col(k).alias(f"__l{i}") for i, k in enumerate(keys))))
     on = [F.col(k).eqNullSafe(F.col(f"__l{i}")) for i, k in enumerate(keys)]
     return _small_quantiles(df.join(mine, on, "left_anti"), value, at, keys).unionByName(_ranked_quantiles(df.join(mine, on, "left_semi"), value, at, keys))
 
@@ -63,7 +64,7 @@ def _ranked_quantiles(df: DataFrame, value: str, at: Sequence[float], keys: Sequ
     ranked = prefix_sums(counts, [*(F.col(k).asc_nulls_first() for k in keys), F.col("__v").asc()], ["__n"])
     groups = ranked.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("__n").alias("n"), F.min("__n_before").alias("__first"))
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    both = ranked.join(groups, on) if keys else ranked.crossJoin(F.broadcast(groups))
+    both = ranked.join(F.broadcast(groups), on) if keys else ranked.crossJoin(F.broadcast(groups))
     low, parts = F.col("__n_before") - F.col("__first"), []
     for i, p in enumerate(at):
         place = (F.col("n") - 1) * F.lit(float(p))

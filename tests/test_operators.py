@@ -302,6 +302,20 @@ def test_large_groups_are_ranked(spark, monkeypatch):
     assert aggregates.quantiles(df, "v", [0.5]).first().q == [np.median([x.v for x in rows])]
 
 
+def test_large_groups_are_not_joined_by_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "FEW_VALUES", 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(400).select((F.col("id") % 7 > 4).cast("int").alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"))
+        got = aggregates.quantiles(df, "v", [0.5], ["k"])
+        # A sort by the key would hold a whole group in one task.
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.k: (r.n, r.q[0]) for r in got.collect()} == {k: (len(own), np.median(own)) for k in (0, 1) if (own := [float(i * 37 % 101) for i in range(400) if int(i % 7 > 4) == k])}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def walked(rows, tolerance, max_lag):
     """Tracks of (id, block, position), by one walk over all blocks."""
     last, out = [], {}
