@@ -128,18 +128,48 @@ def numbered(df: DataFrame, order: Sequence[Column], out: str = "position", star
     return prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"]).withColumn(out, F.col("__one_before") + start).drop("__one", "__one_before")
 
 
-def split_by_gaps(df: DataFrame, column: str, gap: float, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """df with a number for each stretch of values of the column, within the keys, that no step over `gap` cuts. Values are
-    numbered and compared with the one before by prefix sums: no task sees a whole group. The columns hold no null."""
-    values = df.select(*keys, column).distinct()
-    placed = numbered(values, [*(F.col(k).asc() for k in keys), F.col(column).asc()], "__i", 0)
-    before = placed.select((F.col("__i") + 1).alias("__i"), *(F.col(k).alias(f"__b_{k}") for k in keys), F.col(column).alias("__before"))
-    cuts = F.col("__before").isNull() | (F.col(column) - F.col("__before") > gap)
+def split_by_gaps(df: DataFrame, column: str, gap: float, out: str, keys: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Stored rows of df with a number for each stretch of values of the column, within the keys, that no step over `gap`
+    cuts. The columns hold no null.
+
+    Rows are sorted once in ranges, and each is compared with the one before it in its task; how the ranges go on from
+    each other is seen from their ends, one row each. ties: columns that part equal rows, so that ranges are of one size."""
+    keys = list(keys)
+
+    def marked(batches):
+        block, held, done = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            last = []
+            for c in [*keys, column]:
+                own = batch.column(c).to_numpy(zero_copy_only=False)
+                last.append(own[-1:])
+                both = np.concatenate([own[:1] if held is None else held[len(last) - 1], own])
+                before, after = both[:-1], both[1:]
+                # Equal values, not a number among them, are one; their difference need not be a number.
+                apart = (before != after) & ~((before != before) & (after != after))
+                if c == column:
+                    at = np.flatnonzero(apart)
+                    apart[at] = ~(after[at] - before[at] <= np.float64(gap)).astype(bool)
+                new |= apart
+            count = np.cumsum(new) + done
+            held, done = last, int(count[-1])
+            yield pa.record_batch([*batch.columns, pa.array(np.full(batch.num_rows, block, np.int32)), pa.array(count, pa.int64())], names=[*batch.schema.names, "__block", "__cuts"])
+
+    order = [F.col(c).asc() for c in (*keys, column, *ties)]
+    schema = StructType([*df.schema.fields, StructField("__block", IntegerType()), StructField("__cuts", LongType())])
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(marked, schema), "stretches")
+    place = F.struct(*keys, column)
+    ends = rows.groupBy("__block").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("__cuts").alias("own"))
+    before, after = Window.orderBy("__block"), Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("__last", F.lag("high").over(before))
+    cuts = F.col("__last").isNull() | (F.col(f"low.{column}") - F.col(f"__last.{column}") > gap) & (F.col(f"low.{column}") != F.col(f"__last.{column}"))
     for k in keys:
-        cuts = cuts | (F.col(k) != F.col(f"__b_{k}"))
-    flagged = placed.join(before, "__i", "left").select(*keys, column, "__i", cuts.cast("long").alias("__new"))
-    named = prefix_sums(flagged, [F.asc("__i")], ["__new"]).select(*keys, column, (F.col("__new_before") + F.col("__new")).alias(out))
-    return df.join(named, [*keys, column])
+        cuts = cuts | (F.col(f"low.{k}") != F.col(f"__last.{k}"))
+    shift = ends.withColumn("__new", cuts.cast("long")).select("__block", (F.sum(F.col("own") + F.col("__new")).over(after) - F.col("own") - 1).alias("__shift"))
+    return rows.join(F.broadcast(shift), "__block").select(*df.columns, (F.col("__cuts") + F.col("__shift")).alias(out))
 
 
 def sequential_ids(df: DataFrame, order: Sequence[Column], prefix: str, width: int, out: str = "id") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from fieldloom.operators.aggregates import quantiles
 from fieldloom.operators.relational import numbered, split_by_gaps
@@ -119,20 +122,20 @@ def peaks(df: DataFrame, line: str, at: str, value: str, distance: float, promin
     return df.select(line, at, value).groupBy(line).applyInPandas(find, df.select(line, at, value).schema)
 
 
-def _linked(rows: pd.DataFrame, block: str, at: str, tolerance: float, max_lag: int) -> np.ndarray:
+def _linked(blocks: list, places: list[float], tolerance: float, max_lag: int) -> list[int]:
     """Numbers of tracks, in the order of their beginnings, of rows sorted by block and position."""
     open_: dict[int, tuple[float, float]] = {}
-    track, made = np.full(len(rows), -1), 0
-    blocks, places = rows[block].to_numpy(), rows[at].to_numpy(dtype=float)
-    begin = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(rows) else []
-    for low, high in zip(begin, [*begin[1:], len(rows)], strict=True):
-        now = blocks[low]
+    track, made, low = [-1] * len(blocks), 0, 0
+    while low < len(blocks):
+        now, high = blocks[low], low + 1
+        while high < len(blocks) and blocks[high] == now:
+            high += 1
         open_ = {t: (seen, p) for t, (seen, p) in open_.items() if now - seen <= max_lag}
         held = sorted((p, t) for t, (_, p) in open_.items())
-        own = np.array([p for p, _ in held])
+        own = [p for p, _ in held]
         pairs = []
         for i in range(low, high):
-            near = range(*np.searchsorted(own, [places[i] - tolerance, np.nextafter(places[i] + tolerance, np.inf)])) if len(own) else ()
+            near = range(bisect_left(own, places[i] - tolerance), bisect_right(own, places[i] + tolerance))
             pairs += [(d, held[k][1], i) for k in near if (d := abs(places[i] - own[k])) <= tolerance]
         used: set[int] = set()
         for _, t, i in sorted(pairs):
@@ -143,7 +146,8 @@ def _linked(rows: pd.DataFrame, block: str, at: str, tolerance: float, max_lag:
             if track[i] < 0:
                 track[i] = made
                 made += 1
-            open_[int(track[i])] = (now, places[i])
+            open_[track[i]] = (now, places[i])
+        low = high
     return track
 
 
@@ -158,18 +162,21 @@ def link_tracks(df: DataFrame, block: str, at: str, tolerance: float, max_lag: i
     """
     rows = cut(df.withColumn("__id", F.monotonically_increasing_id()), "positions")
     known = rows.where(F.col(block).isNotNull() & F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double")))
-    parts = split_by_gaps(known, at, tolerance, "__p1")
-    parts = split_by_gaps(parts, block, max_lag, "__p2", ["__p1"])
-    parts = split_by_gaps(parts, at, tolerance, "__p3", ["__p2"])
-
-    def link(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(["__when", "__where", "__id"], kind="stable").reset_index(drop=True)
-        return pd.DataFrame({"__id": piece["__id"], "__piece": piece["__p3"], "__local": _linked(piece, "__when", "__where", tolerance, max_lag)})
-
-    slim = parts.select("__id", F.col(block).alias("__when"), F.col(at).cast("double").alias("__where"), "__p3")
-    found = cut(slim.groupBy("__p3").applyInPandas(link, "__id long, __piece long, __local long"), "tracks")
-    begin = slim.join(found, "__id").groupBy("__piece", "__local").agg(F.min(F.struct("__when", "__where", "__id")).alias("__first"))
-    named = numbered(begin.select("__piece", "__local", "__first.*"), [F.asc("__when"), F.asc("__where"), F.asc("__id")], "track", 0)
+    parts = known.select("__id", F.col(block).alias("__when"), F.col(at).alias("__at"))
+    parts = split_by_gaps(parts, "__at", tolerance, "__p1", ties=["__when"])
+    parts = split_by_gaps(parts, "__when", max_lag, "__p2", ["__p1"], ["__at"])
+    parts = split_by_gaps(parts, "__at", tolerance, "__p3", ["__p2"], ["__when"])
+
+    def link(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by([("__when", "ascending"), ("__where", "ascending"), ("__id", "ascending")])
+        track = np.array(_linked(piece["__when"].to_pylist(), piece["__where"].to_pylist(), tolerance, max_lag))
+        first = np.zeros(len(track), dtype=bool)
+        first[np.unique(track, return_index=True)[1]] = True
+        return piece.append_column("__local", pa.array(track, pa.int64())).append_column("__first", pa.array(first))
+
+    slim = parts.select("__id", "__when", F.col("__at").cast("double").alias("__where"), F.col("__p3").alias("__piece"))
+    found = cut(slim.groupBy("__piece").applyInArrow(link, StructType([*slim.schema.fields, StructField("__local", LongType()), StructField("__first", BooleanType())])), "tracks")
+    named = numbered(found.where("__first").drop("__first"), [F.asc("__when"), F.asc("__where"), F.asc("__id")], "track", 0)
     of_row = found.join(named.select("__piece", "__local", "track"), ["__piece", "__local"]).select("__id", "track")
     return rows.drop(*(c for c in ("track",) if c in rows.columns)).join(of_row, "__id", "left").drop("__id")
 

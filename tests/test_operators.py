@@ -12,6 +12,7 @@ from fieldloom.functions import geometry, scalar
 from fieldloom.operators import aggregates, grid, ml, relational, selection, sequence, spatial
 from fieldloom.plans.runner import Runner, newest_first, queue_positions, queue_status, recover
 from fieldloom.sources import files
+from fieldloom.sources.store import cut
 from fieldloom.streaming import events
 
 
@@ -346,6 +347,21 @@ def test_tracks_equal_one_walk(spark, tolerance, max_lag, width):
     assert got == {**walked(rows, tolerance, max_lag), 900: None, 901: None}
 
 
+def test_stretches_take_one_sort(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(relational, "cut", lambda df, name: stored.append(name) or cut(df, name))
+    r = random.Random(5)
+    rows = sorted((r.randrange(4), r.choice([float("inf"), float("-inf"), round(r.uniform(0, 40), 1)] if r.random() < 0.1 else [round(r.uniform(0, 40), 1)])) for _ in range(300))
+    expected, number = {}, -1
+    for (k0, v0), (k, v) in zip([(None, None), *rows], rows):
+        number += k0 != k or v0 != v and v - v0 > 0.7
+        expected[k, v] = number
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id long, k long, v double").repartition(5)
+    got = relational.split_by_gaps(df, "v", 0.7, "n", ["k"]).collect()
+    assert len(stored) == 1 and len(got) == 300 and number > 8
+    assert {(x.k, x.v): x.n for x in got} == expected
+
+
 def test_track_query(spark):
     from fieldloom import catalog_objects
 
