@@ -121,11 +121,12 @@ class Pairs:
 
 
 class Codec:
-    """An encoder and decoder for one model, given as the bytes of its file."""
+    """An encoder and decoder for one model, given as the bytes of its file. cache_bytes: of the chunks it remembers."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cache_bytes: int = CACHE_BYTES):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
+        self.cache_bytes = cache_bytes
         m = proto.ModelProto()
         m.ParseFromString(model)
         kinds = {p.type for p in m.pieces}
@@ -369,8 +370,8 @@ class Codec:
 
     def _learn(self, new: list[str]) -> np.ndarray:
         """Number chunks that are not known yet (each without the blank before it)."""
-        if self.held > CACHE_BYTES:
-            raise MemoryError("the caller forgets chunks beyond CACHE_BYTES")
+        if self.held > self.cache_bytes:
+            raise MemoryError("the caller forgets chunks beyond cache_bytes")
         codes, ends, first = self.normalise_many(new)
         size = np.diff(first)
         flat, flat_ends, counts, order = [self.flat], [self.flat_ends], [], []
@@ -437,7 +438,7 @@ class Codec:
             keys = lists.flatten()
         coded = keys.dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # a tenth of the time of to_pylist()
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self._forget()
         number = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
         new = np.flatnonzero(number < 0)
@@ -445,24 +446,28 @@ class Codec:
             number[new] = self._learn([names[i] for i in new.tolist()])
         return number[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, dtype=np.int64), np.concatenate([[0], np.cumsum(count)])
 
-    def encode_many(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ids, starts, ends of all texts' pieces, and where each text's pieces begin (and the last end)."""
+    def encode_many(self, texts: Sequence[str | None], spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids, starts, ends of all texts' pieces, and where each text's pieces begin (and the last end). Without spans
+        the starts and ends are left out (empty)."""
         alone = [bool(t) and (not self.plain or BLANK in t) for t in texts]
         if any(alone):
             ids, starts, ends, cuts = self.encode_many([None if a else t for t, a in zip(texts, alone, strict=True)]) if self.plain else (*[np.zeros(0, dtype=np.int32)] * 3, np.zeros(len(texts) + 1, dtype=np.int64))
             rows = [self.encode(t) if a else (ids[cuts[i] : cuts[i + 1]], starts[cuts[i] : cuts[i + 1]], ends[cuts[i] : cuts[i + 1]]) for i, (t, a) in enumerate(zip(texts, alone, strict=True))]
-            return *(np.concatenate([np.asarray(r[k], dtype=np.int32) for r in rows]) for k in range(3)), np.cumsum([0, *(len(r[0]) for r in rows)])
+            none = np.zeros(0, dtype=np.int32)
+            return *(np.concatenate([np.asarray(r[k], dtype=np.int32) for r in rows]) if spans or not k else none for k in range(3)), np.cumsum([0, *(len(r[0]) for r in rows)])
         chunk, first = self._chunks(texts)
-        # Where each chunk's text begins: after the chunks before it and one blank between two.
-        size = self.sizes[chunk] + 1
-        begin = np.cumsum(size) - size
-        begin -= np.repeat(np.append(begin, 0)[first[:-1]], np.diff(first))
         count = self.cuts[chunk + 1] - self.cuts[chunk]
         token = np.concatenate([[0], np.cumsum(count)])
         take = np.arange(token[-1]) + np.repeat(self.cuts[chunk] - token[:-1], count)
         ids = self.flat[take]
-        ends = (self.flat_ends[take] + np.repeat(begin, count)).astype(np.int32)
         cuts = token[first]
+        if not spans:
+            return ids, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), cuts
+        # Where each chunk's text begins: after the chunks before it and one blank between two.
+        size = self.sizes[chunk] + 1
+        begin = np.cumsum(size) - size
+        begin -= np.repeat(np.append(begin, 0)[first[:-1]], np.diff(first))
+        ends = (self.flat_ends[take] + np.repeat(begin, count)).astype(np.int32)
         starts = np.empty_like(ends)
         starts[1:] = ends[:-1]
         starts[cuts[:-1][np.diff(cuts) > 0]] = 0

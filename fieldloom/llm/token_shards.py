@@ -44,6 +44,8 @@ CHUNKS = "block int, first long, doc_ids array<long>, n_tokens binary, ids binar
 #: Bytes of text that a range is sized for, as long as there are no more than RANGES: a number for each of them is held
 #: by the driver and sent to the tasks. Ranges are read as a stream, so their size takes no memory.
 RANGE_BYTES, RANGES = 24 << 20, 100_000
+#: Bytes of chunks that are remembered while a range is encoded, about those of one range; bytes of text encoded at once.
+CACHE_BYTES, SLICE_BYTES = 64 << 20, 4 << 20
 #: Partitions that shards are assembled in at most; beyond it a partition writes several, one after the other.
 PARTS = 20_000
 PACKS = "shard int, slots binary, doc_ids array<long>, seqs binary, n_tokens binary, records binary"
@@ -70,14 +72,14 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, length: int, width: int) -> Iterator[pa.RecordBatch]:
     """Columns: doc_id, text, in the order of a range. A row for each slice of documents; first: the number of its first
     sequence within the range."""
-    codec = Codec(model)
+    codec = Codec(model, CACHE_BYTES)
     if len(codec.surface) > 1 << (8 * width):
         raise ValueError(f"{len(codec.surface)} ids do not fit {width} bytes")
     block, done = TaskContext.get().partitionId(), 0
     blob = lambda x, kind: pa.array([np.ascontiguousarray(x, dtype=kind).tobytes()], pa.binary())
     for batch in batches:
-        for low, high, _, _ in bw.text_slices(batch.column(1), 2 << 20):
-            ids, _, _, cuts = codec.encode_many(batch.column(1).slice(low, high - low).to_pylist())
+        for low, high, _, _ in bw.text_slices(batch.column(1), SLICE_BYTES):
+            ids, _, _, cuts = codec.encode_many(batch.column(1).slice(low, high - low).to_pylist(), spans=False)
             tokens = np.diff(cuts)
             docs = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column(0).slice(low, high - low))
             yield pa.record_batch([pa.array([block], pa.int32()), pa.array([done], pa.int64()), docs, blob(tokens, np.int32), blob(ids, f"<u{width}")], names=["block", "first", "doc_ids", "n_tokens", "ids"])

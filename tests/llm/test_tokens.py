@@ -43,6 +43,18 @@ def test_own_merges_equal_the_library():
             assert ends[-1] == len(t.encode())
 
 
+def test_ids_without_spans_and_with_a_small_cache():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    texts = ["a few  words", None, "", " ▁ blank sign", "ÄÖ 漢字 and \U0001f600"]
+    whole, small = Codec(model), Codec(model, 1)
+    ids, starts, ends, cuts = whole.encode_many(texts)
+    for codec in (whole, small, small):
+        own, no_starts, no_ends, own_cuts = codec.encode_many(texts, spans=False)
+        assert own.tolist() == ids.tolist() and own_cuts.tolist() == cuts.tolist() and len(no_starts) == len(no_ends) == 0
+    assert len(starts) == len(ends) == len(ids) > 0
+
+
 def test_decode_of_broken_bytes():
     codec = Codec(open(MODEL, "rb").read())
     for ids in ([codec.bytes[0xE2], codec.bytes[0x82]], [codec.bytes[0xFF], *LIBRARY.encode("a")], [1, *LIBRARY.encode("ab"), 2], []):
