@@ -100,7 +100,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path(), keep_text=False)
     # A piece that is not contiguous with the one before, or does not reach the end, would show here.
-    covered = F.coalesce(F.element_at("ends", -1), F.lit(0))
+    covered = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), covered.cast("long").alias("bytes_covered"))
 
 

@@ -237,3 +237,17 @@ def test_query_digests(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
         assert r.bytes_covered == len(texts[r.doc_id].encode())
+
+
+def test_query_of_texts_without_pieces(odd, tmp_path):
+    from fieldloom.llm.queries import op1_sentencepiece
+
+    rows = [(i, t) for i, t in enumerate(ODD)]
+    odd.sparkSession.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in op1_sentencepiece(odd.sparkSession, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        ids = LIBRARY.encode(t or "")
+        assert (found[i].n_tokens, found[i].bytes_covered) == (len(ids), len((t or "").encode()))
+        assert found[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert found[i].decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
