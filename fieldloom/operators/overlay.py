@@ -7,14 +7,14 @@ edges that reach into a strip are listed strip by strip, so memory follows their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-#: Pairs of edges compared at once.
-AT_ONCE = 1 << 18
+#: Pairs of edges compared at once, and pairs of boxes.
+AT_ONCE, BOXES_AT_ONCE = 1 << 18, 1 << 16
 
 
 class Rings(NamedTuple):
@@ -48,6 +48,24 @@ class Rings(NamedTuple):
         after[self.first[1:][full] - 1] = self.first[:-1][full]
         return self.rows(), self.x, self.y, self.x[after], self.y[after]
 
+    def take(self, rows: np.ndarray) -> Rings:
+        """The rings in these places, in this order."""
+        n = np.diff(self.first)[rows]
+        first = np.append(0, np.cumsum(n))
+        at = np.arange(first[-1]) + np.repeat(self.first[rows] - first[:-1], n)
+        return Rings(self.x[at], self.y[at], first)
+
+    def upright(self) -> np.ndarray:
+        """Which rings are rectangles with sides along the axes, given by their four corners (and the first once more)."""
+        n = np.diff(self.first)
+        out = (n == 4) | (n == 5)
+        at, last = self.first[:-1][out], self.first[1:][out] - 1
+        out[out] = (n[out] == 4) | ((self.x[at] == self.x[last]) & (self.y[at] == self.y[last]))
+        at = self.first[:-1][out]
+        (x0, x1, x2, x3), (y0, y1, y2, y3) = ([v[at + k] for k in range(4)] for v in (self.x, self.y))
+        out[out] = ((x0 == x1) & (y1 == y2) & (x2 == x3) & (y3 == y0)) | ((y0 == y1) & (x1 == x2) & (y2 == y3) & (x3 == x0))
+        return out
+
     def areas(self) -> np.ndarray:
         row, x0, y0, x1, y1 = self.edges()
         # About the first point of each ring, so that far away rings lose no digits.
@@ -68,15 +86,19 @@ class Rings(NamedTuple):
 
 def _lists(a: np.ndarray, b: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of members of two lists sorted by scene, all pairs of a scene, some at a time."""
-    begin, end = np.searchsorted(b, a), np.searchsorted(b, a, side="right")
+    for low, high, n, j in _spans(np.searchsorted(b, a), np.searchsorted(b, a, side="right"), at_once):
+        yield np.repeat(np.arange(low, high), n), j
+
+
+def _spans(begin: np.ndarray, end: np.ndarray, at_once: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(low, high, n, j): the numbers j from begin to end of the spans low to high, n of each, some at a time."""
     size = end - begin
     done = np.cumsum(size)
     low = 0
-    while low < len(a):
+    while low < len(size):
         high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + at_once, side="right")))
         n = size[low:high]
-        i = np.repeat(np.arange(low, high), n)
-        yield i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[i]
+        yield low, high, n, np.arange(n.sum()) + np.repeat(begin[low:high] - (np.cumsum(n) - n), n)
         low = high
 
 
@@ -178,6 +200,82 @@ def overlap_areas(a: Rings, b: Rings) -> np.ndarray:
     return sweep(n, np.concatenate(scene), np.concatenate(ring), every, (own, y), 2)
 
 
+def _places(cell: np.ndarray, x: np.ndarray, of: np.ndarray, at: np.ndarray, after: bool = False) -> np.ndarray:
+    """np.searchsorted in values that are sorted by cell: where (of, at) goes in (cell, x), before its equals or after."""
+    kind = np.repeat([not after, after], [len(cell), len(of)])
+    order = np.lexsort((kind, np.concatenate([x, at]), np.concatenate([cell, of])))
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(order < len(cell))
+    return out[len(cell) :]
+
+
+class Placed(NamedTuple):
+    """Boxes in cells, sorted by cell and lowest x. at: their rows; begins: 1 if the lowest x lies in the cell, plus 2 if
+    the lowest y does."""
+
+    at: np.ndarray
+    cell: np.ndarray
+    x0: np.ndarray
+    y0: np.ndarray
+    x1: np.ndarray
+    y1: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, *columns: np.ndarray) -> Placed:
+        order = rows[np.lexsort((columns[1][rows], columns[0][rows]))]
+        return cls(order, *(c[order] for c in columns))
+
+    def pairs(self, other: Placed | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, rows of the other, width, height) of common parts whose lower corner lies in the cell, some at a time:
+        every pair once. Without another of these boxes among themselves. No box is empty."""
+        if other is None:
+            yield from self._pairs(self, np.arange(1, len(self.at) + 1))
+            return
+        yield from self._pairs(other, _places(other.cell, other.x0, self.cell, self.x0))
+        for j, i, width, height in other._pairs(self, _places(self.cell, self.x0, other.cell, other.x0, after=True)):
+            yield i, j, width, height
+
+    def _pairs(self, later: Placed, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The later ones begin at or to the right of the lowest x of these, from `begin` on."""
+        for low, high, n, j in _spans(begin, _places(later.cell, later.x0, self.cell, self.x1), BOXES_AT_ONCE):
+            each = lambda v: np.repeat(v[low:high], n)  # noqa: B023, E731
+            height = np.minimum(each(self.y1), later.y1[j]) - np.maximum(each(self.y0), later.y0[j])
+            ok = np.flatnonzero((height > 0) & ((each(self.begins) | later.begins[j]) == 3))
+            i, j = np.repeat(np.arange(low, high), n)[ok], j[ok]
+            yield self.at[i], later.at[j], np.minimum(self.x1[i], later.x1[j]) - later.x0[j], height[ok]
+
+
+def overlap_areas_of(rings: Rings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """overlap_areas of the rings i and j, some at a time."""
+    size = np.diff(rings.first)
+    part = np.cumsum(size[i] + size[j]) // AT_ONCE
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return np.concatenate([np.zeros(0), *(overlap_areas(rings.take(a), rings.take(b)) for a, b in zip(np.split(i, cuts), np.split(j, cuts), strict=True))])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about so many rows of batches that are sorted by whole-numbered keys, no group in two of them, and the
+    number of each row's group."""
+    held, starts, last, n = [], [], None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        new = np.append(last != [v[0] for v in values], np.any([v[1:] != v[:-1] for v in values], axis=0))
+        last = [v[-1] for v in values]
+        begins = np.flatnonzero(new)
+        if n >= rows and len(begins):
+            at = int(begins[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, at)]), np.cumsum(np.concatenate([*starts, new[:at]]))
+            held, starts, n, batch, new = [], [], 0, batch.slice(at), new[at:]
+        held.append(batch)
+        starts.append(new)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held), np.cumsum(np.concatenate(starts))
+
+
 def meeting(a: Rings, b: Rings) -> np.ndarray:
     """Whether each ring of a has a point in common with the ring of b in the same place, edges included."""
     n = len(a.first) - 1

@@ -1,7 +1,8 @@
 """Joins and measures of simple polygons, given as rings: array<struct<x: double, y: double>>.
 
-Candidates come from an equi-join on the grid cells of their boxes; each pair is made in one cell only and judged
-exactly in numpy inside the task, many pairs together. A ring closes by itself; a null, fewer than three points, or a
+Candidates come from the grid cells of their boxes; each pair is made in one cell only and judged exactly in numpy
+inside the task, many pairs together. Where areas are wanted the rings of a cell are sent to a task once and meet there;
+other pairs come from an equi-join on the cells. A ring closes by itself; a null, fewer than three points, or a
 point that is null, infinite or not a number makes it no polygon: it joins with nothing and covers nothing.
 """
 
@@ -10,17 +11,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry
 from fieldloom.operators import overlay
 from fieldloom.operators.aggregates import quantiles
-from fieldloom.operators.spatial import cell, cell_join, cell_pairs, spread_tasks
+from fieldloom.operators.spatial import TASK_PAIRS, cell, cell_join, cell_pairs, spread_tasks
 from fieldloom.sources.store import cut
 
 RING = "array<struct<x: double, y: double>>"
@@ -129,11 +131,7 @@ def _boxes(df: DataFrame, key: str, ring: str, prefix: str, size: float) -> Data
 def _stored_boxes(df: DataFrame, key: str, ring: str, prefix: str, size: float) -> DataFrame:
     """The same, measured once and spread over all tasks however small the file was."""
     rows = cut(df.select(key, ring).repartition(spread_tasks(df)), "rings")
-    return cut(_boxes(rows, key, ring, prefix, size), "boxes")
-
-
-def _renamed(boxes: DataFrame, prefix: str) -> DataFrame:
-    return boxes.select(*(F.col(c).alias(prefix + c[1:]) for c in boxes.columns))
+    return cut(_boxes(rows, key, ring, prefix, size).withColumn(f"{prefix}id", F.monotonically_increasing_id()), "boxes")
 
 
 def _at_levels(df: DataFrame, prefix: str, levels: list[int], size: float) -> DataFrame:
@@ -161,19 +159,118 @@ def _placed(a: DataFrame, b: DataFrame, size: float) -> tuple[DataFrame, DataFra
     return _at_levels(a, "a", levels, size), _at_levels(b, "b", levels, size)
 
 
-def _overlays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: k, o_k, both rings. Areas of the overlap and of each ring."""
-    for batch in batches:
-        a, b = (overlay.Rings.of(batch.column(k)) for k in (2, 3))
-        yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, (overlay.overlap_areas(a, b), a.areas(), b.areas()))], names=["k", "o_k", "both", "area", "o_area"])
+#: Rings of a cell that meet at once, and the points that they have together.
+BLOCK_RINGS, BLOCK_POINTS = 16_384, 131_072
+#: A group of rings that meet: all with all of the other side, or (side 2) among themselves.
+GROUP = ("part", "level", "cx", "cy", "i", "j")
+
+
+def _held(df: DataFrame, levels: list[int], size: float) -> DataFrame:
+    """Stored boxes in their cells. own: whether that is their level, and not that of coarser boxes; begins: whether their
+    lowest x (1) and y (2) lies in the cell."""
+    step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    begins = lambda k: (F.col(f"c{k}") == F.floor(F.col(f"a{k}0") / step)).cast("int")
+    placed = _at_levels(df.where("ax1 > ax0 AND ay1 > ay0"), "a", levels, size)
+    return placed.select(F.col("ak").alias("k"), F.col("aring").alias("ring"), "aid", *(F.col(f"a{k}").alias(k) for k in ("x0", "y0", "x1", "y1")), "level", "cx", "cy", (F.col("alevel") == F.col("level")).alias("own"), (begins("x") + 2 * begins("y")).alias("begins"))
+
+
+def _blocks(held: DataFrame, name: str) -> DataFrame:
+    """For each cell the rings of its level (own) and finer ones, and in how many blocks they meet others."""
+    found = []
+    for kind, mine in (("own", F.col("own")), ("fine", ~F.col("own"))):
+        n, points = F.count_if(mine), F.sum(F.when(mine, F.size("ring")).otherwise(0))
+        found += [n.alias(f"{name}_{kind}_n"), F.ceil(F.greatest(n / BLOCK_RINGS, points / BLOCK_POINTS)).cast("int").alias(f"{name}_{kind}")]
+    return held.groupBy("level", "cx", "cy").agg(*found)
+
+
+def _grouped(a: DataFrame, b: DataFrame | None, size: float, order: Sequence[str]) -> DataFrame:
+    """Boxes in the groups in which they meet, a group's rows together: (GROUP, side, k, o_k, ring, box, begins), k of a
+    and o_k of b; without b of one table, and k of both sides. order: by which the rows of a group are ranked (rank).
+
+    At a cell of each level the boxes of that level meet each other (part 0) and the finer ones (part 1: own of a, part 2:
+    own of b). A cell with many rings or points is dealt in blocks that meet one by one; tasks get about TASK_PAIRS pairs."""
+    tables = {"a": a} if b is None else {"a": a, "b": b}
+    levels = sorted({r[0] for df in tables.values() for r in df.select("alevel").distinct().collect()}) or [0]
+    held = {name: _held(df, levels, size) for name, df in tables.items()}
+    cells = reduce(lambda p, q: p.join(q, ["level", "cx", "cy"]), (_blocks(df, name) for name, df in held.items()))
+    meet = [("a_own", "a_own"), ("a_own", "a_fine")] if b is None else [("a_own", "b_own"), ("a_own", "b_fine"), ("a_fine", "b_own")]
+    product = lambda end: reduce(Column.__add__, (F.col(p + end).cast("double") * F.col(q + end) for p, q in meet))
+    counts = [f"{name}_{kind}" for name in held for kind in ("own", "fine")]
+    pairs, groups, most = cells.agg(F.sum(product("_n")), F.sum(product("")), F.max(F.greatest(F.lit(0), *counts))).first()
+    full = F.broadcast(cut(cells.where(F.greatest(F.lit(0), *counts) > 1).select("level", "cx", "cy", *counts), "full-cells")) if (most or 0) > 1 else None
+
+    def dealt(name: str) -> DataFrame:
+        df = held[name]
+        df = df.join(full, ["level", "cx", "cy"], "left") if full is not None else df
+        n = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)) if full is not None else F.lit(1)
+        mine = lambda kind: F.pmod(F.xxhash64("aid"), n(f"{name}_{kind}")).cast("int")
+        entry = lambda part, i, j, side: F.struct(F.lit(part).alias("part"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+        def against(part: int, kind: str, others: str) -> Column:
+            """My block with each of the other side's."""
+            block, to = mine(kind), F.sequence(F.lit(0), n(others) - 1)
+            first = name == "a" and not (b is None and kind == "fine")
+            return F.transform(to, lambda z: entry(part, block, z, F.lit(0)) if first else entry(part, z, block, F.lit(1)))
+
+        if b is None:
+            block = mine("own")
+            among = F.transform(F.sequence(F.lit(0), n("a_own") - 1), lambda z: entry(0, F.least(z, block), F.greatest(z, block), F.when(z == block, 2).when(z < block, 1).otherwise(0)))
+            own, fine = [among, against(1, "own", "a_fine")], against(1, "fine", "a_own")
+        else:
+            other, mixed = ("b", 1) if name == "a" else ("a", 2)
+            own, fine = [against(0, "own", f"{other}_own"), against(mixed, "own", f"{other}_fine")], against(3 - mixed, "fine", f"{other}_own")
+        ways = F.when(~F.col("own"), fine).when(F.col("level") > levels[0], F.concat(*own)).otherwise(own[0])
+        return df.withColumn("way", F.explode(ways)).select("way.part", "level", "cx", "cy", "way.i", "way.j", "way.side", *keys(name), "ring", "x0", "y0", "x1", "y1", "begins")
+
+    def keys(name: str) -> list[Column]:
+        if b is None or order:
+            return [F.col("k")]
+        kinds = [df.schema["ak"].dataType for df in (a, b)]
+        return [(F.col("k") if name == mine else F.lit(None).cast(kind)).alias(as_) for mine, kind, as_ in zip("ab", kinds, ("k", "o_k"), strict=True)]
+
+    rows = reduce(DataFrame.unionByName, map(dealt, held))
+    tasks = max(spread_tasks(a), min(int(groups or 0), -(-int(pairs or 0) // TASK_PAIRS)))
+    rows = rows.repartition(tasks, *GROUP)
+    return rows.withColumn("rank", F.dense_rank().over(Window.partitionBy(*GROUP).orderBy(*order))) if order else rows.sortWithinPartitions(*GROUP)
+
+
+def _measures(batches: Iterator[pa.RecordBatch], share: bool, ordered: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of _grouped. k, o_k and the area of the overlap with both rings' own, or (share) its share of the smaller one;
+    ranked rows make no pair of equal keys; ordered: k < o_k. Rectangles along the axes are measured by their sides and
+    others by the sweep."""
+    for table, cell in overlay.whole_groups(batches, GROUP, overlay.BOXES_AT_ONCE):
+        rings = overlay.Rings.of(table.column("ring"))
+        column = lambda k: table.column(k).to_numpy()  # noqa: B023, E731
+        box = [column(k) for k in ("x0", "y0", "x1", "y1")]
+        upright, side = rings.upright(), column("side")
+        area = np.where(upright, (box[2] - box[0]) * (box[3] - box[1]), rings.areas())
+        plain, ranked = bool(upright.all()), "rank" in table.column_names
+        rank = column("rank") if ranked else None
+        keys = [table.column(k if k in table.column_names else "k").combine_chunks() for k in ("k", "o_k")]
+        left, right, among = (overlay.Placed.of(np.flatnonzero(side == s), cell, *box, column("begins").astype(np.uint8)) for s in (0, 1, 2))
+        for i, j, width, height in chain(left.pairs(right), among.pairs()):
+            both = width * height
+            if not plain:
+                odd = np.flatnonzero(~(upright[i] & upright[j]))
+                both[odd] = overlay.overlap_areas_of(rings, i[odd], j[odd])
+            ok = both > 0
+            if ranked:
+                p, q = rank[i], rank[j]
+                ok &= p != q
+                if ordered:
+                    i, j = np.where(p < q, i, j), np.where(p < q, j, i)
+            if not ok.all():
+                i, j, both = i[ok], j[ok], both[ok]
+            out = {"ratio": both / np.minimum(area[i], area[j])} if share else {"both": both, "area": area[i], "o_area": area[j]}
+            yield pa.record_batch([keys[0].take(pa.array(i)), keys[1].take(pa.array(j)), *map(pa.array, out.values())], names=["k", "o_k", *out])
 
 
 def polygon_overlays(a: DataFrame, b: DataFrame, a_key: str, b_key: str, ring: str, size: float) -> DataFrame:
     """(k, o_k, both, either, only, o_only): of each pair of polygons of a and b that overlap the areas of intersection,
     union, and both differences. size: of the smallest cells, about that of a small polygon."""
     kinds = [df.schema[k].dataType.simpleString() for df, k in ((a, a_key), (b, b_key))]
-    pairs = _pairs(_stored_boxes(a, a_key, ring, "a", size), _stored_boxes(b, b_key, ring, "b", size), size)
-    found = pairs.mapInArrow(_overlays, f"k {kinds[0]}, o_k {kinds[1]}, both double, area double, o_area double").where("both > 0")
+    rows = _grouped(_stored_boxes(a, a_key, ring, "a", size), _stored_boxes(b, b_key, ring, "a", size), size, [])
+    found = rows.mapInArrow(lambda it: _measures(it, False, False), f"k {kinds[0]}, o_k {kinds[1]}, both double, area double, o_area double")
     return found.select("k", "o_k", "both", (F.col("area") + F.col("o_area") - F.col("both")).alias("either"), (F.col("area") - F.col("both")).alias("only"), (F.col("o_area") - F.col("both")).alias("o_only"))
 
 
@@ -181,12 +278,10 @@ def polygon_overlaps(df: DataFrame, key: str, ring: str, size: float, other: Dat
     """(k, o_k, ratio): pairs of polygons that overlap and the overlap's share of the smaller one. size: of the smallest
     cells, about that of a small polygon. Of one table each pair once, k < o_k; with another table k is of df, o_k of the
     other, and equal keys make no pair."""
-    kind = df.schema[key].dataType.simpleString()
-    mine = _stored_boxes(df, key, ring, "a", size)
-    theirs = _renamed(mine, "b") if other is None else _stored_boxes(other, key, ring, "b", size)
-    pairs = _pairs(mine, theirs, size).where("ak < bk" if other is None else "ak != bk")
-    found = pairs.mapInArrow(_overlays, f"k {kind}, o_k {kind}, both double, area double, o_area double").where("both > 0")
-    return found.select("k", "o_k", (F.col("both") / F.least("area", "o_area")).alias("ratio"))
+    kind, one = df.schema[key].dataType.simpleString(), other is None
+    mine, *theirs = (_stored_boxes(t.where(F.col(key).isNotNull()), key, ring, "a", size) for t in ((df,) if one else (df, other)))
+    rows = _grouped(mine, None if one else theirs[0], size, ["k"])
+    return rows.mapInArrow(lambda it: _measures(it, True, one), f"k {kind}, o_k {kind}, ratio double")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

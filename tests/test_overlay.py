@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,75 @@ def test_overlays(spark):
     assert (x.k, x.o_k) == (1, 5) and (x.both, x.either, x.only, x.o_only) == pytest.approx((both, 172 - both, 86 - both, 86 - both))
 
 
+def box(x, y, w, h):
+    return np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], dtype=float)
+
+
+def test_upright_rectangles():
+    odd = [box(0, 0, 2, 1)[[0, 2, 1, 3]], box(0, 0, 2, 1) + [(0, 0), (0, 0), (0, 0.1), (0, 0)], CONCAVE, CONCAVE[:3], regular(5, 0, 0, 1)]
+    real = [box(1, 2, 3, 4), box(1, 2, 3, 4)[::-1], box(1, 2, 3, 4)[[1, 2, 3, 0]], box(1, 2, 3, 4)[[0, 1, 2, 3, 0]], box(1, 2, 0, 4)]
+    assert many(odd + real).upright().tolist() == [False] * len(odd) + [True] * len(real)
+    rings, at = many(odd + real), np.array([7, 0, 2, 7])
+    assert rings.take(at).x.tolist() == np.concatenate([(odd + real)[i][:, 0] for i in at]).tolist() and rings.take(at).first.tolist() == [0, 4, 8, 16, 20]
+
+
+@pytest.mark.parametrize("rows", [1, 5, 100])
+def test_whole_groups(rows):
+    r = np.random.default_rng(1)
+    keys = np.sort(r.integers(0, 9, 40)), np.arange(40) // 7
+    order = np.lexsort(keys[::-1])
+    table = pa.table({"a": keys[0][order], "b": keys[1][order], "v": np.arange(40)})
+    seen, groups = [], set()
+    for part, number in overlay.whole_groups(iter(table.to_batches(max_chunksize=6)), ("a", "b"), rows):
+        own = list(zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True))
+        assert len(set(zip(own, number.tolist(), strict=True))) == len(set(own)) == len(set(number.tolist())) and not groups & set(own)
+        groups |= set(own)
+        seen += part["v"].to_pylist()
+    assert seen == list(range(40))
+
+
+def mixed(r, n, first=0):
+    """Boxes and stars of several sizes, some in one place."""
+    made = lambda s: box(r.randint(0, 40), r.randint(0, 40), s * r.randint(1, 3), s * r.randint(1, 3)) if r.random() < 0.7 else star(r, r.uniform(0, 40), r.uniform(0, 40), r.randint(3, 7), 3 * s)
+    return [(first + i, made(r.choice([1, 1, 2, 2, 15]))) for i in range(n)] + [(first + n + i, box(8, 8, 3, 3)) for i in range(9)]
+
+
+@pytest.mark.parametrize("rings, points", [(16_384, 131_072), (3, 131_072), (16_384, 20)])
+def test_blocks_of_a_cell_meet_like_the_cell(spark, monkeypatch, rings, points):
+    monkeypatch.setattr(polygons, "BLOCK_RINGS", rings)
+    monkeypatch.setattr(polygons, "BLOCK_POINTS", points)
+    r = random.Random(11)
+    mine, theirs = mixed(r, 70), mixed(r, 40, 50)
+    a, b = frame(spark, mine), frame(spark, theirs)
+    area = lambda v: abs(polygons.signed_area(v))
+    both = lambda p, q: [(i, j, v, area(x), area(y)) for i, x in p for j, y in q if (v := polygons.overlap_area(x, y)) > 0]
+    listed = lambda df: sorted((x.k, x.o_k, *x[2:]) for x in df.collect())
+    want = both(mine, theirs)
+    got = listed(polygons.polygon_overlays(a, b, "k", "k", "ring", 4.0))
+    assert [x[:2] for x in got] == sorted(x[:2] for x in want)
+    for x, (_, _, v, p, q) in zip(got, sorted(want), strict=True):
+        assert x[2:] == pytest.approx((v, p + q - v, p - v, q - v), abs=1e-9)
+    got = {x[:2]: x[2] for x in listed(polygons.polygon_overlaps(a, "k", "ring", 4.0, b))}
+    assert got == pytest.approx({(i, j): v / min(p, q) for i, j, v, p, q in want if i != j})
+    # Keys that are strings have another order; a key that two rings share makes no pair, a null none at all.
+    named = a.select(F.when(F.col("k") < 75, F.col("k").cast("string")).when(F.col("k") < 77, "same").alias("k"), "ring")
+    name = lambda i: str(i) if i < 75 else "same" if i < 77 else None
+    found = [(name(i), name(j), v / min(p, q)) for i, j, v, p, q in both(mine, mine) if name(i) and name(j) and name(i) < name(j)]
+    got = listed(polygons.polygon_overlaps(named, "k", "ring", 4.0))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(found)] and [x[2] for x in got] == pytest.approx([x[2] for x in sorted(found)])
+
+
+def test_pairs_are_made_where_they_are_measured(spark):
+    """A pair costs no row with two rings: the rings of a cell come once, and pairs are found and measured there."""
+    n = 1500
+    df = frame(spark, [(i, box(i % 7, i % 5, 12, 12)) for i in range(n)])
+    pairs = polygons.polygon_overlaps(df, "k", "ring", 40.0)
+    overlays = polygons.polygon_overlays(df.where("k % 2 = 0"), df.where("k % 2 = 1"), "k", "k", "ring", 40.0)
+    for out, many_ in ((pairs, n * (n - 1) // 2), (overlays, n * n // 4)):
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == many_
+
+
 @pytest.mark.parametrize("limit", [512, 3])
 def test_union_area_equals_a_fine_grid(spark, monkeypatch, limit):
     monkeypatch.setattr(polygons, "CELL_RINGS", limit)
