@@ -159,8 +159,9 @@ def _placed(a: DataFrame, b: DataFrame, size: float) -> tuple[DataFrame, DataFra
     return _at_levels(a, "a", levels, size), _at_levels(b, "b", levels, size)
 
 
-#: Rings of a cell that meet at once, and the points that they have together.
-BLOCK_RINGS, BLOCK_POINTS = 16_384, 131_072
+#: Rings of a cell that meet at once if all are rectangles, the points of such a block, and how many pairs of rectangles
+#: take the time of one that is swept.
+BLOCK_RINGS, BLOCK_POINTS, SWEEP = 16_384, 131_072, 64
 #: A group of rings that meet: all with all of the other side, or (side 2) among themselves.
 GROUP = ("part", "level", "cx", "cy", "i", "j")
 
@@ -170,17 +171,29 @@ def _held(df: DataFrame, levels: list[int], size: float) -> DataFrame:
     lowest x (1) and y (2) lies in the cell."""
     step = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
     begins = lambda k: (F.col(f"c{k}") == F.floor(F.col(f"a{k}0") / step)).cast("int")
-    placed = _at_levels(df.where("ax1 > ax0 AND ay1 > ay0"), "a", levels, size)
-    return placed.select(F.col("ak").alias("k"), F.col("aring").alias("ring"), "aid", *(F.col(f"a{k}").alias(k) for k in ("x0", "y0", "x1", "y1")), "level", "cx", "cy", (F.col("alevel") == F.col("level")).alias("own"), (begins("x") + 2 * begins("y")).alias("begins"))
+    corner = lambda p: reduce(Column.__and__, ((p[k] == F.col(f"a{k}0")) | (p[k] == F.col(f"a{k}1")) for k in "xy"))
+    odd = ~F.size("aring").between(4, 5) | ~F.forall("aring", corner)
+    placed = _at_levels(df.where("ax1 > ax0 AND ay1 > ay0").withColumn("odd", odd), "a", levels, size)
+    return placed.select(F.col("ak").alias("k"), F.col("aring").alias("ring"), "odd", "aid", *(F.col(f"a{k}").alias(k) for k in ("x0", "y0", "x1", "y1")), "level", "cx", "cy", (F.col("alevel") == F.col("level")).alias("own"), (begins("x") + 2 * begins("y")).alias("begins"))
 
 
-def _blocks(held: DataFrame, name: str) -> DataFrame:
-    """For each cell the rings of its level (own) and finer ones, and in how many blocks they meet others."""
-    found = []
-    for kind, mine in (("own", F.col("own")), ("fine", ~F.col("own"))):
-        n, points = F.count_if(mine), F.sum(F.when(mine, F.size("ring")).otherwise(0))
-        found += [n.alias(f"{name}_{kind}_n"), F.ceil(F.greatest(n / BLOCK_RINGS, points / BLOCK_POINTS)).cast("int").alias(f"{name}_{kind}")]
-    return held.groupBy("level", "cx", "cy").agg(*found)
+def _cells_held(held: dict[str, DataFrame]) -> DataFrame:
+    """Cells with the rings of their level (name_own_n) and finer ones (name_fine_n) of each table, the number of blocks of
+    each (name_own, name_fine), and what a pair costs there: `weight`, 1 for two rectangles."""
+    kinds = [(name, kind) for name in held for kind in ("own", "fine")]
+
+    def counted(name: str) -> DataFrame:
+        found = []
+        for kind, mine in (("own", F.col("own")), ("fine", ~F.col("own"))):
+            points = F.sum(F.when(mine, F.size("ring")).otherwise(0))
+            found += [c.alias(f"{name}_{kind}_{as_}") for as_, c in (("n", F.count_if(mine)), ("odd", F.count_if(mine & F.col("odd"))), ("points", points))]
+        return held[name].groupBy("level", "cx", "cy").agg(*found)
+
+    cells = reduce(lambda p, q: p.join(q, ["level", "cx", "cy"]), map(counted, held))
+    plain = 1 - F.greatest(F.lit(0.0), *(F.col(f"{n}_{k}_odd") / F.greatest(f"{n}_{k}_n", F.lit(1)) for n, k in kinds))
+    cells = cells.withColumn("weight", 1 + SWEEP * (1 - plain * plain))
+    blocks = lambda c: F.ceil(F.greatest(F.col(f"{c}_n") * F.sqrt("weight") / BLOCK_RINGS, F.col(f"{c}_points") / BLOCK_POINTS)).cast("int")
+    return cells.withColumns({f"{n}_{k}": blocks(f"{n}_{k}") for n, k in kinds})
 
 
 def _grouped(a: DataFrame, b: DataFrame | None, size: float, order: Sequence[str]) -> DataFrame:
@@ -188,15 +201,16 @@ def _grouped(a: DataFrame, b: DataFrame | None, size: float, order: Sequence[str
     and o_k of b; without b of one table, and k of both sides. order: by which the rows of a group are ranked (rank).
 
     At a cell of each level the boxes of that level meet each other (part 0) and the finer ones (part 1: own of a, part 2:
-    own of b). A cell with many rings or points is dealt in blocks that meet one by one; tasks get about TASK_PAIRS pairs."""
+    own of b). A cell with many rings or points is dealt in blocks that meet one by one; tasks get about TASK_PAIRS pairs, swept ones
+    counted by SWEEP."""
     tables = {"a": a} if b is None else {"a": a, "b": b}
     levels = sorted({r[0] for df in tables.values() for r in df.select("alevel").distinct().collect()}) or [0]
     held = {name: _held(df, levels, size) for name, df in tables.items()}
-    cells = reduce(lambda p, q: p.join(q, ["level", "cx", "cy"]), (_blocks(df, name) for name, df in held.items()))
+    cells = _cells_held(held)
     meet = [("a_own", "a_own"), ("a_own", "a_fine")] if b is None else [("a_own", "b_own"), ("a_own", "b_fine"), ("a_fine", "b_own")]
     product = lambda end: reduce(Column.__add__, (F.col(p + end).cast("double") * F.col(q + end) for p, q in meet))
     counts = [f"{name}_{kind}" for name in held for kind in ("own", "fine")]
-    pairs, groups, most = cells.agg(F.sum(product("_n")), F.sum(product("")), F.max(F.greatest(F.lit(0), *counts))).first()
+    pairs, groups, most = cells.agg(F.sum(product("_n") * F.col("weight")), F.sum(product("")), F.max(F.greatest(F.lit(0), *counts))).first()
     full = F.broadcast(cut(cells.where(F.greatest(F.lit(0), *counts) > 1).select("level", "cx", "cy", *counts), "full-cells")) if (most or 0) > 1 else None
 
     def dealt(name: str) -> DataFrame:

@@ -166,6 +166,15 @@ def test_pairs_are_made_where_they_are_measured(spark):
         assert out.count() == many_
 
 
+def test_cells_of_other_shapes_have_smaller_blocks(spark):
+    """Rings that must be swept meet in blocks whose sweeps take about as long as those of rectangles."""
+    shapes = {"box": box(1, 1, 12, 12), "closed": box(1, 1, 12, 12)[[0, 1, 2, 3, 0]], "triangle": box(1, 1, 12, 12)[:3], "slanted": box(1, 1, 12, 12) + [(0, 0), (0, 0), (0, 0), (3, 0)]}
+    for name, ring in shapes.items():
+        held = polygons._held(polygons._boxes(frame(spark, [(i, ring) for i in range(5000)]), "k", "ring", "a", 40.0).withColumn("aid", F.col("ak")), [0], 40.0)
+        (c,) = polygons._cells_held({"a": held}).collect()
+        assert (c.a_own_n, c.a_fine_n, c.a_fine, c.a_own, c.weight) == (5000, 0, 0, *((1, 1) if name in ("box", "closed") else (3, 65)))
+
+
 @pytest.mark.parametrize("limit", [512, 3])
 def test_union_area_equals_a_fine_grid(spark, monkeypatch, limit):
     monkeypatch.setattr(polygons, "CELL_RINGS", limit)
